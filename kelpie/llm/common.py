@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -48,9 +49,16 @@ def written(df, name):
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/kelpie/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark):
+    """Let Spark drop the shuffle files of plans that are done with; else they pile up until a collection happens by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df):
     """df cut from its lineage; for small tables inside an iteration."""
     scratch_dir(df.sparkSession)

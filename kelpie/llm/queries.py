@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licences, mixing, quality, rules
+from . import bpe, licences, mixing, passages, quality, rules, suffixes, topk, urls
 
 _ORACLE = {}
 
@@ -22,6 +22,18 @@ def op1_quality_classifier(spark, sf_dir):
     return quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark, sf_dir):
+    return urls.judge(_read(spark, sf_dir, "pages"))
+
+
+def op5_exact_topk(spark, sf_dir):
+    return topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark, sf_dir):
     out = rules.judge(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
@@ -35,6 +47,10 @@ def op8_source_mixing(spark, sf_dir):
     return mixing.plan(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
+def op9_passage_dedup(spark, sf_dir):
+    return passages.remove_passages(_read(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark, sf_dir):
     return bpe.encode_decode(_read(spark, sf_dir, "documents"), tokenizer_path())
 
