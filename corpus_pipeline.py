@@ -1,3 +1,62 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""From raw documents to token ids in five stages, each over all rows that its predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kelpie.llm import bpe, mixing, near, passages, quality
+from kelpie.llm.common import written
+from kelpie.llm.queries import tokenizer_path
+
+
+def quality_classifier(spark, docs, sf_dir):
+    """Drop the documents that the classifier rejects (score under 0.3)."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def jaccard_join(spark, docs, sf_dir):
+    """Keep one document of each group of near duplicates, the one of the least id."""
+    return near.keep_one(docs)
+
+
+def passage_dedup(spark, docs, sf_dir):
+    """Cut passages that stand in earlier text; n_chars follows, and documents that lose every word go."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = passages.remove_passages(docs, carry=others, with_text=True)
+    cut = cut.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0)).withColumn("text", F.col("kept_text"))
+    if "n_chars" in others:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
+
+
+def source_mixing(spark, docs, sf_dir):
+    """Mix the sources to their target weights; a row comes as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def bpe_round_trip(spark, docs, sf_dir):
+    """Token counts and digests of the ids and the decoded text of every row."""
+    return bpe.encode_decode(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", jaccard_join),
+    ("substring dedup", passage_dedup),
+    ("mixing sources to target weights", source_mixing),
+    ("BPE encoding and decoding", bpe_round_trip),
+]
+
+#: SQL can't express the classifier, the automata or the tokenizer; the stages are tested against brute force instead.
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    """All stages over documents; what passes between two of them is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

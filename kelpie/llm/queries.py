@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licences, mixing, passages, quality, rules, suffixes, topk, urls
+from . import bpe, licences, mixing, near, passages, quality, rules, suffixes, topk, urls
 
 _ORACLE = {}
 
@@ -26,6 +26,10 @@ def op2_suffix_dedup(spark, sf_dir):
     return suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return near.join(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies")
+
+
 def op4_url_filter(spark, sf_dir):
     return urls.judge(_read(spark, sf_dir, "pages"))
 
