@@ -1,9 +1,15 @@
 """Named queries and the SQL that must agree with them."""
 
+from __future__ import annotations
+
+from kelpie.plans.queries import ORACLE, QUERIES
+
 
 def queries():
-    return {}
+    """Every query of this package by name."""
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    """DuckDB SQL of the queries that SQL can express."""
+    return dict(ORACLE)
