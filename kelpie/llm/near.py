@@ -162,7 +162,8 @@ def join(docs, n=NGRAM, threshold=THRESHOLD, recall=RECALL, block=BLOCK, id_col=
     asked = candidates.join(squares, "root").join(nodes, "node").select(F.col("id").alias("_id"), "node", "root", "squares", "copies")
     asked = written(asked, "asked")
     rows_ = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows_ = rows_.join(asked, rows_["id"].eqNullSafe(asked["_id"])).select("text", "node", "root", "squares", "copies")
+    # a merge join at every size: whether the candidates would fit a broadcast hangs on the data
+    rows_ = rows_.hint("merge").join(asked, rows_["id"].eqNullSafe(asked["_id"])).select("text", "node", "root", "squares", "copies")
 
     def deal(batches):
         for batch in batches:
