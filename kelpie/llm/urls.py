@@ -21,6 +21,8 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
+#: Keys that the pages of a host are dealt over when its score is joined to them.
+SALTS = 32
 
 
 def host_of(url):
@@ -95,6 +97,9 @@ def judge(pages, rules=RULES, rounds=8, threshold=0.5, id_col="page_id", url_col
     both = written(both.join(out_degree, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("share")), "shares")
     rank = propagate(both, seeds, rounds)
     scores = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("mass")).otherwise(0.0)).alias("distrust"))
-    out = rows.join(scores, "host", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
+    # pages of one host are dealt over SALTS keys, and its score to each of them
+    scores = scores.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col, "path"), F.lit(SALTS)).cast("int"))
+    out = rows.join(scores, ["host", "_salt"], "left").withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
     own = F.when(F.col("distrust") - F.col("trust") > threshold, "block").otherwise("allow")
     return out.select(id_col, "host", "path", "rule", F.coalesce("_verdict", own).alias("verdict"), "trust", "distrust")
