@@ -50,7 +50,18 @@ def written(df, name):
     path = f"{scratch_dir(spark)}/kelpie/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kelpie_path = path
+    return out
+
+
+def discard(*tables):
+    """Delete tables of written() from which everything that is needed has been written on."""
+    for t in tables:
+        spark, path = t.sparkSession, t._kelpie_path
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark):

@@ -14,7 +14,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from .common import chunks, ship, written
+from .common import chunks, discard, ship, written
 from .graph import components
 from .repeats import Sequence, lists_of
 from .rolling import mix, spans
@@ -157,10 +157,12 @@ def join(docs, n=NGRAM, threshold=THRESHOLD, recall=RECALL, block=BLOCK, id_col=
     buckets = written(buckets.where(F.col("head") < F.col("tail")).select("bucket", "head"), "buckets")
     candidates = components(members.join(buckets, "bucket").select(F.col("node").alias("a"), F.col("head").alias("b")))
     candidates = written(candidates, "candidates")
+    discard(buckets)
     sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("squares"))
     squares = written(sizes, "sizes")
     asked = candidates.join(squares, "root").join(nodes, "node").select(F.col("id").alias("_id"), "node", "root", "squares", "copies")
     asked = written(asked, "asked")
+    discard(candidates, squares)
     rows_ = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # a merge join at every size: whether the candidates would fit a broadcast hangs on the data
     rows_ = rows_.hint("merge").join(asked, rows_["id"].eqNullSafe(asked["_id"])).select("text", "node", "root", "squares", "copies")
@@ -216,12 +218,16 @@ def join(docs, n=NGRAM, threshold=THRESHOLD, recall=RECALL, block=BLOCK, id_col=
             yield out
 
     links = written(dealt.mapInArrow(verify, "a long, b long, links long"), "links")
+    discard(asked)
     roots = components(links.where(F.col("b").isNotNull()).select("a", "b"))
     count = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     known = nodes.join(roots, "node", "left").join(count, "node", "left").withColumn("class_key", F.coalesce("root", "node"))
     known = written(known.select("node", "class_key", F.col("id").alias("_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies"), "known")
+    discard(nodes, links)
     names = written(known.groupBy("class_key").agg(F.min("_id").alias("class_id")), "names")
-    known = written(known.join(names, "class_key").select("node", "class_key", "class_id", "n_links", "copies"), "classes")
+    classes = written(known.join(names, "class_key").select("node", "class_key", "class_id", "n_links", "copies"), "classes")
+    discard(known, names)
+    known = classes
     out = table.select(F.col("id").alias(id_col), "node").join(known, "node", "left")
     return out.select(id_col, "node", "class_key", F.when(F.col("node").isNull(), F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
@@ -235,6 +241,7 @@ def keep_one(docs, id_col="doc_id", text_col="text", **how):
     lone = found.where(F.col("class_key").isNull())
     best = found.where(F.col("class_key").isNotNull() & F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("class_key", F.col(id_col)).agg(F.count("*").alias("n"), F.min("node").alias("node"))
     once = written(best.select(id_col, "n").union(lone.select(id_col, F.lit(1).cast("long"))).select(F.col(id_col).alias("_id"), "n").groupBy("_id").agg(F.max("n").alias("_n")), "kept")
+    discard(found)
     rows = docs.join(once, docs[id_col].eqNullSafe(once["_id"]))
     names = [docs[c] for c in docs.columns]
     single = rows.where(F.col("_n") == 1).select(*names)

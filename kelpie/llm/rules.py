@@ -97,7 +97,7 @@ def fit(patterns, weights, rounds=300):
     Pseudo-votes start rules off as mostly silent about bad documents and right about good ones, and bounds keep
     every vote's direction, which fixes the good class: a document that no rule votes against stays good.
     """
-    v = np.asarray(patterns, float).reshape(len(patterns), -1)
+    v = np.array(patterns, float) if len(patterns) else np.zeros((0, 0))
     weights = np.asarray(weights, float)
     m = v.shape[1]
     good, bad, prior = np.full(m, 0.97), np.full(m, 0.4), 0.9
