@@ -6,6 +6,7 @@ import difflib
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from kelpie.functions import text as T
 
@@ -25,7 +26,7 @@ def corpus(files, excluded=EXCLUDED):
     return files.where((F.col("size_bytes") >= 50) & ~_any(F.col("path"), excluded) & ~name.startswith(".") & ~name.endswith(".digest.md"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _close(wanted, tokens):  # noqa: ANN001
     """Of the wanted words those with a close match among the tokens: Ratcliff-Obershelp ratio, which SQL can't express."""
     import pandas as pd

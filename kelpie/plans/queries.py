@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kelpie.functions import scoring as S
 from kelpie.functions import text as X
 from kelpie.operators import graph, ingest, memory, ordered, rollups, search
+from kelpie.plans import assembly
 from kelpie.plans import tables as T
 from kelpie.plans.tables import AS_OF, read, sql_list
 
@@ -126,7 +127,9 @@ def html_strip(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html")).alias("plain"))
 
 
-_RED, _REDN = "text", "0"
+# RE2 knows word boundaries of ASCII only: the SQL looks at letters without accents, and the results are compared so
+_ACCENTS = ("àâäáãåçéèêëíîïìñóôöòõúûüùýÿßÀÂÄÁÃÅÇÉÈÊËÍÎÏÌÑÓÔÖÒÕÚÛÜÙÝ", "aaaaaaceeeeiiiinooooouuuuyysAAAAAACEEEEIIIINOOOOOUUUUY")
+_RED, _REDN = f"translate(text, '{_ACCENTS[0]}', '{_ACCENTS[1]}')", "0"
 for _label, _p in X.REDACTIONS:
     _REDN += f" + length(regexp_extract_all({_RED}, '{_p}'))"
     _RED = f"regexp_replace({_RED}, '{_p}', '[{_label}]', 'g')"
@@ -135,7 +138,7 @@ for _label, _p in X.REDACTIONS:
 @query(f"SELECT doc_id, sha256({_RED}) AS redacted, {_REDN} AS n FROM documents")
 def redaction(spark, sf_dir):
     r = ingest.redact(read(spark, sf_dir, "documents"))
-    return r.select("doc_id", F.sha2("redacted", 256).alias("redacted"), F.col("n_redacted").cast("long").alias("n"))
+    return r.select("doc_id", F.sha2(F.translate("redacted", *_ACCENTS), 256).alias("redacted"), F.col("n_redacted").cast("long").alias("n"))
 
 
 _MAIL = "'**From:** user' || (doc_id % 50) || '@mail' || (doc_id % 9) || '.example.com' || chr(10) || '----## ' || substring(text, 1, 30) || chr(10) || text"
@@ -723,3 +726,59 @@ def batch_dedup(spark, sf_dir):
 @query()
 def clean_emails(spark, sf_dir):
     return ingest.clean_summary(ingest.clean_emails(_mails(spark, sf_dir)))
+
+
+# --- flows ----------------------------------------------------------------------------------------------------------
+
+def _scan(spark, sf_dir):
+    return assembly.memory_scan(T.memory_files(spark, sf_dir), T.entities(spark, sf_dir), T.edges(spark, sf_dir), _asked(spark), AS_OF, _index(spark, sf_dir))
+
+
+@query()
+def memory_scan(spark, sf_dir):
+    return _scan(spark, sf_dir)
+
+
+@query()
+def context_assembly(spark, sf_dir):
+    return assembly.context(_scan(spark, sf_dir), T.memory_files(spark, sf_dir))
+
+
+@query(f"""WITH {T.MEMORY_FILES}, {T.ENTITIES}, {T.EDGES}, {T.PROPOSALS} SELECT 'files' AS metric, count(*) AS value FROM memory_files UNION ALL SELECT 'files_7d', count(*) FROM memory_files WHERE (epoch({_NOW}) - epoch(mtime)) / 86400.0 < 7
+ UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'crystallised', count(*) FROM entities WHERE tier = 'crystallised' UNION ALL SELECT 'pending', count(*) FROM proposals WHERE status = 'pending'""")
+def statistics(spark, sf_dir):
+    return assembly.statistics(T.memory_files(spark, sf_dir), T.entities(spark, sf_dir), T.edges(spark, sf_dir), T.proposals(spark, sf_dir), AS_OF)
+
+
+@query(f"WITH {T.MEMORY_FILES} SELECT path, mtime, size_bytes FROM memory_files WHERE (epoch({_NOW}) - epoch(mtime)) / 86400.0 BETWEEN 0 AND 14 ORDER BY mtime DESC, path DESC LIMIT 50")
+def recent_activity(spark, sf_dir):
+    return assembly.recent_activity(T.memory_files(spark, sf_dir), AS_OF)
+
+
+@query(f"WITH {T.ENTITIES} SELECT eid, name, type, round(computed, 6) AS computed FROM entities WHERE tier = 'crystallised' ORDER BY entities.computed DESC, eid LIMIT 20")
+def crystallised_block(spark, sf_dir):
+    return assembly.crystallised_block(T.entities(spark, sf_dir)).withColumn("computed", F.round("computed", 6))
+
+
+@query()
+def nightly_briefing(spark, sf_dir):
+    return assembly.nightly(T.memory_files(spark, sf_dir), T.entities(spark, sf_dir), T.edges(spark, sf_dir), T.triples(spark, sf_dir), AS_OF)["briefing"]
+
+
+@query()
+def top_of_mind(spark, sf_dir):
+    e = T.entities(spark, sf_dir)
+    q = ingest.question_priority(ingest.link_questions(_questions(spark, sf_dir), e), e)
+    return assembly.top_of_mind(q, _contradictions(spark, sf_dir), T.proposals(spark, sf_dir))
+
+
+@query(f"WITH {T.MEMORY_FILES} SELECT path FROM memory_files WHERE mtime = (SELECT max(mtime) FROM memory_files) ORDER BY path DESC LIMIT 1")
+def latest_file(spark, sf_dir):
+    from kelpie.sources.readers import latest
+
+    return latest(T.memory_files(spark, sf_dir), ".md")
+
+
+@query("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY role")
+def speaker_counts(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"))
