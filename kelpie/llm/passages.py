@@ -1,7 +1,7 @@
 """Removal of passages that stand in earlier text, located by sharded Aho-Corasick automata.
 
-Fingerprints propose which passages recur and where each first stands; its words are then fetched from there. Documents
-are dealt to shards of bounded text, and a shard gets the phrases proposed for any of its documents. Each shard
+Fingerprints propose which windows recur and where each first stands; windows that follow their source in step are one
+passage, whose words are fetched from there. Documents are dealt to shards of bounded text, and a shard gets the phrases proposed for any of its documents. Each shard
 compiles them into an Aho-Corasick automaton and streams all its documents through it: only what the automaton finds,
 word for word, is removed.
 """
@@ -14,8 +14,8 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from .common import chunks, ship, written
-from .repeats import Anchors, Sequence, _runs, lists_of, shared_windows, text_tag
+from .common import chunks, discard, ship, written
+from .repeats import Anchors, Sequence, lists_of, shared_windows, text_tag, unpack
 from .rolling import run_cover
 
 WINDOW, SEED = 20, 8
@@ -24,29 +24,52 @@ SHARD_BYTES = 2 << 20
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _phrases(texts, sources, window):
-    """(key, doc, text): the words of each proposed passage where it first stands."""
+def _merge(proposed):
+    """(doc, sdoc, stag, slo, n): runs of covered windows that follow their source in step, each as one passage of n windows."""
     import pyarrow as pa
 
-    per_doc = sources.groupBy("doc").agg(F.collect_list("packed").alias("packed"), F.collect_list("key").alias("keys"))
+    per_doc = proposed.groupBy("doc").agg(*(F.collect_list(c).alias(c) for c in ("packed", "sdoc", "spacked")))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, packed, sdoc, spacked in zip(batch.column(0).to_pylist(), *(lists_of(batch.column(i)) for i in (1, 2, 3))):
+                (tag, count, lo), (stag, _, slo) = unpack(packed), unpack(spacked)
+                order = np.lexsort((lo, slo - lo, stag, sdoc, tag))
+                tag, count, lo, sdoc, stag, slo = (x[order] for x in (tag, count, lo, sdoc, stag, slo))
+                same = (tag[1:] == tag[:-1]) & (sdoc[1:] == sdoc[:-1]) & (stag[1:] == stag[:-1]) & (slo[1:] - lo[1:] == slo[:-1] - lo[:-1])
+                first = np.flatnonzero(np.append(True, ~(same & (lo[1:] <= lo[:-1] + count[:-1]))))
+                end = np.append(first[1:], len(lo)) - 1
+                out.append((np.full(len(first), doc), sdoc[first], stag[first], slo[first], lo[end] + count[end] - lo[first]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], ["doc", "sdoc", "stag", "slo", "n"])
+
+    return per_doc.mapInArrow(run, "doc long, sdoc long, stag long, slo long, n long")
+
+
+def _phrases(texts, passages, window):
+    """passages (sdoc, stag, slo, n) with text: their words where they first stand."""
+    import pyarrow as pa
+
+    per_doc = passages.groupBy("sdoc").agg(*(F.collect_list(c).alias(c) for c in ("stag", "slo", "n")))
+    per_doc = texts.join(per_doc, texts["doc"] == per_doc["sdoc"]).select("sdoc", "text", "stag", "slo", "n")
 
     def run(batches):
         for batch in batches:
             for part, data, offs in chunks(batch, "text", 1 << 20):
                 seq = Sequence(data, offs, "words")
-                tag = text_tag(seq)
+                tags = text_tag(seq)
                 raw = data.tobytes()
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                keys, docs, out = [], [], []
-                for d, (packed, key) in enumerate(zip(lists_of(part.column(2)), lists_of(part.column(3)))):
-                    mine, count, lo = _runs(packed, tag, d)
-                    for k, n, i in zip(key[mine].tolist(), count.tolist(), (seq.at[d] + lo).tolist()):
-                        keys.append(k)
-                        docs.append(int(ids[d]))
-                        out.append(b" ".join(raw[seq.start[i] : seq.end[i + n + window - 2]].split()).decode())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(out, pa.string())], ["key", "doc", "text"])
+                rows = []
+                for d, (doc, tag, lo, n) in enumerate(zip(part.column(0).to_pylist(), *(lists_of(part.column(i)) for i in (2, 3, 4)))):
+                    for t, i, k in zip(tag.tolist(), lo.tolist(), n.tolist()):
+                        if t == tags[d]:
+                            at = seq.at[d] + i
+                            rows.append((doc, t, i, k, b" ".join(raw[seq.start[at] : seq.end[at + k + window - 2]].split()).decode()))
+                cols = list(zip(*rows)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], ["sdoc", "stag", "slo", "n", "text"])
 
-    return texts.join(per_doc, "doc").mapInArrow(run, "key long, doc long, text string")
+    return per_doc.mapInArrow(run, "sdoc long, stag long, slo long, n long, text string")
 
 
 class _Shard:
@@ -97,17 +120,21 @@ def remove_passages(docs, window=WINDOW, seed=SEED, id_col="doc_id", text_col="t
 
     runs, windows = shared_windows(docs, id_col, text_col, "words", window, seed, keys)
     proposed = runs.union(windows)
-    sources = proposed.where("first").groupBy("key").agg(F.min("doc").alias("doc"), F.min("packed").alias("packed"))
+    sources = proposed.where("first").groupBy("key").agg(F.min("doc").alias("sdoc"), F.min("packed").alias("spacked"))
+    sources = written(sources, "sources")
+    merged = written(_merge(proposed.where("covered").select("doc", "packed", "key").join(sources, "key")), "merged")
+    discard(sources)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    phrases = written(_phrases(texts, sources, window), "phrases")
+    place = ["sdoc", "stag", "slo", "n"]
+    phrases = written(_phrases(texts, merged.select(*place).distinct(), window), "phrases")
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     shards = max(1, -(-int(size) // SHARD_BYTES))
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
-    wanted = proposed.where("covered").select(shard(F.col("doc")).alias("shard"), "key").distinct()
+    wanted = merged.select(shard(F.col("doc")).alias("shard"), *place).distinct()
     rest = docs.schema[id_col].dataType.simpleString()
     carried = F.struct(F.col(id_col).alias("id"), *(F.col(c) for c in carry))
     none = F.lit(None).cast(docs.select(carried.alias("c")).schema["c"].dataType)
-    told = wanted.join(phrases, "key").select("shard", F.lit(0).alias("kind"), "doc", "text", none.alias("carried"))
+    told = wanted.join(phrases, place).select("shard", F.lit(0).alias("kind"), F.col("sdoc").alias("doc"), "text", none.alias("carried"))
     own = docs.select(F.coalesce(F.when(F.col(id_col).isNotNull(), shard(F.col(id_col).cast("long"))), shard(F.col(text_col))).alias("shard"), F.lit(1).alias("kind"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), carried.alias("carried"))
     rows = told.union(own).repartition("shard").sortWithinPartitions("shard", "kind")
 
