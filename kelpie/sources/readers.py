@@ -83,7 +83,7 @@ def calendar(texts, text_col="body"):
 
     def prop(name):
         found = F.regexp_extract("e", rf"(?m)^{name}(?:;[^:\n]*)?:([^\r\n]*)", 1)
-        return F.when(found != "", F.replace(F.replace(F.replace(found, F.lit("\\,"), F.lit(",")), F.lit("\;"), F.lit(";")), F.lit("\\n"), F.lit("\n")))
+        return F.when(found != "", F.replace(F.replace(F.replace(found, F.lit("\\,"), F.lit(",")), F.lit("\\;"), F.lit(";")), F.lit("\\n"), F.lit("\n")))
 
     when = lambda p: F.coalesce(F.try_to_timestamp(F.regexp_replace(p, "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(p, F.lit("yyyyMMdd")))
     r = r.withColumn("_s", prop("DTSTART")).withColumn("start", when(F.col("_s"))).withColumn("all_day", ~F.col("_s").contains("T"))
