@@ -31,11 +31,15 @@ def redact(rows, column="text"):
     return rows.withColumn("redacted", out).withColumn("n_redacted", n)
 
 
+def _strip(text):
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def split_blocks(rows, column="content"):
     """(…, block_no, block): multi-email files cut before each head; a file with fewer than two heads stays whole."""
     head = r"(?=^\*\*From:\*\*[ \t]+\S[^\n]*\n\*\*To:\*\*[ \t]+\S[^\n]*\n\s*\n----##[ \t]+)"
     heads = F.regexp_count(F.col(column), F.lit(r"(?m)" + head[3:-1]))
-    parts = F.when(heads > 1, F.filter(F.transform(F.split(F.col(column), r"(?m)" + head), F.trim), lambda b: b.startswith("**From:**"))).otherwise(F.array(F.trim(F.col(column))))
+    parts = F.when(heads > 1, F.filter(F.transform(F.split(F.col(column), r"(?m)" + head), _strip), lambda b: b.startswith("**From:**"))).otherwise(F.array(_strip(F.col(column))))
     return rows.select("*", F.posexplode(F.filter(parts, lambda b: b != "")).alias("block_no", "block"))
 
 

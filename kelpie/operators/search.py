@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -27,10 +28,8 @@ def corpus(files, excluded=EXCLUDED):
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def _close(wanted, tokens):  # noqa: ANN001
+def _close(wanted: pd.Series, tokens: pd.Series) -> pd.Series:
     """Of the wanted words those with a close match among the tokens: Ratcliff-Obershelp ratio, which SQL can't express."""
-    import pandas as pd
-
     out = []
     for w, ts in zip(wanted, tokens):
         hits = [x for x in w if any(2 * min(len(x), len(t)) >= 0.85 * (len(x) + len(t)) for t in ts) and difflib.get_close_matches(x, [t for t in ts if 2 * min(len(x), len(t)) >= 0.85 * (len(x) + len(t))], n=1, cutoff=0.85)]

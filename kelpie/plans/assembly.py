@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from kelpie.functions import text as X
@@ -124,8 +125,6 @@ def nightly(files, entities, edges, triples, as_of, completer=None):
 
 def complete(completer):
     """A column function that has a completer answer prompts in Arrow batches; failures give null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def answer(prompts: pd.Series) -> pd.Series:
         def one(p):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,7 +67,7 @@ def session_turns(texts, text_col="body"):
     rest = [c for c in texts.columns if c != text_col]
     parts = F.filter(F.split(F.col(text_col), r"(?m)^(?=## )"), lambda p: p.startswith("## "))
     r = texts.select(*rest, F.posexplode(parts).alias("turn", "part"))
-    grab = lambda who: F.trim(F.regexp_extract("part", rf"(?s)\*\*{who}:\*\*\s*(.*?)(?=\*\*(?:User|Assistant):\*\*|\z)", 1))
+    grab = lambda who: F.regexp_replace(F.regexp_extract("part", rf"(?s)\*\*{who}:\*\*\s*(.*?)(?=\*\*(?:User|Assistant):\*\*|\z)", 1), r"\s+$", "")
     r = r.select(*rest, "turn", F.trim(F.regexp_extract("part", r"^## ([^\n]*)", 1)).alias("ts"), grab("User").alias("user"), grab("Assistant").alias("assistant"))
     return r.where(F.col("user") != "")
 
@@ -111,8 +112,6 @@ def mail(files, content_col="content"):
 
     MIME decoding has no JVM form; messages are decoded in Arrow batches with the standard library.
     """
-    import pandas as pd
-
     @F.pandas_udf("sender string, to string, subject string, date string, body string")
     def decode(content: pd.Series) -> pd.DataFrame:
         from email import message_from_bytes, policy
@@ -135,8 +134,6 @@ def mail(files, content_col="content"):
 
 def office(files, content_col="content", path_col="path"):
     """(…, text) of office and PDF files; where the optional library is missing the text is empty."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def extract(path: pd.Series, content: pd.Series) -> pd.Series:
         import io

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from kelpie.functions import text as X
@@ -51,30 +54,29 @@ def prime(nodes, activated, keep=0.7, gain=0.5, least=0.05):
     return {k: v for k, v in out.items() if v > least}
 
 
-def priming(stream):
-    """Per session its priming vector after each query: (session, eid, strength) rows from (session, query, eid, strength).
+def priming(stream, idle="1 day"):
+    """Per session its priming vector after each query: (session, eid, strength) rows from (session, query, ts, eid, strength).
 
-    The vector is the state of the session's key; queries of a batch are applied in order. Sessions idle for a day go.
+    The vector is the state of the session's key; queries of a batch are applied in order. Sessions that are idle for a
+    day of event time go, so the state stays bounded.
     """
-    import json
-
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def update(key, batches, state):
-        import pandas as pd
-
-        nodes = json.loads(state.get[0]) if state.exists else {}
         if state.hasTimedOut:
             state.remove()
             return
+        nodes = json.loads(state.get[0]) if state.exists else {}
         rows = pd.concat(list(batches))
         for _, part in rows.groupby("query", sort=True):
             nodes = prime(nodes, dict(zip(part["eid"], part["strength"])))
         state.update((json.dumps(nodes),))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        latest = int(rows["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 24 * 3600 * 1000)
         yield pd.DataFrame({"session": [key[0]] * len(nodes), "eid": list(nodes), "strength": [float(v) for v in nodes.values()]})
 
-    return stream.groupBy("session").applyInPandasWithState(update, "session string, eid string, strength double", "nodes string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = stream.withWatermark("ts", idle).groupBy("session")
+    return keyed.applyInPandasWithState(update, "session string, eid string, strength double", "nodes string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(df, sink, checkpoint, path=None, mode="append", kind="parquet"):
