@@ -329,3 +329,18 @@ def test_pipeline_is_its_stages(spark, tmp_path):
     assert counts[0] > counts[1] >= counts[2] >= counts[3] > 0
     last = corpus_pipeline.STAGES[-1][1](spark, docs, src)
     assert sorted(map(str, last.collect())) == sorted(map(str, corpus_pipeline.run(spark, src).collect()))
+
+
+@pytest.mark.parametrize("name", ["op5_exact_topk", "op9_passage_dedup"])
+def test_sql_agrees(spark, name):
+    import duckdb
+
+    from kelpie.llm import queries
+
+    src, c = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"create view {t} as select * from '{src}/{t}.parquet'")
+    found = c.execute(queries.oracle_sql()[name])
+    columns = [x[0] for x in found.description]
+    want = sorted(tuple(r) for r in found.fetchall())
+    assert sorted(tuple(r[x] for x in columns) for r in queries.queries()[name](spark, src).collect()) == want
