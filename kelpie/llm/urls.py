@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import checkpointed, written
+from .common import checkpointed, release, shuffle_partitions, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host and path). A rule fits its host and all subdomains if the path starts with the rule's.
@@ -23,6 +23,10 @@ RULES = (
 )
 #: Keys that the pages of a host are dealt over when its score is joined to them.
 SALTS = 32
+#: Scores have settled when a round changes them in total by at most this share of the mass of the seeds.
+TOLERANCE = 1e-6
+#: Rows that a task of a round holds at least, so that the many rounds over a small graph don't run many tasks each.
+TASK_ROWS = 50_000
 
 
 def host_of(url):
@@ -63,27 +67,40 @@ def host_edges(pages, url_col="url", html_col="html"):
     return links.union(ups).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges, seeds, rounds=8, follow=0.85):
-    """Personalised PageRank of several kinds at once.
+def propagate(edges, seeds, tolerance=TOLERANCE, most=200, follow=0.85):
+    """Personalised PageRank of several kinds at once, iterated until it has settled.
 
     edges: (kind, src, dst, share), shares of a src sum to 1. seeds: (kind, host, mass). Returns (kind, host, mass).
-    Tables are cut from their lineage every second round.
+    A round passes on what the round before added (move), so masses only grow, and the sum of move is their total change.
+    It ends when, in each kind, a round's change is at most tolerance times the mass of the seeds; what is missing from
+    all hosts together is then under follow / (1 - follow) times that. As a round passes on `follow` of the last one's
+    change at the most, and the first adds 1 - follow of the mass, this takes up to 74 rounds at 1e-6. It's an error if `most` rounds don't do.
+    Tables are cut from their lineage, and the change is tested, every second round.
     """
-    rank = seeds
-    for i in range(rounds):
-        moved = rank.join(edges.withColumnRenamed("src", "host"), ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share") * follow).alias("mass"))
-        rank = moved.unionByName(seeds.withColumn("mass", F.col("mass") * (1 - follow))).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+    total = {r["kind"]: r["mass"] for r in seeds.groupBy("kind").agg(F.sum("mass").alias("mass")).collect()}
+    rank = seeds.groupBy("kind", "host").agg((F.sum("mass") * (1 - follow)).alias("mass")).withColumn("move", F.col("mass"))
+    tasks = min(shuffle_partitions(edges.sparkSession), (edges.count() + seeds.count()) // TASK_ROWS + 1)
+    edges = edges.withColumnRenamed("src", "host")
+    for i in range(most):
+        moved = rank.where(F.col("move") > 0).join(edges, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("move") * F.col("share") * follow).alias("move"))
+        rank = rank.select("kind", "host", "mass", F.lit(0.0).alias("move")).unionByName(moved.select("kind", "host", F.col("move").alias("mass"), "move")).groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("move").alias("move")).coalesce(tasks)
         if i % 2:
             rank = checkpointed(rank)
-    return rank
+            change = {r["kind"]: r["move"] for r in rank.groupBy("kind").agg(F.sum("move").alias("move")).collect()}
+            if all(change.get(kind, 0.0) <= tolerance * mass for kind, mass in total.items()):
+                return rank.select("kind", "host", "mass")
+            if i % 8 == 7:
+                release(edges.sparkSession)
+    raise RuntimeError(f"masses didn't settle in {most} rounds")
 
 
-def judge(pages, rules=RULES, rounds=8, threshold=0.5, id_col="page_id", url_col="url", html_col="html"):
+def judge(pages, rules=RULES, tolerance=TOLERANCE, threshold=0.5, id_col="page_id", url_col="url", html_col="html"):
     """(id_col, host, path, rule, verdict, trust, distrust) of every page.
 
     verdict: the longest rule's, else block where the host's distrust is over its trust by more than threshold, else allow.
     A null url, or one without ://, has an empty host and path and no rule, and is allowed. Null html has no links.
-    Repeated rows are each judged. Masses are per host as a multiple of the mean seed's.
+    Repeated rows are each judged. Masses are per host, where a host whose ruled pages are all of one verdict is a seed of mass 1; they are iterated until
+    they have settled (see propagate).
     """
     rows = pages.select(id_col, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rows = rows.withColumn("_found", rule_of(F.col("host"), F.col("path"), rules)).select(id_col, "host", "path", F.col("_found.rule").alias("rule"), F.col("_found.verdict").alias("_verdict"))
@@ -95,7 +112,7 @@ def judge(pages, rules=RULES, rounds=8, threshold=0.5, id_col="page_id", url_col
     both = written(both, "edges")
     out_degree = both.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     both = written(both.join(out_degree, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("share")), "shares")
-    rank = propagate(both, seeds, rounds)
+    rank = propagate(both, seeds, tolerance)
     scores = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("mass")).otherwise(0.0)).alias("distrust"))
     # pages of one host are dealt over SALTS keys, and its score to each of them
     scores = scores.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
