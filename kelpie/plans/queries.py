@@ -570,7 +570,7 @@ def drift(spark, sf_dir):
 def _cues(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
     t = F.col("turn")
-    return c.select(F.col("conv_id").alias("file"), t.alias("n"), F.when((F.col("conv_id") + F.floor(t / 2)) % 2 == 0, "A").otherwise("B").alias("speaker"), (t * 10.0 + F.when(t % 5 == 4, 130.0).otherwise(0.0)).alias("start"), (t * 10.0 + 8).alias("end"), F.substring("text", 1, 120).alias("text"))
+    return c.select(F.col("conv_id").alias("file"), t.alias("n"), F.when((F.col("conv_id") + F.floor(t / 2)) % 2 == 0, "A").otherwise("B").alias("speaker"), (t * 10.0 + F.when(t % 5 == 4, 130.0).otherwise(0.0)).alias("start"), (t * 10.0 + 8).alias("end"), "text")
 
 
 _CUES = "cues AS (SELECT conv_id AS file, turn AS n, CASE WHEN (conv_id + turn // 2) % 2 = 0 THEN 'A' ELSE 'B' END AS speaker, turn * CAST(10 AS DOUBLE) + CASE WHEN turn % 5 = 4 THEN 130 ELSE 0 END AS start_, turn * CAST(10 AS DOUBLE) + 8 AS end_, substring(text, 1, 120) AS text FROM conversations)"
