@@ -100,7 +100,7 @@ def synonyms(spark, sf_dir):
 @query("SELECT doc_id, substring(regexp_replace(regexp_replace(lower(substring(text, 1, 300)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60).regexp_replace('-+$', '') AS slug, substring(regexp_replace(substring(text, 1, 100), '[^A-Za-z0-9._-]+', '_', 'g'), 1, 80) AS safe, trim(regexp_replace(lower(substring(text, 1, 80)), '[\\s\\-_.,:]+', ' ', 'g')) AS object, lower(trim(regexp_replace(regexp_replace(substring(text, 1, 80), '[_:?*|\"<>\\\\]', ' ', 'g'), '\\s+', ' ', 'g'))) AS page FROM documents")
 def names_and_slugs(spark, sf_dir):
     t = F.col("text")
-    return read(spark, sf_dir, "documents").select("doc_id", X.slugify(F.substring(t, 1, 300)).alias("slug"), X.safe_name(F.substring(t, 1, 100)).alias("safe"), X.normal_object(F.substring(t, 1, 80)).alias("object"), X.normal_page(F.substring(t, 1, 80)).alias("page"))
+    return read(spark, sf_dir, "documents").select("doc_id", X.slugify(t).alias("slug"), X.safe_name(t).alias("safe"), X.normal_object(t).alias("object"), X.normal_page(t).alias("page"))
 
 
 @query("SELECT doc_id, substring(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '---')), ' '), 1, 200) AS snippet FROM documents")

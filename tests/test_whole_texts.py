@@ -4,7 +4,6 @@ import hashlib
 import re
 
 import duckdb
-import pytest
 
 from kelpie.plans import registry
 
@@ -43,3 +42,8 @@ def test_merge_paragraphs_decides_on_whole_texts(spark):
         done.append(cur)
         want.add((file, len(done), hashlib.sha256("\n".join(done).encode()).hexdigest()))
     assert {tuple(r) for r in registry.queries()["merge_paragraphs"](spark, SF).select("file", "n", "digest").collect()} == want
+
+
+def test_names_and_slugs_take_whole_texts(spark):
+    got, want = whole_sql(spark, "names_and_slugs", "documents")
+    assert got == want and max(len(r[3]) for r in got) > 1000
