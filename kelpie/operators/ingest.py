@@ -62,15 +62,18 @@ def open_questions(rows, id_col, text_col):
 def link_questions(questions, entities, most=8):
     """(…, linked): up to `most` entity ids whose name (three characters or more) the question contains.
 
-    Names are cut to a word each question word can meet, so this is an equi-join on words and then a check, not a
-    product of questions and names.
+    Where a question has the first three characters of some names, its piece of each of their lengths is taken, and
+    an equi-join of pieces and names finds any that are equal: no substring is missed, and questions aren't paired with
+    names. The table of beginnings and lengths is broadcast. Where more than `most` fit, the least ids are taken.
     """
-    words = questions.withColumn("low", F.lower("question"))
-    first_word = lambda c: F.regexp_extract(c, r"([\p{L}\p{N}]+)", 1)
-    names = entities.where(F.char_length("name") >= 3).select("eid", F.lower("name").alias("name"), first_word(F.lower("name")).alias("w"))
     key = [c for c in questions.columns]
-    pieces = words.select(*key, "low", F.explode(F.array_distinct(F.split("low", r"[^\p{L}\p{N}]+"))).alias("w"))
-    hits = pieces.join(names, "w").where(F.contains("low", "name")).groupBy(*key).agg(F.slice(F.array_sort(F.collect_set("eid")), 1, most).alias("linked"))
+    names = entities.where(F.char_length("name") >= 3).groupBy(F.lower("name").alias("_name")).agg(F.slice(F.array_sort(F.collect_set("eid")), 1, most).alias("_eids"))
+    starts = names.groupBy(F.substring("_name", 1, 3).alias("_start")).agg(F.collect_set(F.char_length("_name")).alias("_lengths"))
+    words = questions.withColumn("_low", F.lower("question")).where(F.char_length("_low") >= 3)
+    grams = F.transform(F.sequence(F.lit(1), F.char_length("_low") - 2), lambda i: F.substring(F.col("_low"), i, F.lit(3)))
+    pieces = words.select(*key, "_low", F.posexplode(grams).alias("_at", "_start")).join(F.broadcast(starts), "_start")
+    pieces = pieces.select(*key, F.explode(F.transform("_lengths", lambda n: F.substring(F.col("_low"), F.col("_at") + 1, n))).alias("_name"))
+    hits = pieces.join(names, "_name").select(*key, F.explode("_eids").alias("_eid")).groupBy(*key).agg(F.slice(F.array_sort(F.collect_set("_eid")), 1, most).alias("linked"))
     return questions.join(hits, key, "left").withColumn("linked", F.coalesce("linked", F.array().cast("array<string>")))
 
 
