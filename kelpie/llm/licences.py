@@ -7,9 +7,11 @@ each candidate place is verified by the regex library's bounded-error matching,
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 
-from .common import chunks, ship
+from .common import chunks, quoted, ship
 from .rolling import byte_prefix, doc_bounds, spans
 
 #: Phrases and their labels. Fixed values.
@@ -71,7 +73,7 @@ class Finder:
         self.seeds.make_automaton()
 
     def fuzzy(self, text):
-        """(label, start, end, edits, share kept) of each place of a notice in normalised text, best first in a place."""
+        """(label, start, end, edits, share kept) of each place of a notice in normalised text; places of one notice don't overlap."""
         out, windows = [], {}
         for end, (length, where) in self.seeds.iter(text):
             for n, at in where:
@@ -79,28 +81,47 @@ class Finder:
                 start = end + 1 - length - at
                 windows.setdefault(n, []).append((max(0, start - k), start + len(self.notices[n][0]) + k))
         for n, ranges in windows.items():
-            notice, label, k, pattern = self.notices[n]
-            lo, hi = ranges[0]
-            merged = []
-            for a, b in sorted(ranges)[1:] + [(len(text) + 1, len(text) + 1)]:
+            lo, hi = 0, 0
+            for a, b in [*sorted(ranges), (1 << 62, 1 << 62)]:
                 if a <= hi:
                     hi = max(hi, b)
                 else:
-                    merged.append((lo, hi))
+                    out += self._places(n, text, lo, min(hi, len(text)))
                     lo, hi = a, b
-            if lo <= len(text):
-                merged.append((lo, hi))
-            for a, b in merged:
-                at = a
-                while (i := text.find(notice, at, b)) >= 0:  # unchanged: nothing to forgive
-                    out.append((label, i, i + len(notice), 0, 1.0))
-                    at = i + len(notice)
-                if at == a:
-                    for m in pattern.finditer(text, a, min(b, len(text))):
-                        edits = sum(m.fuzzy_counts)
-                        out.append((label, m.start(), m.end(), edits, 1 - edits / len(notice)))
         return out
 
+    def _places(self, n, text, lo, hi):
+        """Every place of notice n in text[lo:hi]: the best one first, then what is left and right of it.
+
+        A long stretch is searched in overlapping slices, so that the work stays in proportion to its length.
+        """
+        notice, label, k, pattern = self.notices[n]
+        out, todo, most = [], [(lo, hi)], len(notice) + k
+        while todo:
+            a, b = todo.pop()
+            if b - a < len(notice) - k:
+                continue
+            at = text.find(notice, a, b)  # unchanged: nothing to forgive
+            if at >= 0:
+                found = (label, at, at + len(notice), 0, 1.0)
+            elif b - a > 8 * most:
+                todo += [(x, min(x + 8 * most, b)) for x in range(a, b - most, 7 * most)]
+                continue
+            elif m := pattern.search(text, a, b):
+                edits = sum(m.fuzzy_counts)
+                found = (label, m.start(), m.end(), edits, 1 - edits / len(notice))
+            else:
+                continue
+            out.append(found)
+            todo += [(a, found[1]), (found[2], b)]
+        # slices overlap: of places that do, the best stays
+        kept = []
+        for f in sorted(set(out), key=lambda f: (f[3], f[1], f[2])):
+            i = bisect.bisect(kept, f[1], key=lambda g: g[1])
+            if (i == 0 or kept[i - 1][2] <= f[1]) and (i == len(kept) or f[2] <= kept[i][1]):
+                kept.insert(i, f)
+        return kept
+
 
 def scan(docs, phrases=PHRASES, notices=NOTICES, edits=0.1, id_col="doc_id", text_col="text"):
     """License words of every whole text.
@@ -108,7 +129,8 @@ def scan(docs, phrases=PHRASES, notices=NOTICES, edits=0.1, id_col="doc_id", tex
     Returns id_col, n_words, n_base, first_word, last_word, base_labels, labels, score and spans
     (array<struct<label, first_word, n_words, edits>>, the notices that were found). A null text is empty: no words,
     null places, empty labels, score 0. score: 1 for an exact phrase, else the share of the best notice that stands
-    unedited. Repeated rows are each scanned; other columns are never read.
+    unedited. Of equally good places of a notice that overlap, the first stays; a very long text is searched whole.
+    Repeated rows are each scanned; other columns are never read.
     """
     import pyarrow as pa
 
@@ -154,7 +176,9 @@ def scan(docs, phrases=PHRASES, notices=NOTICES, edits=0.1, id_col="doc_id", tex
                 rows = {k: [] for k in ("n_base", "first", "last", "base", "labels", "score", "spans")}
                 for d in range(n):
                     text = flat[where[d] : where[d + 1]].tobytes().decode("utf-8", "replace")
-                    found = finder.fuzzy(text)
+                    found = sorted(finder.fuzzy(text), key=lambda f: (f[1], f[2], f[0]))
+                    gaps = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32) if found else None
+                    words = [np.searchsorted(gaps, f[1:3]).tolist() for f in found]
                     places = [p for p, _ in base[d]]
                     own = {label for _, label in base[d]}
                     rows["n_base"].append(len(places))
@@ -163,10 +187,10 @@ def scan(docs, phrases=PHRASES, notices=NOTICES, edits=0.1, id_col="doc_id", tex
                     rows["base"].append(",".join(sorted(own)))
                     rows["labels"].append(",".join(sorted(own | {f[0] for f in found})))
                     rows["score"].append(1.0 if own else max((f[4] for f in found), default=0.0))
-                    rows["spans"].append([{"label": f[0], "first_word": text.count(" ", 0, f[1]), "n_words": text.count(" ", f[1], f[2]) + 1, "edits": f[3]} for f in found])
+                    rows["spans"].append([{"label": f[0], "first_word": a, "n_words": b - a + 1, "edits": f[3]} for f, (a, b) in zip(found, words)])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(np.diff(at), pa.int64()), *(pa.array(rows[k], pa.int64()) for k in ("n_base", "first", "last")), *(pa.array(rows[k], pa.string()) for k in ("base", "labels")), pa.array(rows["score"], pa.float64()), pa.array(rows["spans"], pa.list_(span))],
                     [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:long,n_words:long,edits:int>>")
+    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:long,n_words:long,edits:int>>")

@@ -65,7 +65,7 @@ def op6_quality_rules(spark, sf_dir):
 
 
 def op7_license_scan(spark, sf_dir):
-    return licences.scan(_read(spark, sf_dir, "documents")).drop("spans")
+    return licences.scan(_read(spark, sf_dir, "documents"))
 
 
 def op8_source_mixing(spark, sf_dir):
