@@ -14,7 +14,7 @@ import json
 
 import numpy as np
 
-from .common import chunks, ship
+from .common import chunks, quoted, ship
 from .rolling import byte_prefix, mix, spans
 
 #: Distinct space-led pieces a worker remembers; the table is emptied beyond that, so memory stays bounded.
@@ -323,7 +323,7 @@ def encode_decode(docs, path, id_col="doc_id", text_col="text", keep_ids=False):
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(load(path))
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def run(batches):
         coder = Encoder(shared.value)
@@ -341,4 +341,4 @@ def encode_decode(docs, path, id_col="doc_id", text_col="text", keep_ids=False):
                 cols.append(pa.array(all_ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(run, schema)

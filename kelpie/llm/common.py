@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
@@ -9,6 +10,7 @@ import uuid
 import zipfile
 
 import numpy as np
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer single text is taken alone.
 CHUNK_BYTES = 2 << 20
@@ -32,10 +34,12 @@ def ship(spark):
 
 
 def scratch_dir(spark):
-    """The shared folder that the cluster names; a temporary one only where none is named (tests)."""
+    """The shared folder that the cluster names; on a local master (tests) a temporary one where none is named."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = getattr(sc, "_kelpie_scratch", None)
         if named is None:
             named = sc._kelpie_scratch = tempfile.mkdtemp(prefix="kelpie-")
@@ -52,11 +56,26 @@ def written(df, name):
     release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._kelpie_path = path
+    for made in _COLLECTING:
+        made.append(out)
     return out
 
 
+_COLLECTING = []
+
+
+@contextlib.contextmanager
+def collecting(made):
+    """Append to `made` every table that written() makes meanwhile, for a later discard()."""
+    _COLLECTING.append(made)
+    try:
+        yield
+    finally:
+        _COLLECTING.remove(made)
+
+
 def discard(*tables):
-    """Delete tables of written() from which everything that is needed has been written on."""
+    """Delete tables of written() from which everything that is needed has been written on (again: no harm)."""
     for t in tables:
         spark, path = t.sparkSession, t._kelpie_path
         jvm = spark.sparkContext._jvm
@@ -80,6 +99,16 @@ def shuffle_partitions(spark):
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def every_column(df):
+    """All columns of df in one struct, which no name of an operator's own can clash with."""
+    return F.struct(*(F.col(quoted(c)) for c in df.columns))
+
+
+def quoted(name):
+    """A column's name as SQL reads it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def utf8(arr):
     """(bytes, offsets) of an Arrow string column; nulls are empty texts."""
     import pyarrow as pa

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from .common import chunks, ship, written
+from .common import chunks, discard, quoted, ship, written
 from .rolling import byte_prefix, doc_bounds, prefix, repeated, spans, words
 
 _SYMBOLS = [ord(c) for c in "#$%&*|!<>@_{}~^=+/\\"]
@@ -168,12 +168,18 @@ def document_statistics(docs, id_col="doc_id", text_col="text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), flat], [id_col, "features"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, features array<float>")
+    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(run, f"`{id_col}` {kind}, features array<float>")
 
 
 def held_out(id_col="doc_id"):
     """Whether a row is kept from training: crc32 of its id as text is a multiple of 5. A null id is held out."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    return F.coalesce(F.crc32(F.col(quoted(id_col)).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def taught(labels, label="quality", id_col="doc_id"):
+    """(id_col, y): the labels that may be learnt from."""
+    rows = labels.select(quoted(id_col), F.col(quoted(label)).cast("int").alias("_label"))
+    return rows.where(F.col("_label").isin(0, 1) & ~held_out(id_col)).groupBy(quoted(id_col)).agg(F.min("_label").alias("_label"))
 
 
 def fit(stats, labels, label="quality", max_train=30_000, id_col="doc_id", **trees):
@@ -181,10 +187,9 @@ def fit(stats, labels, label="quality", max_train=30_000, id_col="doc_id", **tre
 
     An id labelled twice has its smaller label; null labels and null ids teach nothing.
     """
-    taught = labels.select(F.col(id_col), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.min("y").alias("y"))
-    rows = stats.join(taught, id_col).orderBy(F.xxhash64(id_col), id_col).limit(max_train).toPandas()
+    rows = stats.join(taught(labels, label, id_col), id_col).orderBy(F.xxhash64(quoted(id_col)), quoted(id_col)).limit(max_train).toPandas()
     x = np.array(rows["features"].tolist(), np.float32).reshape(-1, len(FEATURES))
-    return Trees(**trees).fit(x, rows["y"].to_numpy(np.float64))
+    return Trees(**trees).fit(x, rows["_label"].to_numpy(np.float64))
 
 
 def score_documents(docs, labels, label="quality", threshold=0.3, max_train=30_000, id_col="doc_id", text_col="text", **trees):
@@ -208,16 +213,25 @@ def score_documents(docs, labels, label="quality", threshold=0.3, max_train=30_0
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return stats.select(id_col, "features", held_out(id_col).alias("held_out")).mapInArrow(run, f"{id_col} {kind}, held_out boolean, score double, predicted int")
+    return stats.select(quoted(id_col), "features", held_out(id_col).alias("held_out")).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs, labels, label="quality", threshold=0.3, max_train=30_000, id_col="doc_id", text_col="text", **trees):
-    """The rows of docs that score at least threshold, unchanged; scored as in score_documents, without a shuffle of texts."""
+    """The rows of docs that score at least threshold, unchanged; scored as in score_documents, without a shuffle of texts.
+
+    Statistics are computed once of every text, and before that of the texts that are learnt from: the ids of these,
+    max_train at most, are broadcast. Other columns pass through, whatever their names.
+    """
     import pyarrow as pa
 
     spark = docs.sparkSession
-    stats = written(document_statistics(docs, id_col, text_col), "statistics")
+    ids = docs.select(quoted(id_col)).distinct()
+    chosen = taught(labels, label, id_col).join(ids, id_col, "left_semi").orderBy(F.xxhash64(quoted(id_col)), quoted(id_col)).limit(max_train)
+    chosen = written(chosen.select(F.col(quoted(id_col)).alias("id")), "chosen")
+    some = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).join(F.broadcast(chosen), "id", "left_semi")
+    stats = written(document_statistics(some, "id", "text").withColumnRenamed("id", id_col), "statistics")
     model = spark.sparkContext.broadcast(fit(stats, labels, label, max_train, id_col, **trees))
+    discard(chosen, stats)
 
     def run(batches):
         for batch in batches:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from .common import chunks, ship, written
+from .common import chunks, quoted, ship, written
 from .rolling import byte_prefix, doc_bounds, prefix, repeated, spans, words
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -67,7 +67,7 @@ def document_counts(docs, id_col="doc_id", text_col="text"):
                 x = counts(data, offs)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x[:, j]) for j in range(len(COUNTS)))], [id_col, *COUNTS])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def default_rules():
