@@ -14,7 +14,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, ship, written
+from .common import chunks, discard, every_column, quoted, ship, written
 from .graph import components
 from .repeats import Sequence, lists_of
 from .rolling import mix, spans
@@ -128,17 +128,25 @@ def join(docs, n=NGRAM, threshold=THRESHOLD, recall=RECALL, block=BLOCK, id_col=
     n-grams (words are unchanged runs without ASCII white space). n_links: other rows whose text is that similar, equal
     ones included. Null texts and texts without words link to nothing: their node and class_key are null and class_id is
     their own id. Rows that repeat an id count as rows of their own; null ids never name a class unless it has no other.
+    Columns besides id and text are never read.
     """
+    found = _classes(docs, n, threshold, recall, block, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), "node", "class_key", "class_id", "n_links", "copies")
+
+
+def _classes(docs, n, threshold, recall, block, id_col, text_col):
+    """What join() returns, with the id as `id` and a hash of the text as `key`: together they name a row's text."""
     import pyarrow as pa
 
     spark = docs.sparkSession
     ship(spark)
     bands, rows = banding(threshold, recall)
     kind = docs.schema[id_col].dataType.simpleString()
+    id_, text_ = F.col(quoted(id_col)), F.col(quoted(text_col))
 
     def sketch(batches):
         for batch in batches:
-            for part, data, offs in chunks(batch, text_col, 1 << 20):
+            for part, data, offs in chunks(batch, "text", 1 << 20):
                 sets = ngram_sets(Sequence(data, offs, "words"), n)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 sketch_ = signatures([sets[i] for i in some], bands, rows).view(np.int64)
@@ -147,9 +155,10 @@ def join(docs, n=NGRAM, threshold=THRESHOLD, recall=RECALL, block=BLOCK, id_col=
                 for i in some:
                     keys[i] = node_key(sets[i])
                     where[i + 1] = bands
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum(where), pa.int32()), pa.array(sketch_.ravel()))], ["id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum(where), pa.int32()), pa.array(sketch_.ravel()))], ["id", "key", "node", "bands"])
 
-    table = written(docs.select(id_col, text_col).mapInArrow(sketch, f"id {kind}, node long, bands array<long>"), "sketches")
+    table = docs.select(id_.alias("id"), text_.alias("text"), F.xxhash64(text_).alias("key"))
+    table = written(table.mapInArrow(sketch, f"id {kind}, key long, node long, bands array<long>"), "sketches")
     nodes = table.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     nodes = written(nodes, "nodes")
     members = table.where(F.col("node").isNotNull()).select("node", F.explode("bands").alias("bucket"))
@@ -163,7 +172,7 @@ def join(docs, n=NGRAM, threshold=THRESHOLD, recall=RECALL, block=BLOCK, id_col=
     asked = candidates.join(squares, "root").join(nodes, "node").select(F.col("id").alias("_id"), "node", "root", "squares", "copies")
     asked = written(asked, "asked")
     discard(candidates, squares)
-    rows_ = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows_ = docs.select(id_.alias("id"), text_.alias("text"))
     # a merge join at every size: whether the candidates would fit a broadcast hangs on the data
     rows_ = rows_.hint("merge").join(asked, rows_["id"].eqNullSafe(asked["_id"])).select("text", "node", "root", "squares", "copies")
 
@@ -228,22 +237,24 @@ def join(docs, n=NGRAM, threshold=THRESHOLD, recall=RECALL, block=BLOCK, id_col=
     classes = written(known.join(names, "class_key").select("node", "class_key", "class_id", "n_links", "copies"), "classes")
     discard(known, names)
     known = classes
-    out = table.select(F.col("id").alias(id_col), "node").join(known, "node", "left")
-    return out.select(id_col, "node", "class_key", F.when(F.col("node").isNull(), F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    out = table.select("id", "key", "node").join(known, "node", "left")
+    return out.select("id", "key", "node", "class_key", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
-def keep_one(docs, id_col="doc_id", text_col="text", **how):
-    """The rows of docs without near duplicates: of each class the row of the least id stays.
+def keep_one(docs, n=NGRAM, threshold=THRESHOLD, recall=RECALL, block=BLOCK, id_col="doc_id", text_col="text"):
+    """The rows of docs without near duplicates: of each class one row stays, one of its least id.
 
-    Rows without words all stay. Where rows repeat that id within a class, one of them stays.
+    Rows without words all stay. Where texts of a class share that id, the one of the least hash stays; where whole rows
+    or rows but for other columns repeat, any one of them. A null id leads a class only where no other row does. Other
+    columns pass through, whatever their names.
     """
-    found = written(join(docs, id_col=id_col, text_col=text_col, **how), "classes")
-    lone = found.where(F.col("class_key").isNull())
-    best = found.where(F.col("class_key").isNotNull() & F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("class_key", F.col(id_col)).agg(F.count("*").alias("n"), F.min("node").alias("node"))
-    once = written(best.select(id_col, "n").union(lone.select(id_col, F.lit(1).cast("long"))).select(F.col(id_col).alias("_id"), "n").groupBy("_id").agg(F.max("n").alias("_n")), "kept")
+    found = written(_classes(docs, n, threshold, recall, block, id_col, text_col), "classes")
+    texts = found.where(F.col("class_key").isNotNull()).groupBy("class_key", "id", "key").agg(F.count("*").alias("n"))
+    lead = texts.groupBy("class_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("lead"))
+    lone = found.where(F.col("class_key").isNull()).select("id", "key", F.lit(1).cast("long").alias("n")).distinct()
+    kept = written(lead.select("lead.id", "lead.key", "lead.n").union(lone), "kept").select(F.col("id").alias("kept_id"), F.col("key").alias("kept_key"), "n")
     discard(found)
-    rows = docs.join(once, docs[id_col].eqNullSafe(once["_id"]))
-    names = [docs[c] for c in docs.columns]
-    single = rows.where(F.col("_n") == 1).select(*names)
-    several = rows.where(F.col("_n") > 1).select(*names).dropDuplicates([id_col, text_col])
-    return single.unionByName(several)
+    rows = docs.select(every_column(docs).alias("row"), F.col(quoted(id_col)).alias("id"), F.xxhash64(quoted(text_col)).alias("key"))
+    rows = rows.hint("merge").join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
+    several = rows.where("n > 1").dropDuplicates(["id", "key"])
+    return rows.where("n = 1").select("row.*").union(several.select("row.*"))
