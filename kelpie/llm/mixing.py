@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import chunks, ship, written
+from .common import chunks, discard, every_column, quoted, ship, written
 from .rolling import words
 
 #: Blocks that a source's documents fall into, at most.
@@ -56,61 +56,85 @@ def split(quotas, shards, seed=0):
 
 
 def sizes(docs, id_col="doc_id", text_col="text", source_col="source"):
-    """(id_col, source_col, size) of every row: the words of the whole text, 0 for a null one."""
+    """(id, source, size) of every row: the words of the whole text, 0 for a null one."""
     import pyarrow as pa
 
     ship(docs.sparkSession)
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, source_col)}
+    kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, source_col)]
 
     def run(batches):
         for batch in batches:
-            for part, data, offs in chunks(batch, text_col):
+            for part, data, offs in chunks(batch, "text"):
                 _, _, doc = words(data, offs)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.bincount(doc, minlength=part.num_rows), pa.int64())], [id_col, source_col, "size"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.bincount(doc, minlength=part.num_rows), pa.int64())], ["id", "source", "size"])
 
-    return docs.select(id_col, text_col, source_col).mapInArrow(run, f"{id_col} {kinds[id_col]}, {source_col} {kinds[source_col]}, size long")
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), F.col(quoted(source_col)).alias("source"))
+    return rows.mapInArrow(run, f"id {kinds[0]}, source {kinds[1]}, size long")
 
 
-def plan(docs, weights=(5, 2, 1), ceiling=3, shards=16, seed=0, max_sources=1_000_000, id_col="doc_id", text_col="text", source_col="source"):
+def _quotas(rest, passes, words, order):
+    """(times, numbers) of a source's blocks: whole passes over all, and of one more the blocks, in order, that still fit."""
+    n = len(words)
+    times, numbers = [passes] * n, [[j * n + i for j in range(passes)] for i in range(n)]
+    at = passes * n
+    for i in order:
+        if words[i] <= rest:
+            rest -= words[i]
+            times[i] += 1
+            numbers[i].append(at)
+            at += 1
+    return times, numbers
+
+
+def plan(docs, weights=(5, 2, 1), ceiling=3, shards=16, seed=0, max_sources=300_000, id_col="doc_id", text_col="text", source_col="source"):
     """How often the mix takes each document, and where.
 
     Returns id_col, source_col, size, source_size, target, times (0 to ceiling), taken (size * times) and shards
     (the output shard of each copy). Sources are taken in code-point order, null last, and weights repeat along it.
-    One row per source goes to the driver (ValueError beyond max_sources: a mix is specified per source), nothing else
-    does. Blocks and their order hang on a hash of id and seed alone, so reruns agree; rows that repeat an id share a
-    block and are taken alike. An empty table gives no rows; a source without words has the target 0.
+    The last pass over a source takes, in a permuted order, every block that still fits: a source's taken words stay
+    under its target by less than its least block left out, and never exceed it. One row per source goes to the driver
+    (ValueError beyond max_sources: a mix is specified per source, and numpy draws from fewer than 10**9 block copies,
+    3072 a source), nothing else does. Blocks and their order hang on a hash of id and seed alone, so reruns agree; rows
+    that repeat an id share a block and are taken alike. An empty table gives no rows; a source without words has the
+    target 0. Other columns are never read.
     """
+    import pyarrow as pa
+
     spark = docs.sparkSession
     table = written(sizes(docs, id_col, text_col, source_col), "sizes")
-    key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("null"))
-    block = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(BLOCKS)).cast("int")
-    rows = table.select(id_col, source_col, "size", key.alias("_source"), block.alias("_block"))
-    blocks = written(rows.groupBy("_source", "_block").agg(F.sum("size").alias("_words"), F.min(source_col).alias("_name")), "blocks")
-    found = blocks.groupBy("_source").agg(F.sum("_words").alias("words"), F.count("*").alias("blocks"), F.min("_name").alias("name")).limit(max_sources + 1).collect()
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
+    block = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(BLOCKS)).cast("int")
+    rows = table.select("id", "source", "size", key.alias("name"), block.alias("block"))
+    blocks = written(rows.groupBy("name", "block").agg(F.sum("size").alias("words"), F.min("source").alias("source")), "blocks")
+    found = blocks.groupBy("name").agg(F.sum("words").alias("words"), F.min("source").alias("source")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
-    found.sort(key=lambda r: (r["name"] is None, (r["name"] or "").encode()))
+    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     goal = targets([r["words"] for r in found], weights, ceiling)
     known = spark.createDataFrame(
-        [(r["_source"], r["words"], r["blocks"], t, *_passes(t, r["words"], ceiling)) for r, t in zip(found, goal)],
-        "_source string, source_size long, _blocks long, target double, _passes int, _rest double",
-    )
-    order = Window.partitionBy("_source").orderBy(F.xxhash64("_block", F.lit(seed + 1)), "_block")
-    blocks = (
-        blocks.join(known, "_source")
-        .withColumn("_rank", F.row_number().over(order) - 1)
-        .withColumn("_before", F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_words"))
-        .withColumn("times", F.col("_passes") + (F.col("_before") + F.col("_words") / 2 <= F.col("_rest")).cast("int"))
+        [(r["name"], r["words"], t, *_passes(t, r["words"], ceiling)) for r, t in zip(found, goal)],
+        "name string, source_size long, target double, passes int, rest double",
     )
-    blocks = written(blocks.select("_source", "_block", "source_size", "target", "_blocks", "_rank", "times"), "quotas")
-    quota = {r["_source"]: r["quota"] for r in blocks.groupBy("_source").agg(F.sum("times").alias("quota")).collect()}
-    shares = split([quota.get(r["_source"], 0) for r in found], shards, seed)
-    bounds = spark.createDataFrame([(r["_source"], [int(x) for x in np.cumsum(shares[:, i])]) for i, r in enumerate(found)], "_source string, _bounds array<long>")
-    # copy j of the block of rank i is number j * blocks + i of its source; a shard takes a run of these numbers
-    number = lambda j: j * F.col("_blocks") + F.col("_rank")
-    where = F.transform(F.when(F.col("times") > 0, F.sequence(F.lit(0), F.col("times") - 1)).otherwise(F.array().cast("array<int>")), lambda j: F.size(F.filter(F.col("_bounds"), lambda b: b <= number(j))))
-    blocks = blocks.join(bounds, "_source").select("_source", "_block", "source_size", "target", "times", where.alias("shards"))
-    return rows.join(blocks, ["_source", "_block"]).select(id_col, source_col, "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"), "shards")
+
+    def quotas(part):
+        """One source: BLOCKS rows at most."""
+        part = part.sort_by("turn")
+        passes, rest = part.column("passes")[0].as_py(), part.column("rest")[0].as_py()
+        times, numbers = _quotas(rest, passes, part.column("words").to_pylist(), range(part.num_rows))
+        return pa.table([*(part.column(c) for c in ("name", "block", "source_size", "target")), pa.array(times, pa.int32()), pa.array(numbers, pa.list_(pa.int64()))], ["name", "block", "source_size", "target", "times", "numbers"])
+
+    turn = F.row_number().over(Window.partitionBy("name").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block"))
+    drawn = blocks.join(known, "name").withColumn("turn", turn).select("name", "block", "words", "source_size", "target", "passes", "rest", "turn")
+    drawn = written(drawn.groupBy("name").applyInArrow(quotas, "name string, block int, source_size long, target double, times int, numbers array<long>"), "quotas")
+    discard(blocks)
+    quota = {r["name"]: r["quota"] for r in drawn.groupBy("name").agg(F.sum("times").alias("quota")).collect()}
+    shares = split([quota.get(r["name"], 0) for r in found], shards, seed)
+    bounds = spark.createDataFrame([(r["name"], [int(x) for x in np.cumsum(shares[:, i])]) for i, r in enumerate(found)], "name string, bounds array<long>")
+    # the copies of a source's blocks are numbered; a shard takes a run of these numbers
+    where = F.transform("numbers", lambda number: F.size(F.filter(F.col("bounds"), lambda b: b <= number)))
+    drawn = drawn.join(bounds, "name").select("name", "block", "source_size", "target", "times", where.alias("shards"))
+    out = rows.join(drawn, ["name", "block"])
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"), "shards")
 
 
 def _passes(target, size, ceiling):
@@ -119,16 +143,20 @@ def _passes(target, size, ceiling):
     return whole, (float(target - whole * size) if 0 < size and whole < ceiling else -1.0)
 
 
-def mix(docs, id_col="doc_id", text_col="text", source_col="source", seed=0, **how):
+def mix(docs, id_col="doc_id", text_col="text", source_col="source", seed=0, piece_words=8_000_000, **how):
     """The mixed rows themselves: the columns of docs, each row as often as the plan takes it, dealt to shards.
 
-    Rows of a shard lie together in a local shuffle order.
+    Rows of a shard lie together in a local shuffle order, in pieces of about piece_words words (64 at least), so that
+    the pieces written grow with the mix. Rows that repeat an id within a source are taken alike; other columns pass
+    through, whatever their names.
     """
     drawn = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **how)
+    drawn = drawn.select(F.col(quoted(id_col)).alias("drawn_id"), F.col(quoted(source_col)).alias("drawn_source"), "shards", "taken")
     # rows that repeat an id have the same times and shards
-    times = drawn.groupBy(id_col, source_col).agg(F.first("shards").alias("_shards"))
-    times = times.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), "_shards")
-    joined = docs.join(times, docs[id_col].eqNullSafe(times["_id"]) & docs[source_col].eqNullSafe(times["_src"]))
-    names = [docs[c] for c in docs.columns]
-    dealt = joined.select(*names, F.posexplode("_shards").alias("_copy", "_shard"))
-    return dealt.repartition("_shard", F.pmod(F.xxhash64(id_col, "_copy"), F.lit(64))).sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), F.col(id_col), F.col("_copy"))).select(*docs.columns)
+    times = written(drawn.groupBy("drawn_id", "drawn_source").agg(F.first("shards").alias("shards"), F.sum("taken").alias("taken")), "times")
+    pieces = max(64, -(-int(times.agg(F.sum("taken")).first()[0] or 0) // (how.get("shards", 16) * piece_words)))
+    rows = docs.select(every_column(docs).alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(source_col)).alias("source"))
+    rows = rows.hint("merge").join(times, F.col("id").eqNullSafe(F.col("drawn_id")) & F.col("source").eqNullSafe(F.col("drawn_source")))
+    dealt = rows.select("row", "id", F.posexplode("shards").alias("copy", "shard"))
+    dealt = dealt.repartition("shard", F.pmod(F.xxhash64("id", "copy"), F.lit(pieces)))
+    return dealt.sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "id", "copy")).select("row.*")
