@@ -13,6 +13,7 @@ import re
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import chunks, discard, ship, written
 from .repeats import Anchors, Sequence, lists_of, shared_windows, text_tag, unpack
@@ -25,7 +26,10 @@ _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _merge(proposed):
-    """(doc, sdoc, stag, slo, n): runs of covered windows that follow their source in step, each as one passage of n windows."""
+    """(doc, sdoc, stag, slo, n): runs of covered windows that follow their source in step, each as one passage of n windows.
+
+    A passage that a document holds many times over (text of a short period falls out of step at every turn) comes once.
+    """
     import pyarrow as pa
 
     per_doc = proposed.groupBy("doc").agg(*(F.collect_list(c).alias(c) for c in ("packed", "sdoc", "spacked")))
@@ -40,9 +44,10 @@ def _merge(proposed):
                 same = (tag[1:] == tag[:-1]) & (sdoc[1:] == sdoc[:-1]) & (stag[1:] == stag[:-1]) & (slo[1:] - lo[1:] == slo[:-1] - lo[:-1])
                 first = np.flatnonzero(np.append(True, ~(same & (lo[1:] <= lo[:-1] + count[:-1]))))
                 end = np.append(first[1:], len(lo)) - 1
-                out.append((np.full(len(first), doc), sdoc[first], stag[first], slo[first], lo[end] + count[end] - lo[first]))
+                runs = np.unique(np.stack([sdoc[first], stag[first], slo[first], lo[end] + count[end] - lo[first]]), axis=1)
+                out.append(np.concatenate([np.full((1, runs.shape[1]), doc), runs]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], ["doc", "sdoc", "stag", "slo", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.concatenate(out, axis=1)], ["doc", "sdoc", "stag", "slo", "n"])
 
     return per_doc.mapInArrow(run, "doc long, sdoc long, stag long, slo long, n long")
 
@@ -108,17 +113,21 @@ def remove_passages(docs, window=WINDOW, seed=SEED, id_col="doc_id", text_col="t
     Earlier: in a document with a smaller id, or before it in the same one. Returns id_col, n_words, n_removed,
     kept_sha256, the columns in carry and, with_text, kept_text (the text itself where nothing is removed, else the kept
     words joined by one space). Null and short texts lose nothing. Rows that repeat an id are each judged against
-    smaller ids and against themselves, not against each other; null ids against themselves only.
+    smaller ids and against themselves, not against each other; null ids against themselves only. Columns in carry may
+    not bear the names of the results (ValueError; pack them into a struct); other columns are never read.
     """
     import pyarrow as pa
 
+    if clash := {id_col, "n_words", "n_removed", "kept_sha256", "kept_text"} & set(carry):
+        raise ValueError(f"columns to carry have names of the results: {sorted(clash)}")
+
     spark = docs.sparkSession
     ship(spark)
 
     def keys(seq, p):
         return seq.windows(p, window, 0), seq.windows(p, window, 1)
 
-    runs, windows = shared_windows(docs, id_col, text_col, "words", window, seed, keys)
+    runs, windows, scratch = shared_windows(docs, id_col, text_col, "words", window, seed, keys)
     proposed = runs.union(windows)
     sources = proposed.where("first").groupBy("key").agg(F.min("doc").alias("sdoc"), F.min("packed").alias("spacked"))
     sources = written(sources, "sources")
@@ -128,10 +137,10 @@ def remove_passages(docs, window=WINDOW, seed=SEED, id_col="doc_id", text_col="t
     place = ["sdoc", "stag", "slo", "n"]
     phrases = written(_phrases(texts, merged.select(*place).distinct(), window), "phrases")
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    discard(*scratch)
     shards = max(1, -(-int(size) // SHARD_BYTES))
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
     wanted = merged.select(shard(F.col("doc")).alias("shard"), *place).distinct()
-    rest = docs.schema[id_col].dataType.simpleString()
     carried = F.struct(F.col(id_col).alias("id"), *(F.col(c) for c in carry))
     none = F.lit(None).cast(docs.select(carried.alias("c")).schema["c"].dataType)
     told = wanted.join(phrases, place).select("shard", F.lit(0).alias("kind"), F.col("sdoc").alias("doc"), "text", none.alias("carried"))
@@ -173,5 +182,6 @@ def remove_passages(docs, window=WINDOW, seed=SEED, id_col="doc_id", text_col="t
                         cols.append(pa.array(texts_, pa.string()))
                     yield pa.RecordBatch.from_arrays(cols, [id_col, "n_words", "n_removed", "kept_sha256", *carry] + ["kept_text"] * with_text)
 
-    schema = f"`{id_col}` {rest}, n_words long, n_removed long, kept_sha256 string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", kept_text string" * with_text
+    kinds = docs.schema
+    schema = StructType([StructField(id_col, kinds[id_col].dataType), *(StructField(c, t) for c, t in zip(("n_words", "n_removed", "kept_sha256"), (LongType(), LongType(), StringType()))), *(StructField(c, kinds[c].dataType) for c in carry), *[StructField("kept_text", StringType())][: int(with_text)]])
     return rows.mapInArrow(run, schema)

@@ -91,6 +91,10 @@ def text_tag(seq):
     return (spans(seq.pre[1], seq.at[:-1], seq.at[1:], 1) >> _U(38)).astype(np.int64)
 
 
+#: Windows that a run may have: its count takes 7 bits.
+MOST_WINDOWS = 127
+
+
 def pack(tag, count, lo):
     """One number for a run of windows: 26 bits of tag, 7 of count, 31 of the first start."""
     return (tag.astype(np.int64) << 38) | (count.astype(np.int64) << 31) | lo.astype(np.int64)
@@ -162,7 +166,7 @@ def _probes(asked, by, length, seed, levels):
 def shared_windows(docs, id_col, text_col, by, length, seed, window_keys, levels=()):
     """Tables of what is repeated across documents, before text is compared again.
 
-    Returns (runs, windows): runs (doc, packed, key, first, covered) for anchors whose context stands in several
+    Returns (runs, windows, scratch tables they read): runs (doc, packed, key, first, covered) for anchors whose context stands in several
     documents, windows (doc, packed, key, first, covered) likewise for single windows of seeds with several contexts.
     covered: it also stands in a document with a smaller id. first: it stands in no smaller one.
     window_keys(seq, p) gives two fingerprints of the windows at p. levels: (side, size) steps, growing on each side
@@ -172,6 +176,8 @@ def shared_windows(docs, id_col, text_col, by, length, seed, window_keys, levels
     """
     import pyarrow as pa
 
+    if not 0 < seed <= length or length - seed + 1 > MOST_WINDOWS:
+        raise ValueError(f"the seed must be 1 to {MOST_WINDOWS - 1} symbols shorter than the window, or as long")
     rows = lambda: _anchor_rows(docs, id_col, text_col, by, length, seed)  # noqa: E731  computed twice: cheaper than keeping it
     seeds = rows().groupBy("s").agg(F.min("doc").alias("m"), F.max("doc").alias("most"), F.min("f").alias("f0"), F.max("f").alias("f1"))
     seeds = written(seeds.where(F.col("m") < F.col("most")).select("s", (F.col("f0") != F.col("f1")).alias("several")), "seeds")
@@ -233,4 +239,4 @@ def shared_windows(docs, id_col, text_col, by, length, seed, window_keys, levels
     runs = shared.where("again").select("doc", "packed", "key", "first", "covered")
     windows = written(windows, "repeated")
     discard(single, pairs, *([per_doc] if levels else []))
-    return runs, windows
+    return runs, windows, [shared, windows]

@@ -38,7 +38,7 @@ def remove_repeats(docs, length=LENGTH, seed=SEED, half=HALF, id_col="doc_id", t
     def keys(seq, p):
         return seq.windows(p, half, 0), seq.windows(p + length - half, half, 0)
 
-    runs, windows = shared_windows(docs, id_col, text_col, "bytes", length, seed, keys, LEVELS)
+    runs, windows, _ = shared_windows(docs, id_col, text_col, "bytes", length, seed, keys, LEVELS)
     found = runs.where("covered").select("doc", "packed").union(windows.where("covered").select("doc", "packed"))
     found = found.groupBy("doc").agg(F.collect_list("packed").alias("packed"))
     rows = docs.select(F.col(id_col).alias("_row_id"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(found, "doc", "left").select("_row_id", "text", "packed")
@@ -67,4 +67,4 @@ def remove_repeats(docs, length=LENGTH, seed=SEED, half=HALF, id_col="doc_id", t
                     sha.append(hashlib.sha256((raw[~mask] if removed[d] else raw).tobytes()).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offs)), pa.array(removed), pa.array(spans_), pa.array(sha, pa.string())], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
