@@ -57,7 +57,7 @@ def _phrases(texts, passages, window):
     import pyarrow as pa
 
     per_doc = passages.groupBy("sdoc").agg(*(F.collect_list(c).alias(c) for c in ("stag", "slo", "n")))
-    per_doc = texts.join(per_doc, texts["doc"] == per_doc["sdoc"]).select("sdoc", "text", "stag", "slo", "n")
+    per_doc = texts.hint("merge").join(per_doc, texts["doc"] == per_doc["sdoc"]).select("sdoc", "text", "stag", "slo", "n")
 
     def run(batches):
         for batch in batches:

@@ -181,23 +181,24 @@ def shared_windows(docs, id_col, text_col, by, length, seed, window_keys, levels
     rows = lambda: _anchor_rows(docs, id_col, text_col, by, length, seed)  # noqa: E731  computed twice: cheaper than keeping it
     seeds = rows().groupBy("s").agg(F.min("doc").alias("m"), F.max("doc").alias("most"), F.min("f").alias("f0"), F.max("f").alias("f1"))
     seeds = written(seeds.where(F.col("m") < F.col("most")).select("s", (F.col("f0") != F.col("f1")).alias("several")), "seeds")
-    shared = anchors = written(rows().join(seeds, "s"), "anchors")
+    shared = anchors = written(rows().hint("merge").join(seeds, "s"), "anchors")
     discard(seeds)
     contexts = shared.groupBy("s", "f").agg(F.min("doc").alias("m"), F.max("doc").alias("most"))
     contexts = written(contexts, "contexts")
-    shared = shared.join(contexts, ["s", "f"]).select("doc", "packed", F.col("f").alias("key"), "several", (F.col("doc") == F.col("m")).alias("first"), (F.col("m") < F.col("most")).alias("again"), (F.col("doc") > F.col("m")).alias("covered"))
+    shared = shared.hint("merge").join(contexts, ["s", "f"]).select("doc", "packed", F.col("f").alias("key"), "several", (F.col("doc") == F.col("m")).alias("first"), (F.col("m") < F.col("most")).alias("again"), (F.col("doc") > F.col("m")).alias("covered"))
     shared = written(shared, "shared")
     discard(anchors, contexts)
 
     # windows of seeds with several contexts, where the context is new
     per_doc = shared.where(F.col("several") & F.col("first")).groupBy("doc").agg(F.collect_list("packed").alias("open"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    # merge joins at every size: whether what is asked for would fit a broadcast hangs on the data
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).hint("merge")
     if levels:
         probes = written(_probes(texts.join(per_doc.select("doc", "open"), "doc"), by, length, seed, levels), "probes")
         agreed = probes.groupBy("key").agg(F.min("doc").alias("m"), F.max("doc").alias("most"))
         agreed = written(agreed.where(F.col("m") < F.col("most")).select("key"), "agreed")
         keys = agreed
-        agreed = probes.join(keys, "key").groupBy("doc").agg(F.collect_list("packed").alias("packed"), F.collect_list(F.col("bit").cast("long")).alias("bits"))
+        agreed = probes.hint("merge").join(keys, "key").groupBy("doc").agg(F.collect_list("packed").alias("packed"), F.collect_list(F.col("bit").cast("long")).alias("bits"))
         per_doc = written(per_doc.join(agreed, "doc"), "open")
         discard(probes, keys)
     else:
@@ -235,7 +236,7 @@ def shared_windows(docs, id_col, text_col, by, length, seed, window_keys, levels
     single = written(asked.mapInArrow(run, "k1 long, k2 long, doc long, packed long"), "windows")
     pairs = single.groupBy("k1", "k2").agg(F.min("doc").alias("m"), F.max("doc").alias("most"))
     pairs = written(pairs.where(F.col("m") < F.col("most")).select("k1", "k2", "m"), "pairs")
-    windows = single.join(pairs, ["k1", "k2"]).select("doc", "packed", F.col("k1").alias("key"), (F.col("doc") == F.col("m")).alias("first"), (F.col("doc") > F.col("m")).alias("covered"))
+    windows = single.hint("merge").join(pairs, ["k1", "k2"]).select("doc", "packed", F.col("k1").alias("key"), (F.col("doc") == F.col("m")).alias("first"), (F.col("doc") > F.col("m")).alias("covered"))
     runs = shared.where("again").select("doc", "packed", "key", "first", "covered")
     windows = written(windows, "repeated")
     discard(single, pairs, *([per_doc] if levels else []))

@@ -41,7 +41,7 @@ def remove_repeats(docs, length=LENGTH, seed=SEED, half=HALF, id_col="doc_id", t
     runs, windows, _ = shared_windows(docs, id_col, text_col, "bytes", length, seed, keys, LEVELS)
     found = runs.where("covered").select("doc", "packed").union(windows.where("covered").select("doc", "packed"))
     found = found.groupBy("doc").agg(F.collect_list("packed").alias("packed"))
-    rows = docs.select(F.col(id_col).alias("_row_id"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(found, "doc", "left").select("_row_id", "text", "packed")
+    rows = docs.select(F.col(id_col).alias("_row_id"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).hint("merge").join(found, "doc", "left").select("_row_id", "text", "packed")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
