@@ -18,7 +18,11 @@ from .common import chunks, quoted, ship
 from .rolling import byte_prefix, mix, spans
 
 #: Distinct space-led pieces a worker remembers; the table is emptied beyond that, so memory stays bounded.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 400_000
+#: Arcs that are kept before the table starts anew.
+CACHE_ARCS = 4_000_000
+#: Arcs of single steps that an automaton remembers before it starts anew.
+CACHE_STATES = 1_500_000
 #: Bytes of text whose new words are run through the automaton together.
 BATCH_BYTES = 8 << 20
 #: Bytes of a word up to which new words run through the automaton together; longer ones run alone.
@@ -81,7 +85,7 @@ class Automaton:
         key = (s, t)
         found = self.table.get(key)
         if found is None:
-            if len(self.table) >= 4 * CACHE_PIECES:
+            if len(self.table) >= CACHE_STATES:
                 self.table.clear()
             found = self.table[key] = self._walk(s, t, 1 << 60)
         return found
@@ -184,6 +188,9 @@ class Encoder:
     def _arcs(self, states, tokens):
         keys = (states.astype(np.uint64) << np.uint64(32)) | tokens.astype(np.uint64)
         out = self.arcs.get(keys)
+        if self.arcs.n > CACHE_ARCS:
+            self.arcs = IntTable()
+            out = self.arcs.get(keys)
         if (out < 0).any():
             new = np.unique(keys[out < 0])
             walk = self.automaton._walk

@@ -136,3 +136,15 @@ def chunks(batch, column="text", most=CHUNK_BYTES):
         hi = min(hi, batch.num_rows)
         yield batch.slice(lo, hi - lo), data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    trim()
+
+
+def trim():
+    """Give freed memory back to the system: workers are kept between stages, and what they hold counts for the executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
