@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, quoted, ship, written
+from .common import chunks, discard, every_column, quoted, ship, written
 from .rolling import byte_prefix, doc_bounds, prefix, repeated, spans, words
 
 _SYMBOLS = [ord(c) for c in "#$%&*|!<>@_{}~^=+/\\"]
@@ -235,8 +235,9 @@ def keep_good(docs, labels, label="quality", threshold=0.3, max_train=30_000, id
 
     def run(batches):
         for batch in batches:
-            for part, data, offs in chunks(batch, text_col):
+            for part, data, offs in chunks(pa.RecordBatch.from_struct_array(batch.column(0)), text_col):
                 good = model.value.score(statistics(data, offs)) >= threshold
-                yield part.filter(pa.array(good))
+                yield pa.RecordBatch.from_arrays([part.filter(pa.array(good)).to_struct_array()], ["row"])
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(every_column(docs).alias("row"))
+    return rows.mapInArrow(run, rows.schema).select("row.*")
