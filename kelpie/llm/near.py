@@ -20,8 +20,9 @@ from .repeats import Sequence, lists_of
 from .rolling import mix, spans
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.999
-#: Nodes in a block of a candidate group; a task verifies two blocks against each other.
-BLOCK = 192
+#: Nodes in a block of a candidate group, at least and at most; a task verifies two blocks against each other. Between
+#: the two a group has 16 blocks at most, so a set is sent 16 times at most in groups of up to 16,384 different texts.
+BLOCK, WIDEST, SQUARES = 192, 1024, 16
 _U = np.uint64
 _RNG = np.random.default_rng(7)
 _MUL = _RNG.integers(1, 1 << 63, 512, dtype=np.uint64) * _U(2) + _U(1)
@@ -167,7 +168,9 @@ def _classes(docs, n, threshold, recall, block, id_col, text_col):
     candidates = components(members.join(buckets, "bucket").select(F.col("node").alias("a"), F.col("head").alias("b")))
     candidates = written(candidates, "candidates")
     discard(buckets)
-    sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("squares"))
+    sizes = candidates.groupBy("root").agg(F.count("*").alias("n"))
+    wide = F.least(F.lit(max(block, WIDEST)), F.greatest(F.lit(block), F.ceil(F.col("n") / SQUARES))) if block >= BLOCK else F.lit(block)
+    sizes = sizes.select("root", F.ceil(F.col("n") / wide).cast("int").alias("squares"))
     squares = written(sizes, "sizes")
     asked = candidates.join(squares, "root").join(nodes, "node").select(F.col("id").alias("_id"), "node", "root", "squares", "copies")
     asked = written(asked, "asked")
