@@ -3,7 +3,7 @@
 Fingerprints propose which windows recur and where each first stands; windows that follow their source in step are one
 passage, whose words are fetched from there. Documents are dealt to shards of bounded text, and a shard gets the phrases proposed for any of its documents. Each shard
 compiles them into an Aho-Corasick automaton and streams all its documents through it: only what the automaton finds,
-word for word, is removed.
+word for word, is removed. Windows that fingerprints propose within one document are compared there, word for word too.
 """
 
 from __future__ import annotations
@@ -77,6 +77,17 @@ def _phrases(texts, passages, window):
     return per_doc.mapInArrow(run, "sdoc long, stag long, slo long, n long, text string")
 
 
+def _again(starts, keys, words, window):
+    """Of the window starts (all of some fingerprints, in order) those whose words stood at an earlier one."""
+    seen, out = set(), []
+    for p, key in zip(starts, keys):
+        text = (key, *words[p : p + window])
+        if text in seen:
+            out.append(p)
+        seen.add(text)
+    return np.array(out, np.int64)
+
+
 class _Shard:
     """Phrases of one shard, then its documents."""
 
@@ -152,7 +163,7 @@ def remove_passages(docs, window=WINDOW, seed=SEED, id_col="doc_id", text_col="t
         for batch in batches:
             for part, data, offs in chunks(batch, "text", 1 << 20):
                 seq = Sequence(data, offs, "words")
-                inside = Anchors(seq, window, seed).repeated_inside()
+                inside, keys = Anchors(seq, window, seed).repeated_inside(all_=True)
                 inside_doc = seq.doc_of(inside)
                 n, removed, sha, texts_, keep = [], [], [], [], []
                 numbers, kinds, ids, column = (part.column(i).to_pylist() for i in range(4))
@@ -165,7 +176,8 @@ def remove_passages(docs, window=WINDOW, seed=SEED, id_col="doc_id", text_col="t
                     words = _WORDS.findall(text or "")
                     lo, hi = np.searchsorted(inside_doc, [d, d + 1])
                     found = here.starts(doc, words)
-                    gone = run_cover(inside[lo:hi] - seq.at[d], window, len(words))
+                    again = _again((inside[lo:hi] - seq.at[d]).tolist(), keys[lo:hi].tolist(), words, window) if hi > lo else inside[:0]
+                    gone = run_cover(again, window, len(words))
                     for i, k in found:
                         gone[i : i + k] = True
                     kept = words if not gone.any() else [w for w, g in zip(words, gone.tolist()) if not g]

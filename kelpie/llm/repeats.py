@@ -72,12 +72,18 @@ class Anchors:
         count = self.count[which]
         return np.repeat(self.lo[which] - np.concatenate([[0], np.cumsum(count)[:-1]]) if len(count) else self.lo[which], count) + np.arange(count.sum())
 
-    def repeated_inside(self):
-        """Window starts whose window also starts earlier in the same document."""
+    def repeated_inside(self, all_=False):
+        """Window starts whose window also starts earlier in the same document, by fingerprint.
+
+        all_: instead the starts of every window that stands twice in its document, in order, and their fingerprints.
+        """
         _, often = repeated(self.seed ^ mix(self.doc.astype(_U) + _U(1)))
         p = self.starts(np.flatnonzero(often))
         keys = self.seq.windows(p, self.length) ^ mix(self.seq.doc_of(p).astype(_U) + _U(1))
-        before, _ = repeated(keys)
+        before, often = repeated(keys)
+        if all_:
+            order = np.argsort(p[often], kind="stable")
+            return p[often][order], keys[often][order]
         return p[before]
 
 
