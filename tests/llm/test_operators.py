@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -195,6 +196,24 @@ def test_rules_odd(odd, empty):
     assert rules.judge(odd).count() == 9 and rules.judge(empty).count() == 0
 
 
+def plain_em(votes, rounds=400):
+    """EM row by row, in plain Python, from the same start."""
+    share = [0.001 if -1 in v else 0.999 for v in votes]
+    m = len(votes[0])
+    for _ in range(rounds):
+        right = []
+        for part in (share, [1 - s for s in share]):
+            right.append([(sum(s for s, v in zip(part, votes) if v[j] > 0) + 1) / (sum(s for s, v in zip(part, votes) if v[j]) + 2) for j in range(m)])
+        prior = [(sum(share) + 1) / (len(votes) + 2), (len(votes) - sum(share) + 1) / (len(votes) + 2)]
+        new = []
+        for v in votes:
+            w = [prior[c] * math.prod((right[c][j] if v[j] > 0 else 1 - right[c][j]) for j in range(m) if v[j]) for c in (0, 1)]
+            new.append(w[0] / (w[0] + w[1]))
+        share = new
+    lift = [sum((2 * right[c][j] - 1) * sum(1 for v in votes if v[j]) for j in range(m)) for c in (0, 1)]
+    return share if lift[0] >= lift[1] else [1 - s for s in share]
+
+
 def test_rule_model_finds_planted_accuracies():
     r = np.random.default_rng(0)
     good = r.random(20_000) < 0.8
@@ -203,7 +222,27 @@ def test_rule_model_finds_planted_accuracies():
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
     prior, yes, no, posterior = rules.fit(patterns, counts)
     assert abs(prior - 0.8) < 0.03 and np.abs(yes - 0.95).max() < 0.02 and np.abs(no - 0.7).max() < 0.06
-    assert (posterior[(patterns >= 0).all(1)] > 0.5).all()
+    # most documents bad: the class of the higher votes is still the good one
+    prior, yes, no, posterior = rules.fit(-patterns, counts)
+    assert abs(prior - 0.2) < 0.03 and posterior[(patterns < 0).all(1)].min() > 0.5 > posterior[(patterns > 0).all(1)].max()
+
+
+def test_rule_model_matches_plain_em():
+    r = np.random.default_rng(4)
+    good = r.random(300) < 0.7
+    votes = np.where(good[:, None], np.where(r.random((300, 4)) < 0.9, 1, -1), np.where(r.random((300, 4)) < 0.6, -1, 1))
+    votes[r.random(votes.shape) < 0.2] = 0
+    patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    posterior = rules.fit(patterns, counts, 400)[-1][where.ravel()]
+    assert posterior.tolist() == pytest.approx(plain_em(votes.tolist()), abs=1e-4)
+
+
+def test_rules_reject_beyond_the_base(spark):
+    r = random.Random(8)
+    prose = lambda: " ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + r.choice(["", "s", "ing", "."]) + str(r.randint(0, 9)) * r.randint(0, 1) for _ in range(120)) + "."
+    texts_ = [prose() for _ in range(300)] + [" ".join(w.upper() + "!!" for w in prose().split()) for _ in range(30)] + [" | ".join(w + "***" for w in prose().split()) for _ in range(30)]
+    got = rules.judge(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).collect()
+    assert all(x["kept"] == (x["doc_id"] < 300) for x in got) and not any(x["base_failed"] for x in got)
 
 
 def test_license_scan(spark, odd, empty):
@@ -299,21 +338,51 @@ def test_urls_settle(spark):
     assert r["verdict"] == "block" and (r["distrust"], r["trust"]) == pytest.approx((2 * 0.8 * 0.85 * child, 2 * 0.2 * 0.85 * child), abs=1e-5)
 
 
+def brute_top_k(vectors, k=20):
+    """vectors: (id, whole numbers)."""
+    out = set()
+    for q in {i for i, _ in vectors if i % 20 == 0}:
+        x = min(v for i, v in vectors if i == q)
+        best = sorted({(-sum(a * b for a, b in zip(x, y)), i) for i, y in {(i, tuple(v)) for i, v in vectors} if i != q})[:k]
+        out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    return out
+
+
 def test_topk(spark):
     r = np.random.default_rng(0)
     vectors = [(int(i), [float(x) for x in r.normal(size=6)]) for i in range(150)] + [(200 + i, [0.5] * 6) for i in range(60)]
-    vectors += [(400, None), (401, [None] * 6), (402, [float("nan")] * 6), (420, [1.0, 2.0]), (None, [1.0] * 6), (440, [])]
-    df = spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id long, embedding array<float>, rank int")
-    usable = [(i, np.floor(64 * np.pad(np.float32(v).astype(float), (0, 6 - len(v))))) for i, v in vectors if i is not None and v and None not in v and np.isfinite(v).all()]
-    want = set()
-    for q, x in usable:
-        if q % 20 == 0:
-            best = sorted((-int(x @ y), i) for i, y in usable if i != q)[:20]
-            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
-    assert {tuple(x) for x in topk.top_k(df).collect()} == want
+    vectors += [(400, None), (401, [None] * 6), (402, [float("nan")] * 6), (420, [1.0, 2.0]), (None, [1.0] * 6), (440, []), (20, [9.0] * 6), (220, [0.5] * 6)]
+    df = spark.createDataFrame([(i, v, 0, "x") for i, v in vectors], "vec_id long, embedding array<float>, rank int, `a.b lead` string")
+    usable = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in vectors if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    assert {tuple(x) for x in topk.top_k(df).collect()} == brute_top_k(usable)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_of_clusters_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", (64, 64))
+    monkeypatch.setattr(topk, "LANE", 16)
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(30, 8)) * 20
+    vectors = [(int(i), [float(x) for x in centres[i % 30] + r.normal(size=8) * 0.05]) for i in range(1200)] + [(2000 + i, [1.0] * 8) for i in range(300)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert {tuple(x) for x in topk.top_k(df).collect()} == brute_top_k([(i, [int(np.floor(64 * x)) for x in v]) for i, v in vectors])
+
+
+def test_topk_prunes_and_stays_exact():
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(64, 16)) * 50
+    x = np.floor(centres[r.integers(0, 64, 6000)] + r.normal(size=(6000, 16))).astype(np.int64)
+    for scale in (1, 1 << 24, 1 << 58):  # doubles, 64-bit integers, Python's integers held to a long
+        data, q = x * scale, x[:400] * scale
+        search = topk.Search(np.arange(6000), data, 5)
+        found = search.run(q, np.full(400, -np.inf))
+        exact = q.astype(object) @ data.astype(object).T
+        held = [[min(max(int(v), -(1 << 63) + 1), (1 << 63) - 1) for v in row] for row in exact]
+        want = [(i, s, d) for i in range(400) for s, d in sorted(((v, d) for d, v in enumerate(held[i])), key=lambda p: (-p[0], p[1]))[:5]]
+        assert sorted(found) == sorted(want)
+        assert search.scored < 0.2 * 400 * 6000 or scale == 1 << 58
+
+
 def test_classifier(spark, odd, empty):
     r = random.Random(0)
     good = [" ".join(r.choice(["this", "is", "plain", "prose", "and", "fine."]) for _ in range(40)) for _ in range(400)]
