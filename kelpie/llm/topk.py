@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import discard, quoted, ship, written
 
 #: Rows of a data block: a 32nd of all, within these bounds. Queries that meet one copy of a block, at most.
-BLOCK, LANE = (2048, 65536), 65536
+BLOCK, LANE = (8192, 65536), 65536
 #: Centres at most; beyond, a centre has several blocks. Their vectors are broadcast.
 CENTRES = 4096
 #: Queries that share a tree.
@@ -95,7 +95,7 @@ class Search:
         self._visit(0, np.zeros(1, np.int64))
         out = []
         for i, (scores, ids) in enumerate(zip(self.best.tolist(), self.best_id.tolist())):
-            out += [(i, int(s), d) for s, d in zip(scores, ids) if d != np.iinfo(np.int64).max]
+            out += [(i, int(s), d) for s, d in zip(scores, ids) if d != np.iinfo(np.int64).max and s >= floors[i]]
         return out
 
     def _bounds(self, node, front):
