@@ -160,3 +160,40 @@ def document_shape(path, body):
         F.when(low.endswith(".ics"), "ics").when(low.contains("slack") | body.rlike(r"(?im)^#+\s.*slack"), "slack")
         .when(F.substring(body, 1, 2000).rlike(r"(?im)^\s*\*{0,2}From:"), "email").otherwise("document")
     )
+
+
+#: Of each operation the preferred local model, and the one to fall back to.
+ROUTES = {
+    "query_classification": ("llama3.1:latest", None),
+    "ingestion_classify": ("llama3.1:latest", None),
+    "memory_proposal_detect": ("llama3.1:latest", None),
+    "open_question_extract": ("llama3.1:latest", None),
+    "graph_extraction": ("qwen2.5:14b", "claude-haiku-4-5"),
+    "episodic_harvest": ("qwen2.5:14b", "claude-haiku-4-5"),
+    "graph_enrichment": ("qwen2.5:14b", None),
+    "graph_synthesis": ("qwen2.5:14b", None),
+    "ingestion_condense": ("qwen2.5:14b", "claude-haiku-4-5"),
+    "reconstructive_synthesis": ("qwen2.5:14b", "claude-haiku-4-5"),
+    "community_label": ("qwen2.5:14b", None),
+    "memory_compression": (None, "claude-haiku-4-5"),
+    "contradiction_resolve": (None, "claude-haiku-4-5"),
+    "crystallised_summary": (None, "claude-haiku-4-5"),
+    "primary_worker": (None, "claude-opus-4-7"),
+}
+DEFAULT_MODEL = "llama3.1:latest"
+
+
+def select_model(operation, available, force=False):
+    """(model, kind) for an operation column and an array of local models.
+
+    The first local model of the preferred one's family; else the fallback, which force prefers; else the first local one.
+    """
+    pair = lambda model, kind: F.struct(model.alias("model"), F.lit(kind).alias("kind"))
+    out = pair(F.lit(DEFAULT_MODEL), "local")
+    for name, (local, cloud) in ROUTES.items():
+        choice = pair(F.lit(cloud), "cloud") if cloud else F.when(F.size(available) > 0, pair(F.get(available, F.lit(0)), "local")).otherwise(pair(F.lit(DEFAULT_MODEL), "local"))
+        if local and not (force and cloud):
+            near = F.filter(available, lambda m: F.contains(m, F.lit(local)) | F.startswith(m, F.lit(local.split(":")[0])))  # noqa: B023
+            choice = F.when(F.size(near) > 0, pair(F.get(near, F.lit(0)), "local")).otherwise(choice)
+        out = F.when(operation == name, choice).otherwise(out)
+    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 #: Words that carry no topic.
@@ -125,6 +127,22 @@ def safe_name(text, most=80):
     return F.substring(F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "_"), 1, most)
 
 
+def strip(text):
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def under_slug(text, most=60):
+    """Lower case; what isn't a letter, digit, underscore or hyphen becomes an underscore; no outer ones; at most `most` characters."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\-]", "_"), r"^_+|_+$", ""), 1, most)
+
+
+def word_slug(text, most=60):
+    """Words joined by underscores, in their own case, without other signs; at most `most` characters, without outer underscores."""
+    flat = F.regexp_replace(strip(F.regexp_replace(text, r"[^\p{L}\p{N}_\s\-]", "")), r"\s+", "_")
+    return F.regexp_replace(F.substring(flat, 1, most), r"^_+|_+$", "")
+
+
 def normal_object(text):
     """For matching names: lower case, runs of white space and -_.,: as one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), r"[\s\-_.,:]+", " "))
@@ -137,7 +155,7 @@ def normal_page(text):
 
 def snippet(text, n=200):
     """The first n characters of the non-empty lines that don't start a front matter, joined by spaces."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("---"))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("---"))
     return F.substring(F.array_join(lines, " "), 1, n)
 
 
@@ -149,7 +167,7 @@ def title_of(text, fallback):
 
 def first_sentence(text):
     """The first line that isn't empty or a heading, up to the first . ! or ? before white space."""
-    line = F.element_at(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("---")), 1)
+    line = F.element_at(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("---")), 1)
     cut = F.regexp_extract(line, r"^(.+?[.!?])\s", 1)
     return F.coalesce(F.when(cut != "", cut).otherwise(line), F.lit(""))
 
@@ -165,17 +183,33 @@ HTML_STEPS = (
     (r"(?im)^[.#@a-z][^{}\n]{0,200}\{[^{}]*\}", " "),
     (r"(?s)<[^>]+>", " "),
 )
-#: The entities that are decoded without Python.
+#: The entities that most pages hold.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: Clean-up of what is left, in order.
 _SPACES = ((r"[​‌‍­‎‏]", ""), (" ", " "), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"), (r"(?m)[ \t\r]+$", ""))
 
 
+def unescape(text):
+    """Entities with a semicolon, named (as HTML 5 has them) or numeric, decoded once; unknown names stay.
+
+    The few that most pages hold are replaced as they are; others are looked up, once a text each.
+    """
+    common = {e for e, _ in ENTITIES}
+    names = F.create_map(*(F.lit(x) for k, v in html5.items() if k.endswith(";") for x in ("&" + k, v)))
+    number = lambda e: F.coalesce(F.conv(F.regexp_extract(e, "^&#[xX]([0-9a-fA-F]+);", 1), 16, 10).try_cast("long"), F.regexp_extract(e, "^&#([0-9]+);", 1).try_cast("long"))
+    sign = lambda n: F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    found = F.array_except(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)"), F.lit(1))), F.array(*(F.lit(e) for e in sorted(common))))
+    text = F.aggregate(found, text, lambda t, e: F.replace(t, e, F.coalesce(F.when(e.startswith("&#"), sign(number(e))).otherwise(F.get(F.array(names[e]), F.lit(0))), e)))
+    for entity, to in ENTITIES:  # the ampersand last: nothing is decoded twice
+        text = F.replace(text, F.lit(entity), F.lit(to))
+    return text
+
+
 def strip_html(text):
-    """Comments, style, script, head and svg blocks, CSS rules and tags out; common entities decoded; white space collapsed."""
+    """Comments, style, script, head and svg blocks, CSS rules and tags out; entities decoded; white space collapsed."""
     for pattern, to in HTML_STEPS:
         text = F.regexp_replace(text, pattern, to)
-    for entity, to in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(to))
+    text = unescape(text)
     for pattern, to in _SPACES:
         text = F.regexp_replace(text, pattern, to)
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -197,6 +231,7 @@ def domain(addr):
     return F.when(addr.contains("@"), F.lower(F.element_at(F.split(addr, "@"), -1)))
 
 
+#: What begins a quoted reply.
 _REPLY = (
     r"(?m)^(?:On\s+\w{3},?\s+\w+\s+\d+,?\s+\d{4}.*wrote:|-+\s*Original Message\s*-+|From:\s+.+\nSent:\s+.+"
     r"|Le\s+\w+\s+\d+\s+\w+\s+\d{4}.*écrit\s*:)"
@@ -247,15 +282,6 @@ REDACTIONS = (
 )
 
 
-def redact(text, rules=REDACTIONS):
-    """(redacted text, replacements): each rule works on what the ones before it left."""
-    count = F.lit(0)
-    for label, pattern in rules:
-        count = count + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, f"[{label}]")
-    return text, count
-
-
 def fingerprint(text):
     """20 hex digits that tell an email from another by sender, subject and the start of its body; empty if it has neither header."""
     text = F.regexp_replace(text, r"(?s)<!-- backfilled rename:.*?-->\s*", "")

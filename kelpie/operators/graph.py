@@ -29,9 +29,10 @@ def spreading_activation(entities, edges, seeds, depth=2, hop_decay=0.6, thresho
 
 def name_seeds(entities, query_tokens):
     """(query_id, eid): entities whose name shares two query tokens, or one that is 30 % of them. query_tokens: (query_id, q)."""
-    names = entities.withColumn("words", F.split(F.lower("name"), r"[^\p{L}\p{N}_]+"))
-    n = F.size(F.array_intersect("q", F.array_distinct("words")))
-    return names.join(F.broadcast(query_tokens), (n >= 2) | ((n >= 1) & (n / F.greatest(F.size("q"), F.lit(1)) >= 0.3))).select("query_id", "eid")
+    names = entities.select("eid", F.array_distinct(F.split(F.lower("name"), r"[^\p{L}\p{N}_]+")).alias("words"))
+    terms = query_tokens.select("query_id", F.size("q").alias("_size"), F.explode(F.array_distinct("q")).alias("_word"))
+    hits = names.select("eid", F.explode("words").alias("_word")).join(terms, "_word").groupBy("query_id", "eid", "_size").agg(F.count("*").alias("_n"))
+    return hits.where((F.col("_n") >= 2) | (F.col("_n") / F.greatest("_size", F.lit(1)) >= 0.3)).select("query_id", "eid")
 
 
 def source_seeds(entities, paths):

@@ -27,8 +27,16 @@ def clean_summary(cleaned):
 
 
 def redact(rows, column="text"):
-    out, n = T.redact(F.col(column))
-    return rows.withColumn("redacted", out).withColumn("n_redacted", n)
+    """rows with redacted and n_redacted. One pass a rule, and none where a rule's sign (an @, a digit) is missing.
+
+    No rule touches a mark that another has left, so what was replaced is counted by the marks that were added.
+    """
+    out = rows.withColumn("redacted", F.col(column))
+    for label, pattern in T.REDACTIONS:
+        may = F.contains("redacted", F.lit("@")) if label == "EMAIL" else F.col("redacted").rlike("[0-9]")
+        out = out.withColumn("redacted", F.when(may, F.regexp_replace("redacted", pattern, f"[{label}]")).otherwise(F.col("redacted")))
+    added = sum(T.occurrences(F.col("redacted"), F.lit(f"[{x}]")) - T.occurrences(F.col(column), F.lit(f"[{x}]")) for x, _ in T.REDACTIONS)
+    return out.withColumn("n_redacted", F.when(F.col("redacted") == F.col(column), F.lit(0).cast("long")).otherwise(added))
 
 
 def _strip(text):
@@ -52,11 +60,11 @@ def new_blocks(blocks, seen, column="block", order=("block_no",)):
     return first.unionByName(bare)
 
 
-def open_questions(rows, id_col, text_col):
-    """(id, pos, question): sentences of 15 to 400 characters that ask, and aren't settled."""
+def open_questions(rows, id_col, text_col, asks=T.OPEN_QUESTION):
+    """(id, pos, question): sentences of 15 to 400 characters that ask (a pattern over lower case), and aren't settled."""
     s = rows.select(id_col, F.posexplode(T.sentences(F.col(text_col))).alias("pos", "question")).withColumn("question", F.regexp_replace("question", r"^\s+|\s+$", ""))
     low = F.lower("question")
-    return s.where(F.char_length("question").between(15, 400) & low.rlike(T.OPEN_QUESTION) & ~low.rlike(T.CLOSED))
+    return s.where(F.char_length("question").between(15, 400) & low.rlike(asks) & ~low.rlike(T.CLOSED))
 
 
 def link_questions(questions, entities, most=8):
@@ -101,29 +109,86 @@ def watch_list(rows, rules, id_col, text_col):
     return lines.join(F.broadcast(table), hit).groupBy(id_col, "rule").agg((F.min("line") + 1).alias("line"))
 
 
-#: Link forms of Markdown pages.
-WIKI_LINK = r"(?<!!)\[\[([^\]|#\n]+)(?:#[^\]|\n]*)?(?:\|[^\]\n]*)?\]\]"
-MD_LINK = r"(?<!!)\[[^\]\n]*\]\(([^)\s]+)\)"
+#: Link forms of pages, prefixes of external targets, and file types that a target may leave out or name.
+WIKI_LINK = r"(?<!!)\[\[((?:[^\]|#\n\\]|\\(?!\|)|\](?!\]))+)"
+MD_LINK = r"(?<!!)\[[^\]]*\]\(([^)#\n]+?)(?:#[^)]*)?\)"
+EXTERNAL = ["http://", "https://", "ftp://", "mailto:"]
+EXTENSIONS = [".md", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".pdf", ".webp"]
+_KNOWN = r"(?i)(?<=[^/])\.(?:md|png|jpe?g|gif|svg|pdf|webp)$"
+
+
+def skipped_page(path):
+    """Whether a page is left out of scans: in a hidden folder, an index or entry page, a skill file or the log."""
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    hidden = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.startswith("."))
+    return hidden | name.isin("SKILL.md", "index.md", "_index.md", "START_HERE.md") | (path == "wiki/log.md")
+
+
+def front_flag(body, name, value):
+    """Whether the front matter (between a first line --- and the next --- or ...) has a line `name: value`."""
+    lines = F.split(body, "\r?\n")
+    rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+    end = F.array_position(F.transform(rest, lambda x: F.trim(x).isin("---", "...")), F.lit(True))
+    block = F.when(end > 0, F.slice(rest, F.lit(1), (end - 1).cast("int"))).otherwise(rest)
+    return F.coalesce((T.strip(F.get(lines, F.lit(0))) == "---") & F.exists(block, lambda x: x.rlike(rf"^\s*{name}\s*:\s*{value}\s*$")), F.lit(False))
 
 
 def extract_links(pages, id_col="path", body_col="body"):
-    """(id, line, kind, target) of wiki and Markdown links; external ones are marked."""
+    """(id, line, kind, target) of wiki and Markdown links, without anchors and aliases; external ones are marked."""
     lines = pages.select(id_col, F.posexplode(F.split(F.col(body_col), "\n")).alias("_n", "content"))
     grab = lambda pattern, kind: F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), lambda t: F.struct(F.lit(kind).alias("kind"), F.trim(t).alias("target")))
     r = lines.select(id_col, (F.col("_n") + 1).alias("line"), F.explode(F.concat(grab(WIKI_LINK, "wikilink"), grab(MD_LINK, "markdown"))).alias("l"))
-    return r.select(id_col, "line", "l.kind", "l.target", F.col("l.target").rlike(r"^(?:[a-z][a-z0-9+.-]*:|//)").alias("external"))
+    outside = F.exists(F.array(*(F.lit(p) for p in EXTERNAL)), lambda p: F.startswith("l.target", p))
+    return r.select(id_col, "line", "l.kind", "l.target", outside.alias("external"))
+
+
+def _inside(path):
+    """A path without ./ and with ../ taken up, as an expression."""
+    step = lambda done, x: F.when((x == "") | (x == "."), done).when((x == "..") & (F.size(done) > 0), F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(x)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
 def resolve_links(links, pages):
-    """Links with resolved (a path or null) and suggestion: exact path, path with .md, then a page name that is unique."""
-    paths = pages.select(F.col("path").alias("_p")).distinct()
-    name = T.normal_page(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", ""))
-    names = pages.select("path", name.alias("_n")).groupBy("_n").agg(F.min("path").alias("_by_name"), F.count("*").alias("_many"))
-    r = links.join(paths, links["target"] == paths["_p"], "left").withColumnRenamed("_p", "_exact")
-    r = r.withColumn("_md", F.concat("target", F.lit(".md"))).join(paths, F.col("_md") == paths["_p"], "left").withColumnRenamed("_p", "_with")
-    r = r.withColumn("_n", T.normal_page(F.regexp_replace(F.element_at(F.split("target", "/"), -1), r"\.md$", ""))).join(names, "_n", "left")
-    unique = F.when(F.col("_many") == 1, F.col("_by_name"))
-    return r.withColumn("resolved", F.coalesce("_exact", "_with", unique)).withColumn("suggestion", F.when(F.coalesce("_exact", "_with").isNull(), unique)).drop("_exact", "_with", "_md", "_n", "_by_name", "_many")
+    """Links with resolved (a path, or null) and suggestion (for those that lead nowhere: the one page of an alike name).
+
+    Markdown targets are percent-decoded, and looked for beside their page, then from the root. Wiki targets: as they
+    are; without a known extension with each of them; then any page of that name, the least path where several have it.
+    A few candidates a link are looked up by one join, so that pages aren't scanned a link. Skipped pages have no names.
+    """
+    bare = F.regexp_replace(F.element_at(F.split("target", "/"), -1), _KNOWN, "")
+    decoded = F.coalesce(F.try_url_decode(F.replace(F.col("target"), F.lit("+"), F.lit("%2B"))), F.col("target"))
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    wiki = F.concat(F.array("target"), F.when(F.col("target").rlike(_KNOWN), F.array().cast("array<string>")).otherwise(F.array(*(F.concat("target", F.lit(e)) for e in EXTENSIONS))))
+    markdown = F.array(_inside(F.concat(folder, decoded)), _inside(decoded))
+    distinct = links.select("path", "kind", "target").where(~F.col("external")).distinct() if "external" in links.columns else links.select("path", "kind", "target").distinct()
+    tries = distinct.select("path", "kind", "target", F.posexplode(F.when(F.col("kind") == "wikilink", wiki).otherwise(markdown)).alias("_at", "_p"))
+    files = pages.select(F.col("path").alias("_p")).distinct()
+    exact = tries.join(files, "_p").groupBy("path", "kind", "target").agg(F.min_by("_p", "_at").alias("_exact"))
+    named = pages.where(~skipped_page(F.col("path"))).select(F.col("path").alias("_q"), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "").alias("_stem"))
+    stems = named.groupBy("_stem").agg(F.min("_q").alias("_by_stem"))
+    alike = named.groupBy(T.normal_page(F.col("_stem")).alias("_key")).agg(F.min("_q").alias("_by_name"), F.count("*").alias("_many"))
+    found = distinct.withColumn("_stem", F.when(F.col("kind") == "wikilink", bare)).withColumn("_key", F.when(F.col("kind") == "wikilink", T.normal_page(bare)))
+    found = found.join(exact, ["path", "kind", "target"], "left").join(stems, "_stem", "left").join(alike, "_key", "left")
+    resolved = F.coalesce("_exact", "_by_stem")
+    found = found.select("path", "kind", "target", resolved.alias("resolved"), F.when(resolved.isNull() & (F.col("_many") == 1), F.col("_by_name")).alias("suggestion"))
+    return links.join(found, ["path", "kind", "target"], "left")
+
+
+def raw_mentions(pages, raw):
+    """(path): pages whose name a raw text (text) holds as a whole word, with or without .md.
+
+    Names meet texts by their first run of word characters, which must stand in the text as a whole run; only then is
+    the pattern tried. Names without any word character are never found.
+    """
+    run = r"[\p{L}\p{N}_]+"
+    stems = pages.select("path", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "").alias("_stem"))
+    stems = stems.withColumn("_run", F.regexp_extract("_stem", f"({run})", 1)).where("_run <> ''")
+    raw = raw.select(F.xxhash64("text").alias("_id"), F.col("text").alias("_text"))
+    runs = raw.select("_id", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(f"({run})"), F.lit(1)))).alias("_run"))
+    near = stems.join(runs, "_run").select("path", "_stem", "_id").distinct()
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), "_stem", F.lit(r"\E(?:\.md)?(?![\p{L}\p{N}_])"))
+    return near.join(raw.dropDuplicates(["_id"]), "_id").where(F.rlike(F.col("_text"), pattern)).select("path").distinct()
 
 
 def orphans(pages, resolved):
@@ -132,6 +197,16 @@ def orphans(pages, resolved):
     return pages.join(linked, "path", "left_anti")
 
 
+def backlinks(resolved):
+    """(path, backlinks): how many pages link to each page."""
+    return resolved.where(F.col("resolved").isNotNull()).select("path", "resolved").distinct().groupBy(F.col("resolved").alias("path")).agg(F.count("*").alias("backlinks"))
+
+
+def large_files(files, id_col, least):
+    """Files of `least` bytes or more, the largest first."""
+    return files.where(F.col("size_bytes") >= least).orderBy(F.desc("size_bytes"), id_col)
+
+
 def lint_summary(pages, resolved):
     n = pages.agg(F.count("*").alias("files"))
     r = resolved.agg(F.count("*").alias("links"), F.count(F.when(~F.col("external") & F.col("resolved").isNull(), 1)).alias("broken"), F.count(F.when(F.col("external"), 1)).alias("external"))
@@ -143,3 +218,10 @@ def delink(pages, broken, body_col="body"):
     b = broken.groupBy("path").agg(F.array_sort(F.collect_set("target")).alias("_t"))
     r = pages.join(b, "path", "left")
     return r.withColumn("fixed", F.aggregate(F.coalesce("_t", F.array().cast("array<string>")), F.col(body_col), lambda text, t: F.replace(text, F.concat(F.lit("[["), t, F.lit("]]")), t))).drop("_t")
+
+
+def archive_plan(files, stamp, folders=("accounts", "decisions"), root="MEMORY/"):
+    """(folder, destination, n_files): legacy folders that exist, each to move below a dated archive."""
+    name = F.get(F.split(F.substring("path", len(root) + 1, 10_000), "/"), F.lit(0))
+    r = files.where(F.col("path").startswith(root)).withColumn("folder", name).where(F.col("folder").isin(*folders) & F.col("path").contains("/"))
+    return r.groupBy("folder").agg(F.count("*").alias("n_files")).select("folder", F.concat(F.lit(f"{root}_archive/{stamp}/"), "folder").alias("destination"), "n_files")

@@ -29,6 +29,13 @@ def entity_weights(entities, as_of):
     return entities.withColumn("weight", F.round(S.entity_weight(entities, F.lit(as_of).cast("timestamp_ntz")), 4))
 
 
+def entity_credibility(entities):
+    """(eid, credibility): the mean over an entity's sources, or the best where the user stated or uploaded one."""
+    r = entities.select("eid", F.explode("sources").alias("path")).withColumn("label", S.source_label(F.col("path")))
+    r = r.withColumn("s", S.credibility(F.col("label")))
+    return r.groupBy("eid").agg(F.when(F.max(F.col("label").isin("user_statement", "user_upload")), F.max("s")).otherwise(F.avg("s")).alias("credibility"))
+
+
 def reinforce_nodes(entities, activated, boost=0.03, most=0.25):
     """Entities whose activation (eid, strength) is used: more reinforcement up to a cap, one more activation."""
     r = entities.join(activated, "eid", "left")
@@ -99,6 +106,40 @@ def find_contradictions(triples, edges, entities, threshold=0.7, rejected=None,
     return r.withColumn("severity", F.when(high, "high").when(F.coalesce("weight", F.lit(0.5)) > 0.6, "medium").otherwise("low")).drop("old_tier", "_a", "_b", "weight")
 
 
+def purge_rejected(edges, entities, rejected, truths):
+    """Edges without those that a rejected claim names, or that a ground truth (subject, relation, object) speaks against.
+
+    Ends are compared by the normal form of their names, or of their ids where they have none.
+    """
+    look = lambda side: entities.select(F.col("eid").alias(side), F.col("name").alias(f"_{side}"))
+    r = edges.join(look("src"), "src", "left").join(look("dst"), "dst", "left")
+    r = r.withColumn("_s", normal_object(F.coalesce("_src", "src"))).withColumn("_o", normal_object(F.coalesce("_dst", "dst")))
+    no = rejected.select(normal_object("subject").alias("_s"), F.col("relation").alias("type"), normal_object("object").alias("_o")).distinct()
+    yes = truths.groupBy(normal_object("subject").alias("_s"), F.col("relation").alias("type")).agg(F.min(normal_object("object")).alias("_truth"))
+    r = r.join(no, ["_s", "type", "_o"], "left_anti").join(yes, ["_s", "type"], "left").where(F.col("_truth").isNull() | (F.col("_truth") == F.col("_o")))
+    return r.select(*edges.columns)
+
+
+def record_resolutions(resolved, rejected, truths):
+    """(rejected, truths) after resolutions of (id, status, subject, relation, object_a, object_b): what isn't there yet is added.
+
+    resolved_A rejects claim B and makes A a truth, where the relation has one value only; resolved_B the reverse;
+    both_false rejects both; anything else changes nothing. Of several new truths of one subject the first id's stays.
+    """
+    claim = lambda side: [F.col("subject"), F.col("relation"), F.col(f"object_{side}").alias("object"), F.col("id").alias("source")]
+    no = resolved.where(F.col("status").isin("resolved_B", "both_false")).select(*claim("a")).union(resolved.where(F.col("status").isin("resolved_A", "both_false")).select(*claim("b")))
+    yes = resolved.where("status = 'resolved_A'").select(*claim("a")).union(resolved.where("status = 'resolved_B'").select(*claim("b"))).where(F.col("relation").isin(*SINGLE_VALUED))
+
+    def added(old, new, keys):
+        known = [normal_object(k).alias(f"_{k}") if k != "relation" else F.col(k).alias("_relation") for k in keys]
+        names = [f"_{k}" for k in keys]
+        fresh = new.select("*", *known).join(old.select(*known).distinct(), names, "left_anti")
+        first = fresh.groupBy(*names).agg(F.min_by(F.struct("subject", "relation", "object"), F.struct("source", "object")).alias("c"))
+        return old.select("subject", "relation", "object").unionByName(first.select("c.*"))
+
+    return added(rejected, no, ["subject", "relation", "object"]), added(truths, yes, ["subject", "relation"])
+
+
 def auto_resolve(contradictions):
     """Resolution of each: only low severity is decided, for the new claim where it is more confident."""
     return contradictions.withColumn("status", F.when(F.col("severity") != "low", "unresolved").when(F.col("confidence") > 0.8, "resolved_B").otherwise("resolved_A"))
@@ -122,10 +163,15 @@ def prune_sources(entities, files):
 
 
 def expire_working(files, as_of, hours=48):
-    """(path, new_path): working files older than some hours move to the episodic folder; a name taken twice gets its time."""
+    """(path, new_path): files of the working folder older than some hours move to the episodic one.
+
+    A name that the episodic folder has already, or that an earlier mover takes, gets the file's time.
+    """
     age = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("mtime").cast("timestamp"))) / 3600.0
-    r = files.where(F.col("path").contains("/daily/") & (age > hours)).withColumn("name", F.element_at(F.split("path", "/"), -1))
-    again = F.row_number().over(Window.partitionBy("name").orderBy("path")) > 1
+    r = files.where(F.col("path").startswith("MEMORY/working/") & F.col("path").endswith(".md") & (age > hours)).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    there = files.where(F.col("path").rlike("^MEMORY/episodic/[^/]+$")).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.lit(True).alias("_there")).distinct()
+    r = r.join(there, "name", "left")
+    again = (F.row_number().over(Window.partitionBy("name").orderBy("path")) > 1) | F.coalesce("_there", F.lit(False))
     stamp = F.concat(F.lit("_"), F.unix_timestamp(F.col("mtime").cast("timestamp")).cast("string"))
     return r.select("path", F.concat(F.lit("MEMORY/episodic/"), F.regexp_replace("name", r"\.md$", ""), F.when(again, stamp).otherwise(""), F.lit(".md")).alias("new_path"))
 

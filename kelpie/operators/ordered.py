@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kelpie.functions import text as T
+from kelpie.operators.cut import cut
 
 
 def drift(turns, threshold=0.20):
@@ -95,7 +96,8 @@ def context_budget(ranked, budget=80_000, per_file=5_000):
 
 def numbered(rows, column):
     """Rows with no, 0 and on in order of a column, without one task that sorts all: range partitions, and their counts summed."""
-    parts = rows.repartitionByRange(column).withColumn("_p", F.spark_partition_id()).persist()
+    # kept in the shared folder: a lost partition that is computed again might be numbered otherwise
+    parts = cut(rows.repartitionByRange(column).withColumn("_p", F.spark_partition_id()))
     counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))
     before = counts.withColumn("_before", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).select("_p", "_before")  # one row per partition
     own = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1
@@ -126,3 +128,22 @@ def agenda(events):
     line = F.concat(F.date_format("start", "HH:mm"), F.lit(" "), F.col("summary"))
     r = events.groupBy(F.to_date("start").alias("date")).agg(F.array_sort(F.collect_list(F.struct("start", line.alias("l")))).alias("_l"))
     return r.select("date", F.array_join(F.transform("_l", lambda x: x["l"]), "\n").alias("lines"))
+
+
+def speakers(cues):
+    """(file, speakers, duration): distinct speakers in order of appearance, and the end of the last cue."""
+    first = cues.groupBy("file", "speaker").agg(F.min("n").alias("n"))
+    named = first.where(F.coalesce("speaker", F.lit("")) != "").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("n", "speaker"))).alias("_s"))
+    last = cues.groupBy("file").agg(F.max_by("end", "n").alias("duration"))
+    return last.join(named, "file", "left").select("file", F.coalesce(F.transform("_s", lambda x: x["speaker"]), F.array().cast("array<string>")).alias("speakers"), "duration")
+
+
+def newest(rows, time, tie, most=5000):
+    """The newest rows, at most `most`: a distributed top-k. Ties go to the lesser."""
+    return rows.orderBy(F.desc(time), tie).limit(most)
+
+
+def newest_of_each(rows, key, time, tie, most=30):
+    """The newest rows of each key, at most `most`."""
+    w = Window.partitionBy(key).orderBy(F.desc(time), tie)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")

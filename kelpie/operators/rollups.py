@@ -76,3 +76,25 @@ def top_counts(rows, column, most):
 
 def status_counts(proposals):
     return proposals.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def community_labels(members, entities):
+    """(community, label, n): the most frequent type of its members (of equals the first by name) and their number."""
+    t = members.join(entities.select("eid", "type"), "eid", "left").select("community", F.coalesce("type", F.lit("?")).alias("type"))
+    n = t.groupBy("community", "type").agg(F.count("*").alias("n"))
+    r = n.groupBy("community").agg(F.min_by("type", F.struct((-F.col("n")).alias("a"), F.col("type").alias("b"))).alias("type"), F.sum("n").alias("n"))
+    return r.select("community", F.concat(F.initcap("type"), F.lit(" cluster ("), F.col("n").cast("string"), F.lit(" nodes)")).alias("label"), "n")
+
+
+def compression_summary(results):
+    """One row of counts over (status, before, after): done, skipped, failed, characters saved."""
+    done = F.col("status") == "ok"
+    return results.agg(
+        F.count(F.when(done, 1)).alias("compressed"), F.count(F.when(F.col("status") == "skipped", 1)).alias("skipped"), F.count(F.when(F.col("status") == "error", 1)).alias("errors"),
+        F.coalesce(F.sum(F.when(done, F.col("before") - F.col("after"))), F.lit(0)).alias("chars_saved"),
+    )
+
+
+def runs_on(log, day):
+    """One row: how many records of a log bear a date (its first ten characters)."""
+    return log.agg(F.count(F.when(F.substring(F.coalesce("date", F.lit("")), 1, 10) == day, 1)).alias("runs"))

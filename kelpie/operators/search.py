@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from kelpie.functions import text as T
+from kelpie.operators.cut import cut, few
 
 #: Fixed values.
 PATH_BOOSTS = {"/accounts/": 2.5, "/decisions/": 1.8, "/weekly/": 1.6, "/context/": 1.4, "/saved/": 1.4, "/research/": 1.3, "/daily/emails/": 1.0, "/daily/": 0.9, "/episodic/": 1.1, "/archive/": 0.6}
@@ -29,35 +30,63 @@ def corpus(files, excluded=EXCLUDED):
 
 @F.pandas_udf(ArrayType(StringType()))
 def _close(wanted: pd.Series, tokens: pd.Series) -> pd.Series:
-    """Of the wanted words those with a close match among the tokens: Ratcliff-Obershelp ratio, which SQL can't express."""
+    """Of the wanted words those with a close match among the tokens: Ratcliff-Obershelp ratio, which SQL can't express.
+
+    Each distinct pair of a word and a token of fitting length and letters is compared once a batch.
+    """
+    seen = {}
+
+    def close(x, t):
+        if (x, t) not in seen:
+            m = difflib.SequenceMatcher(None, t, x)
+            seen[x, t] = m.real_quick_ratio() >= 0.85 and m.quick_ratio() >= 0.85 and m.ratio() >= 0.85
+        return seen[x, t]
+
     out = []
     for w, ts in zip(wanted, tokens):
-        hits = [x for x in w if any(2 * min(len(x), len(t)) >= 0.85 * (len(x) + len(t)) for t in ts) and difflib.get_close_matches(x, [t for t in ts if 2 * min(len(x), len(t)) >= 0.85 * (len(x) + len(t))], n=1, cutoff=0.85)]
-        out.append(hits)
+        out.append([x for x in w if any(2 * min(len(x), len(t)) >= 0.85 * (len(x) + len(t)) and close(x, t) for t in ts)])
     return pd.Series(out)
 
 
+def _asked(queries, synonyms=None):
+    """queries with their tokens q and proper nouns pn; those without tokens find nothing. Refused beyond a number."""
+    q = few(queries).withColumn("q", T.query_tokens(F.col("query")))
+    if synonyms:
+        q = q.withColumn("q", T.expand_synonyms(F.col("q"), synonyms))
+    return q.where(F.size("q") > 0).withColumn("pn", T.proper_nouns(F.col("query"), F.col("q")))
+
+
+def _union(column):
+    return F.array_distinct(F.flatten(F.collect_list(column)))
+
+
 def keyword_score(files, queries, as_of, body_chars=8000, synonyms=None, fuzzy=False, claim_boosts=None):
     """(query_id, path, overlap, stem_hits, effective, proper_hits, tf, boost, score) of every file that a query touches.
 
-    queries: (query_id, query), a few rows: broadcast against the corpus, which is scanned once and tokenised in the
-    JVM. as_of: the clock. fuzzy adds close matches of long proper nouns, in an Arrow batch function over the rows that
-    lack an exact match. claim_boosts: (path, boost). An empty query finds nothing.
+    queries: (query_id, query), 1000 at most (ValueError beyond). The corpus is scanned and tokenised once, and its
+    tokens are met with one row that holds the terms and stems of all queries; only files that hold any are paired with
+    queries, and compared by the few terms that they share. as_of: the clock. fuzzy adds close matches of long proper
+    nouns, in an Arrow batch function over the rows that lack an exact match. claim_boosts: (path, boost). An empty
+    query finds nothing.
     """
-    q = queries.withColumn("q", T.query_tokens(F.col("query")))
-    if synonyms:
-        q = q.withColumn("q", T.expand_synonyms(F.col("q"), synonyms))
-    q = q.where(F.size("q") > 0).withColumn("q_stems", T.stemmed(F.col("q"))).withColumn("pn", T.proper_nouns(F.col("query"), F.col("q")))
+    q = _asked(queries, synonyms).withColumn("q_stems", T.stemmed(F.col("q")))
     q = q.withColumn("recent", _any(F.lower("query"), RECENCY_WORDS))
     q = q.withColumn("names", F.when(T.is_meeting_query(F.col("q")), F.transform(T.person_names(F.col("query")), F.lower)).otherwise(F.array().cast("array<string>")))
+    every = q.agg(_union("q").alias("_terms"), _union("q_stems").alias("_stems"))
+    every = every.withColumn("_starts", F.array_distinct(F.transform("_stems", lambda s: F.substring(s, 1, 3))))
     f = corpus(files).select(
         "path", "stem", "size_bytes", "mtime", F.substring("body", 1, 1500).alias("_start"),
         F.concat_ws(" ", F.translate(F.lower("path"), "_/", "  "), F.lower(F.substring("body", 1, body_chars))).alias("hay"),
     )
-    f = f.withColumn("hay_toks", T.all_tokens(F.col("hay"))).withColumn("hay_stems", T.stemmed(F.col("hay_toks")))
+    f = f.withColumn("hay_toks", T.all_tokens(F.col("hay"))).crossJoin(F.broadcast(every))
+    # a stem is the beginning of its word, cut by no more than e's to under three letters: other words needn't be stemmed
+    near = F.filter("hay_toks", lambda t: F.array_contains("_starts", F.substring(t, 1, 3)) | F.contains(t, F.lit("ee")))
+    f = f.withColumn("_hits", F.array_intersect("_terms", "hay_toks")).withColumn("_stem_hits", F.array_intersect("_stems", T.stemmed(near)))
+    kept = [] if fuzzy else ["hay_toks"]
+    f = (f if fuzzy else f.where((F.size("_hits") > 0) | (F.size("_stem_hits") > 0))).drop("_terms", "_stems", "_starts", *kept)
     r = f.crossJoin(F.broadcast(q))
-    overlap = F.size(F.array_intersect("q", "hay_toks"))
-    r = r.withColumn("overlap", overlap).withColumn("stem_hits", F.greatest(F.lit(0), F.size(F.array_intersect("q_stems", "hay_stems")) - overlap))
+    overlap = F.size(F.array_intersect("q", "_hits"))
+    r = r.withColumn("overlap", overlap).withColumn("stem_hits", F.greatest(F.lit(0), F.size(F.array_intersect("q_stems", "_stem_hits")) - overlap))
     if fuzzy:
         missing = F.filter("pn", lambda p: (F.char_length(p) >= 5) & ~F.array_contains("hay_toks", p))
         r = r.withColumn("fuzzy_hits", F.when(F.size(missing) > 0, F.size(_close(missing, F.col("hay_toks")))).otherwise(0))
@@ -88,23 +117,52 @@ def keyword_score(files, queries, as_of, body_chars=8000, synonyms=None, fuzzy=F
 
 
 def top_files(scored, most=8):
-    """The best files of each query: ties keep path order; queries with proper nouns or names have their own caps."""
+    """The best files of each query: ties keep path order; queries with proper nouns or names have their own caps.
+
+    The scores, without any text, are kept once; totals are counted by a combining aggregate and joined back, so that
+    only the best rows of each task are ranked.
+    """
+    scored = cut(scored)
+    wide = max(min(12, 3 * most), most, 15)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), F.split("path", "/")))
-    total = F.count("*").over(Window.partitionBy("query_id"))
-    cap = F.when(F.col("has_proper") & (total > 2 * most), min(12, 3 * most)).otherwise(most)
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= wide)
+    total = scored.groupBy("query_id").agg(F.count("*").alias("total"))
+    cap = F.when(F.col("has_proper") & (F.col("total") > 2 * most), min(12, 3 * most)).otherwise(most)
     cap = F.when(F.col("has_names"), F.greatest(cap, F.lit(15))).otherwise(cap)
-    return scored.withColumn("rank", rank).withColumn("cap", cap).where("rank <= cap").drop("cap")
+    return best.join(total, "query_id").where(F.col("rank") <= cap).drop("total")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _close_names(wanted: pd.Series, tokens: pd.Series) -> pd.Series:
+    """Of the wanted words those with a close match (0.82) among a page name's words that they aren't one of."""
+    seen = {}
+
+    def close(x, t):
+        if (x, t) not in seen:
+            seen[x, t] = difflib.SequenceMatcher(None, t, x).ratio() >= 0.82
+        return seen[x, t]
 
+    return pd.Series([[x for x in w if x not in set(ts) and any(close(x, t) for t in ts)] for w, ts in zip(wanted, tokens)])
 
-def wiki_scan(index, queries, most=4, boost=3.0, count_cap=5):
-    """(query_id, page, score, rank): token scores of index entries (page, name, description); exact counts, else stems."""
-    q = queries.withColumn("q", T.query_tokens(F.col("query"))).where(F.size("q") > 0).withColumn("pn", T.proper_nouns(F.col("query"), F.col("q")))
+
+def wiki_scan(index, queries, most=4, boost=3.0, count_cap=5, fuzzy=False):
+    """(query_id, page, score, rank): token scores of index entries (page, name, description); exact counts, else stems.
+
+    fuzzy: a proper noun of five characters or more that is close to a word of a page's name, and none of them, adds 0.8
+    of the boost; in Arrow batches. queries: 1000 at most (ValueError beyond).
+    """
+    q = _asked(queries)
     entry = index.withColumn("search", F.concat_ws(" ", F.lower(F.translate("name", "_-", "  ")), F.lower("description")))
     entry = entry.withColumn("stems", T.stemmed(T.all_tokens(F.col("search"))))
     r = entry.crossJoin(F.broadcast(q))
     search, stems, pn = F.col("search"), F.col("stems"), F.col("pn")
     value = lambda t: F.when(F.array_contains(pn, t), boost).otherwise(1.0) * F.when(F.contains(search, t), F.least(T.occurrences(search, t), F.lit(count_cap).cast("long")).cast("double")).when(F.array_contains(stems, T.stem_token(t)), 0.6).otherwise(0.0)
-    r = r.withColumn("score", F.aggregate("q", F.lit(0.0), lambda a, t: a + value(t))).where("score > 0")
+    r = r.withColumn("score", F.aggregate("q", F.lit(0.0), lambda a, t: a + value(t)))
+    if fuzzy:
+        long = F.filter("pn", lambda p: F.char_length(p) >= 5)
+        near = _close_names(long, F.filter(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+        r = r.withColumn("score", F.col("score") + F.size(near) * (0.8 * boost))
+    r = r.where("score > 0")
     best = r.groupBy("query_id", "page").agg(F.max("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "page"))).where(F.col("rank") <= most)
 
@@ -120,15 +178,21 @@ def domain_bundles(files, queries, bundles):
 
 
 def bm25(files, queries, k1=1.2, b=0.75):
-    """(query_id, path, score): BM25 over whole bodies; terms are exploded once and joined with the queries' terms."""
-    words = files.select("path", F.explode(F.filter(F.split(F.lower("body"), T.NON_WORD), lambda t: t != "")).alias("term"))
-    tf = words.groupBy("path", "term").agg(F.count("*").alias("tf"))
-    length = tf.groupBy("path").agg(F.sum("tf").alias("len"))
-    n = length.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    terms = queries.select("query_id", F.explode(T.query_tokens(F.col("query"))).alias("term"))
-    hit = tf.join(F.broadcast(terms.select("term").distinct()), "term")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    r = hit.join(F.broadcast(df), "term").join(length, "path").crossJoin(F.broadcast(n))
+    """(query_id, path, score): BM25 over whole bodies.
+
+    One scan counts the words of each file and, of these, the terms of the queries (1000 at most, ValueError beyond);
+    no text and no other word is shuffled. Files without words count for nothing.
+    """
+    terms = few(queries).select("query_id", F.explode(T.query_tokens(F.col("query"))).alias("term"))
+    every = terms.agg(F.collect_set("term").alias("_terms"))
+    words = files.select("path", F.filter(F.split(F.lower("body"), T.NON_WORD), lambda t: t != "").alias("words")).crossJoin(F.broadcast(every))
+    words = words.select("path", F.size("words").alias("len"), F.filter("words", lambda t: F.array_contains("_terms", t)).alias("hits")).where("len > 0")
+    words = cut(words)
+    n = words.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    tf = words.where(F.size("hits") > 0).select("path", "len", F.explode(F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda x: x == t)).alias("tf")))).alias("h")).select("path", "len", "h.*")
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # one row, and one row a term of the queries
+    r = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(n))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     return r.withColumn("part", part).join(F.broadcast(terms), "term").groupBy("query_id", "path").agg(F.sum("part").alias("score"))
@@ -136,7 +200,7 @@ def bm25(files, queries, k1=1.2, b=0.75):
 
 def past_occurrences(files, events, as_of, days=90, most=4):
     """(event_id, path, score, rank): earlier notes of a recurring event: shared title words in the stem, else in the first 600 characters."""
-    e = events.withColumn("words", T.event_tokens(F.col("title"))).where(F.size("words") > 0)
+    e = few(events).withColumn("words", T.event_tokens(F.col("title"))).where(F.size("words") > 0)
     age = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("mtime").cast("timestamp"))) / 86400.0
     f = files.where((age >= 0) & (age <= days)).select("path", "mtime", T.event_tokens(F.translate("stem", "_-", "  ")).alias("stem_words"), F.lower(F.substring("body", 1, 600)).alias("head"))
     r = f.crossJoin(F.broadcast(e))

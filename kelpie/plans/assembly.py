@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import text as X
 from kelpie.operators import graph, ingest, memory, ordered, rollups, search
+from kelpie.operators.cut import cut
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,8 @@ def memory_scan(files, entities, edges, queries, as_of, index=None, settings=Set
     Activation of all queries runs together: strengths are kept per query, so one pass over the edges serves them all.
     """
     scored = search.keyword_score(files, queries, as_of, settings.body_chars, settings.synonyms)
-    direct = search.top_files(scored, settings.max_files).select("query_id", "path", F.lit("direct").alias("kind"), F.col("rank").cast("long").alias("ord"))
+    # a few rows a query, used three times below: the corpus is scanned once for them
+    direct = cut(search.top_files(scored, settings.max_files).select("query_id", "path", F.lit("direct").alias("kind"), F.col("rank").cast("long").alias("ord")))
     if settings.bundles:
         more = search.domain_bundles(files, queries, settings.bundles)
         direct = direct.unionByName(more.select("query_id", "path", F.lit("direct").alias("kind"), (F.col("ord") + 1000).alias("ord")))
@@ -146,9 +148,13 @@ def stub_completer(prompt):
 
 
 def salvage_json(column, schema):
-    """Rows of a completer's JSON: fences stripped, from the first to the last brace; what can't be read is null."""
+    """Rows of a completer's JSON: fences stripped, from the first to the last brace; what can't be read is null.
+
+    Raw control characters inside strings are taken as they are.
+    """
     inner = F.regexp_extract(F.regexp_replace(column, r"```(?:json)?", ""), r"(?s)(\{.*\}|\[.*\])", 1)
-    return F.from_json(F.regexp_replace(inner, r"[\x00-\x1f]", " "), schema)
+    found = F.from_json(inner, schema, {"allowUnquotedControlChars": "true"})
+    return F.when(F.to_json(found) != "{}", found)
 
 
 def row_function(rows, prompt, completer, schema, fallback):
@@ -184,3 +190,93 @@ def ingest_batch(rows, seen, id_col="id"):
     """New mail of a batch of (id, raw): cleaned, without promotions and without fingerprints seen before (fp)."""
     clean = ingest.clean_emails(rows).where("not dropped")
     return ingest.new_blocks(clean, seen, column="raw", order=(id_col,))
+
+
+# --- what a language model is asked, row by row: prompt, parsed reply, checks and caps, and the fallback ------------------
+
+
+def priors(primed, entities, questions, focus=6, open_=4):
+    """(session, focus, open): the strongest primed entities by name, and the most salient open questions, as prompt lines."""
+    from pyspark.sql import Window
+
+    named = primed.join(entities.select("eid", "name"), "eid", "left")
+    r = named.withColumn("n", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("strength"), "eid"))).where(F.col("n") <= focus)
+    r = r.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("n", F.coalesce("name", "eid").alias("name")))).alias("s"))
+    r = r.select("session", F.concat(F.lit("Recent session focus: "), F.array_join(F.transform("s", lambda x: x["name"]), ", ")).alias("focus"))
+    q = questions.where(~F.coalesce("status", F.lit("open")).isin("resolved", "dismissed", "closed") & (F.coalesce("text", F.lit("")) != ""))
+    q = q.orderBy(F.desc(F.coalesce("salience", F.lit(0.5))), "text").limit(open_).agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("salience", F.lit(0.5))).alias("s"), F.substring("text", 1, 120).alias("t")))).alias("q"))
+    lines = F.when(F.size("q") > 0, F.concat(F.lit("Unresolved open questions:\n"), F.array_join(F.transform("q", lambda x: F.concat(F.lit("  \u2022 "), x["t"])), "\n"))).otherwise("")
+    return r.crossJoin(F.broadcast(q.select(lines.alias("open"))))
+
+
+def curate(candidates, completer, keep=10, shown=25):
+    """(query_id, path, place): candidates (query_id, query, path, ord, snippet) that the completer selects, `keep` at most.
+
+    A query with no more than `keep` candidates keeps all. Else the first `shown` are listed, and the reply's indexes that
+    are in the list count, in the reply's order; without any, the first `keep` by order stay.
+    """
+    item = F.struct("ord", "path", F.substring(F.regexp_replace(F.coalesce("snippet", F.lit("")), "\n", " "), 1, 100).alias("snippet"))
+    r = candidates.groupBy("query_id", "query").agg(F.array_sort(F.collect_list(item)).alias("c")).withColumn("all", F.size("c")).withColumn("c", F.slice("c", 1, shown))
+    name = lambda c: F.replace(F.regexp_replace(F.element_at(F.split(c["path"], "/"), -1), r"\.[^.]+$", ""), F.lit("_"), F.lit(" "))
+    lines = F.array_join(F.transform("c", lambda c, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), name(c), F.lit(": "), c["snippet"])), "\n")
+    prompt = F.concat(F.lit("Query: "), "query", F.lit(f"\n\nCandidates (select at most {keep}):\n"), lines, F.lit('\n\nReply with JSON only: {"selected": [0, 2], "reasoning": "one sentence"}'))
+    r = r.withColumn("prompt", F.when(F.col("all") > keep, prompt))
+    r = row_function(r, F.col("prompt"), completer, "selected array<int>, reasoning string", F.lit(None).cast("struct<selected:array<int>,reasoning:string>"))
+    valid = F.array_distinct(F.filter(F.coalesce("answer.selected", F.array().cast("array<int>")), lambda i: (i >= 0) & (i < F.size("c"))))
+    first = F.sequence(F.lit(0), F.least(F.size("c"), F.lit(keep)) - 1)
+    r = r.withColumn("picked", F.when((F.col("all") > keep) & (F.size(valid) > 0), F.slice(valid, 1, keep)).otherwise(first))
+    return r.select("query_id", F.posexplode("picked").alias("place", "_i"), "c").select("query_id", F.get("c", F.col("_i"))["path"].alias("path"), "place")
+
+
+def deadline_signals(mails, completer, today):
+    """mails (path, subject, body, date) with deadline, action, urgency, confidence and already_responded, where the completer sees one to act on."""
+    prompt = F.concat(F.lit(f"Today is {today}. Mail of "), "date", F.lit("\nSubject: "), F.substring(F.coalesce("subject", F.lit("")), 1, 140), F.lit("\n<<<"), F.substring(F.coalesce("body", F.lit("")), 1, 5000), F.lit(">>>\nJSON:"))
+    schema = "has_actionable_deadline boolean, deadline string, action string, urgency string, confidence double, already_responded boolean"
+    r = row_function(mails, prompt, completer, schema, F.lit(None).cast("struct<has_actionable_deadline:boolean,deadline:string,action:string,urgency:string,confidence:double,already_responded:boolean>"))
+    r = r.where(F.coalesce("answer.has_actionable_deadline", F.lit(False)))
+    return r.select(*mails.columns, F.lit(True).alias("actionable"), *(F.col(f"answer.{c}").alias(c) for c in ("deadline", "action", "urgency", "confidence", "already_responded")))
+
+
+#: Kinds of what is harvested from a turn.
+HARVEST_KINDS = ["decision", "commitment", "fact", "question"]
+
+
+def harvest_turns(turns, completer, user="the user"):
+    """(…, kind, text, subjects, salience): what turns (session, turn, user, assistant) hold; short or one-sided ones aren't asked about."""
+    said, heard = F.coalesce("user", F.lit("")), F.coalesce("assistant", F.lit(""))
+    asked = turns.where((F.trim(said) != "") & (F.trim(heard) != "") & (F.char_length(said) + F.char_length(heard) >= 80))
+    prompt = F.concat(F.lit(f"What does {user} decide, promise, state or ask?\n<<<"), F.substring(said, 1, 3000), F.lit(">>>\nJSON:"))
+    r = row_function(asked, prompt, completer, "items array<struct<kind:string,text:string,subjects:array<string>,salience:double>>", F.lit(None).cast("struct<items:array<struct<kind:string,text:string,subjects:array<string>,salience:double>>>"))
+    r = r.select("session", "turn", F.explode("answer.items").alias("i")).where(F.col("i.kind").isin(*HARVEST_KINDS) & (F.trim("i.text") != ""))
+    return r.select("session", "turn", "i.kind", F.substring(F.trim("i.text"), 1, 240).alias("text"), F.slice(F.coalesce("i.subjects", F.array().cast("array<string>")), 1, 6).alias("subjects"), F.coalesce("i.salience", F.lit(0.5)).alias("salience"))
+
+
+def due_sessions(turns, index, now, least_seconds=3600, force=False):
+    """(session, from_turn, turns, due): sessions with turns that weren't harvested, and whether the last harvest is long enough ago.
+
+    index: (session, turn_count, last_at). A session never harvested is due; force leaves only the count to decide.
+    """
+    n = turns.groupBy("session").agg(F.count("*").alias("turns")).join(index, "session", "left")
+    start = F.coalesce("turn_count", F.lit(0))
+    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col("last_at").cast("timestamp"))
+    due = F.lit(True) if force else F.coalesce(age >= least_seconds, F.lit(True))
+    return n.where(F.col("turns") > start).select("session", start.cast("long").alias("from_turn"), "turns", due.alias("due"))
+
+
+def pinned(log):
+    """(path, pinned_at): what is pinned after a log of (path, op, at): add, remove and restore, the last of a path counts."""
+    last = log.groupBy("path").agg(F.max_by("op", F.struct("at", "op")).alias("op"), F.max("at").alias("pinned_at"))
+    return last.where(F.col("op").isin("add", "restore")).select("path", "pinned_at")
+
+
+def next_due(now, schedule, last_day=None):
+    """When a daily run (HH:MM, 02:00 if unreadable) is due: now, if today's is past and hasn't run; else today's or tomorrow's time."""
+    import datetime
+    import re
+
+    found = re.fullmatch(r"\s*(\d{1,2}):(\d{1,2})\s*", schedule or "")
+    hour, minute = (int(found[1]), int(found[2])) if found and int(found[1]) < 24 and int(found[2]) < 60 else (2, 0)
+    today = now.replace(hour=hour, minute=minute, second=0, microsecond=0)
+    if now < today:
+        return today
+    return now if last_day != now.strftime("%Y-%m-%d") else today + datetime.timedelta(days=1)

@@ -9,6 +9,7 @@ from kelpie.functions import text as X
 from kelpie.operators import graph, ingest, memory, ordered, rollups, search
 from kelpie.plans import assembly
 from kelpie.plans import tables as T
+from kelpie.operators.cut import cut, spread
 from kelpie.plans.tables import AS_OF, read, sql_list
 
 QUERIES, ORACLE = {}, {}
@@ -97,7 +98,7 @@ def synonyms(spark, sf_dir):
     return _asked(spark).select("query_id", _sorted(X.expand_synonyms(X.query_tokens(F.col("query")), _SYN)).alias("tokens"))
 
 
-@query("SELECT doc_id, substring(regexp_replace(regexp_replace(lower(substring(text, 1, 300)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60).regexp_replace('-+$', '') AS slug, substring(regexp_replace(substring(text, 1, 100), '[^A-Za-z0-9._-]+', '_', 'g'), 1, 80) AS safe, trim(regexp_replace(lower(substring(text, 1, 80)), '[\\s\\-_.,:]+', ' ', 'g')) AS object, lower(trim(regexp_replace(regexp_replace(substring(text, 1, 80), '[_:?*|\"<>\\\\]', ' ', 'g'), '\\s+', ' ', 'g'))) AS page FROM documents")
+@query("SELECT doc_id, substring(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60).regexp_replace('-+$', '') AS slug, substring(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 80) AS safe, trim(regexp_replace(lower(text), '[\\s\\-_.,:]+', ' ', 'g')) AS object, lower(trim(regexp_replace(regexp_replace(text, '[_:?*|\"<>\\\\]', ' ', 'g'), '\\s+', ' ', 'g'))) AS page FROM documents")
 def names_and_slugs(spark, sf_dir):
     t = F.col("text")
     return read(spark, sf_dir, "documents").select("doc_id", X.slugify(t).alias("slug"), X.safe_name(t).alias("safe"), X.normal_object(t).alias("object"), X.normal_page(t).alias("page"))
@@ -116,7 +117,8 @@ def first_sentences(spark, sf_dir):
 _HTML_SQL = "html"
 for _p, _to in X.HTML_STEPS:
     _HTML_SQL = f"regexp_replace({_HTML_SQL}, '{_p}', '{_to}', 'g')"
-for _p, _to in X.ENTITIES:
+# what pages hold of the many other entities is spelt out here; a name that is missing would show as a difference
+for _p, _to in (("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&eacute;", "é"), *X.ENTITIES):
     _HTML_SQL = "replace(" + _HTML_SQL + f", '{_p}', '" + _to.replace("'", "''") + "')"
 for _p, _to in X._SPACES:
     _HTML_SQL = f"regexp_replace({_HTML_SQL}, '{_p}', '{_to}', 'g')"
@@ -137,7 +139,7 @@ for _label, _p in X.REDACTIONS:
 
 @query(f"SELECT doc_id, sha256({_RED}) AS redacted, {_REDN} AS n FROM documents")
 def redaction(spark, sf_dir):
-    r = ingest.redact(read(spark, sf_dir, "documents"))
+    r = ingest.redact(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
     return r.select("doc_id", F.sha2(F.translate("redacted", *_ACCENTS), 256).alias("redacted"), F.col("n_redacted").cast("long").alias("n"))
 
 
@@ -295,9 +297,7 @@ def source_credibility(spark, sf_dir):
 @query(f"""WITH {T.ENTITIES}, u AS (SELECT eid, unnest(sources) AS path, '' AS body FROM entities), l AS (SELECT eid, {_LABEL} AS label FROM u), c AS (SELECT eid, label, CAST({_case_sql('label', S.CREDIBILITY, 0.5)} AS DOUBLE) AS s FROM l)
 SELECT eid, round(CASE WHEN bool_or(label IN ('user_statement', 'user_upload')) THEN max(s) ELSE avg(s) END, 6) AS credibility FROM c GROUP BY ALL""")
 def entity_credibility(spark, sf_dir):
-    r = T.entities(spark, sf_dir).select("eid", F.explode("sources").alias("path")).withColumn("label", S.source_label(F.col("path")))
-    r = r.withColumn("s", S.credibility(F.col("label")))
-    return r.groupBy("eid").agg(F.round(F.when(F.max(F.col("label").isin("user_statement", "user_upload")), F.max("s")).otherwise(F.avg("s")), 6).alias("credibility"))
+    return memory.entity_credibility(T.entities(spark, sf_dir)).withColumn("credibility", F.round("credibility", 6))
 
 
 @query(f"WITH {T.ENTITIES}, {T.EDGES} SELECT e.src, e.dst, e.type, CASE WHEN e.type IN ('decided','owns_decision','approved','committed_to') THEN 'crystallised' ELSE {sql_list(T.TIERS)}[least(list_position({sql_list(T.TIERS)}, a.tier), list_position({sql_list(T.TIERS)}, b.tier))] END AS new_tier FROM edges e JOIN entities a ON e.src = a.eid JOIN entities b ON e.dst = b.eid")
@@ -457,11 +457,15 @@ contra AS (SELECT t.src, t.type, 'factual_conflict' AS kind, e.type AS old_type,
   FROM t1 t JOIN edges e ON t.src = e.src AND t.type = e.type AND t.dst <> e.dst LEFT JOIN entities a ON e.src = a.eid LEFT JOIN entities b ON e.dst = b.eid WHERE t.type IN {tuple(memory.SINGLE_VALUED)})"""
 
 
-def _contradictions(spark, sf_dir):
+def rejected_and_truths(spark, sf_dir):
     c, n = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
     rel = lambda d: d.select(F.col("c_name").alias("subject"), F.lit("located_at").alias("relation"), F.col("n_name").alias("object"))
     rejected = rel(c.where("c_custkey % 2 = 0").withColumn("k", F.col("c_custkey") * 3 % 25).join(F.broadcast(n), F.col("n_nationkey") == F.col("k")))
-    truths = rel(c.where("c_custkey % 13 = 0").join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey")))
+    return rejected, rel(c.where("c_custkey % 13 = 0").join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey")))
+
+
+def _contradictions(spark, sf_dir):
+    rejected, truths = rejected_and_truths(spark, sf_dir)
     return memory.find_contradictions(T.triples(spark, sf_dir), T.edges(spark, sf_dir), T.entities(spark, sf_dir), rejected=rejected, truths=truths)
 
 
@@ -492,9 +496,18 @@ def prune_sources(spark, sf_dir):
     return memory.prune_sources(T.entities(spark, sf_dir), f).select("eid", F.array_join("sources", " ").alias("sources"))
 
 
-@query(f"WITH {T.MEMORY_FILES} SELECT path, 'MEMORY/episodic/' || stem || '.md' AS new_path FROM memory_files WHERE contains(path, '/daily/') AND (epoch({_NOW}) - epoch(mtime)) / 3600.0 > 48")
+_WORKING = """working AS (SELECT CASE WHEN doc_id % 10 IN (6, 7) THEN 'MEMORY/working/' || ['a', 'b'][doc_id % 2 + 1] || '/n' || (doc_id // 10) || '.md'
+  WHEN doc_id % 10 = 8 AND (doc_id // 10) % 2 = 0 THEN 'MEMORY/episodic/n' || (doc_id // 10) || '.md' ELSE path END AS path, mtime FROM memory_files)"""
+
+
+@query(f"""WITH {T.MEMORY_FILES}, {_WORKING}, w AS (SELECT *, string_split(path, '/')[-1] AS name FROM working WHERE starts_with(path, 'MEMORY/working/') AND (epoch({_NOW}) - epoch(mtime)) / 3600.0 > 48),
+t AS (SELECT path, name, mtime, row_number() OVER (PARTITION BY name ORDER BY path) > 1 OR 'MEMORY/episodic/' || name IN (SELECT path FROM working) AS again FROM w)
+SELECT path, 'MEMORY/episodic/' || replace(name, '.md', '') || CASE WHEN again THEN '_' || CAST(epoch(mtime) AS BIGINT) ELSE '' END || '.md' AS new_path FROM t""")
 def expire_working(spark, sf_dir):
-    return memory.expire_working(T.memory_files(spark, sf_dir), AS_OF)
+    k, n = F.col("doc_id"), F.floor(F.col("doc_id") / 10)
+    name = F.concat(F.lit("n"), n.cast("string"), F.lit(".md"))
+    moved = F.when((k % 10).isin(6, 7), F.concat(F.lit("MEMORY/working/"), T.pick(["a", "b"], k), F.lit("/"), name)).when((k % 10 == 8) & (n % 2 == 0), F.concat(F.lit("MEMORY/episodic/"), name)).otherwise(F.col("path"))
+    return memory.expire_working(T.memory_files(spark, sf_dir).withColumn("path", moved), AS_OF)
 
 
 @query(f"""WITH {T.MEMORY_FILES}, a AS (SELECT path, size_bytes, (epoch({_NOW}) - epoch(mtime)) / 86400.0 AS d FROM memory_files), t AS (SELECT *, CASE WHEN d < 30 THEN 'fresh' WHEN d < 90 THEN 'aging' WHEN d < 365 THEN 'mature' ELSE 'ancient' END AS tier FROM a),
@@ -573,7 +586,7 @@ def _cues(spark, sf_dir):
     return c.select(F.col("conv_id").alias("file"), t.alias("n"), F.when((F.col("conv_id") + F.floor(t / 2)) % 2 == 0, "A").otherwise("B").alias("speaker"), (t * 10.0 + F.when(t % 5 == 4, 130.0).otherwise(0.0)).alias("start"), (t * 10.0 + 8).alias("end"), "text")
 
 
-_CUES = "cues AS (SELECT conv_id AS file, turn AS n, CASE WHEN (conv_id + turn // 2) % 2 = 0 THEN 'A' ELSE 'B' END AS speaker, turn * CAST(10 AS DOUBLE) + CASE WHEN turn % 5 = 4 THEN 130 ELSE 0 END AS start_, turn * CAST(10 AS DOUBLE) + 8 AS end_, substring(text, 1, 120) AS text FROM conversations)"
+_CUES = "cues AS (SELECT conv_id AS file, turn AS n, CASE WHEN (conv_id + turn // 2) % 2 = 0 THEN 'A' ELSE 'B' END AS speaker, turn * CAST(10 AS DOUBLE) + CASE WHEN turn % 5 = 4 THEN 130 ELSE 0 END AS start_, turn * CAST(10 AS DOUBLE) + 8 AS end_, text FROM conversations)"
 
 
 @query(f"""WITH {_CUES}, l AS (SELECT *, CASE WHEN lag(speaker) OVER w IS NULL OR lag(speaker) OVER w <> speaker OR start_ - lag(end_) OVER w > 120 THEN 1 ELSE 0 END AS new FROM cues WINDOW w AS (PARTITION BY file ORDER BY n)), b AS (SELECT *, sum(new) OVER (PARTITION BY file ORDER BY n) AS block FROM l)
@@ -582,7 +595,11 @@ def merge_cues(spark, sf_dir):
     return ordered.merge_cues(_cues(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CUES}, c AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n) AS i FROM cues),
+f AS (SELECT file, i, text AS cur, end_, 0 AS para FROM c WHERE i = 1 UNION ALL
+  SELECT c.file, c.i, CASE WHEN goes THEN f.cur || ' ' || c.text ELSE c.text END, c.end_, f.para + CASE WHEN goes THEN 0 ELSE 1 END
+  FROM f JOIN (SELECT * FROM c) c ON c.file = f.file AND c.i = f.i + 1, LATERAL (SELECT NOT ends_with(f.cur, '.') OR (c.start_ - f.end_ < 3.0 AND length(f.cur || ' ' || c.text) <= 500) AS goes)),
+p AS (SELECT file, para, max_by(cur, i) AS cur FROM f GROUP BY ALL) SELECT file, CAST(count(*) AS INTEGER) AS n, sha256(string_agg(cur, chr(10) ORDER BY para)) AS digest FROM p GROUP BY file""")
 def merge_paragraphs(spark, sf_dir):
     return ordered.merge_paragraphs(_cues(spark, sf_dir)).select("file", F.size("paragraphs").alias("n"), F.sha2(F.array_join("paragraphs", "\n"), 256).alias("digest"))
 
@@ -599,8 +616,8 @@ def supersede(spark, sf_dir):
 
 @query("WITH r AS (SELECT doc_id, text, row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) AS n FROM documents) SELECT doc_id FROM r WHERE n = 1")
 def keep_first_text(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    return d.groupBy("t").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    d = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.lower("text"), 256).alias("t"))
+    return ordered.keep_first(d, "t", ["doc_id"]).select("doc_id")
 
 
 @query(f"WITH {_TOP}, cut AS (SELECT query_id, path, rank, least(length(body), 5000) AS c FROM top_files JOIN memory_files USING (path)), b AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM cut) SELECT query_id, path, rank, CAST(least(c, 12000 - before) AS BIGINT) AS taken FROM b WHERE before < 12000")
@@ -642,12 +659,9 @@ _Q = f"s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\
 
 
 def _questions(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    was, X.OPEN_QUESTION = X.OPEN_QUESTION, X.OPEN_QUESTION + "|idiot|teach"
-    try:
-        return ingest.open_questions(d, "doc_id", "text")
-    finally:
-        X.OPEN_QUESTION = was
+    """Questions by the shipped pattern, and by two words more that the documents do hold."""
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ingest.open_questions(d, "doc_id", "text", asks=X.OPEN_QUESTION + "|idiot|teach")
 
 
 @query(f"WITH {_Q} SELECT doc_id, pos, question FROM open")
@@ -661,16 +675,30 @@ def watch_list(spark, sf_dir):
 
 
 def _wiki(spark, sf_dir):
-    """Pages that link to others: every ninth link leads nowhere."""
-    p = read(spark, sf_dir, "pages")
+    """Pages that link to others in every form; every ninth first link leads nowhere."""
+    p = read(spark, sf_dir, "pages").where("url is not null")
     k = F.col("page_id")
-    name = lambda x: F.concat(F.lit("page_"), x.cast("string"))
-    body = F.concat(F.lit("See [["), name(F.when(k % 9 == 0, k + 100000000).otherwise(F.floor(k / 2))), F.lit("|it]] and [["), name(F.floor(k / 3)), F.lit("]].\n[site]("), F.col("url"), F.lit(")"))
-    return p.select(F.concat(F.lit("wiki/"), name(k), F.lit(".md")).alias("path"), body.alias("body"))
-
-
-_LINKS = """k AS (SELECT page_id, 'wiki/page_' || page_id || '.md' AS path, url FROM pages), links AS (SELECT path, 1 AS line, 'wikilink' AS kind, 'page_' || CASE WHEN page_id % 9 = 0 THEN page_id + 100000000 ELSE page_id // 2 END AS target, false AS external FROM k
- UNION ALL SELECT path, 1, 'wikilink', 'page_' || (page_id // 3), false FROM k UNION ALL SELECT path, 2, 'markdown', url, true FROM k WHERE NOT contains(url, ')')), res AS (SELECT l.*, p.path AS resolved FROM links l LEFT JOIN k p ON p.path = 'wiki/' || l.target || '.md')"""
+    page = lambda by: F.concat(F.lit("page_"), F.floor(k / by).cast("string"))
+    first = F.concat(F.lit("page_"), F.when(k % 9 == 0, k + 100000000).otherwise(F.floor(k / 2)).cast("string"))
+    lines = [
+        ("See [[", first, "|it]] and [[", page(3), "]]."), ("[site](", F.col("url"), ")"), ("[up](", page(2), ".md#top) ![no](x.png) ![[embed]]"),
+        ("[coded](./page%5F", F.floor(k / 5).cast("string"), ".md) [[", page(7), "#part|x]] [[note [1] of]]"), ("[root](wiki/", page(11), ".md) [[wiki/", page(13), "]]"),
+    ]
+    body = F.concat_ws("\n", *(F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in line)) for line in lines))
+    return p.select(F.concat(F.lit("wiki/page_"), k.cast("string"), F.lit(".md")).alias("path"), body.alias("body"))
+
+
+_LINKS = """k AS (SELECT page_id, 'wiki/page_' || page_id || '.md' AS path, url FROM pages WHERE url IS NOT NULL),
+ links AS (SELECT path, 1 AS line, 'wikilink' AS kind, 'page_' || a AS target, false AS external, a AS n FROM (SELECT path, CASE WHEN page_id % 9 = 0 THEN page_id + 100000000 ELSE page_id // 2 END AS a FROM k)
+ UNION ALL SELECT path, 1, 'wikilink', 'page_' || (page_id // 3), false, page_id // 3 FROM k
+ UNION ALL SELECT path, 2, 'markdown', u, regexp_matches(u, '^(?:http://|https://|ftp://|mailto:)'), NULL FROM (SELECT path, trim(regexp_extract(url, '^([^)#]+)', 1)) AS u FROM k) WHERE u <> ''
+ UNION ALL SELECT path, 3, 'markdown', 'page_' || (page_id // 2) || '.md', false, page_id // 2 FROM k
+ UNION ALL SELECT path, 4, 'markdown', './page%5F' || (page_id // 5) || '.md', false, page_id // 5 FROM k
+ UNION ALL SELECT path, 4, 'wikilink', 'page_' || (page_id // 7), false, page_id // 7 FROM k
+ UNION ALL SELECT path, 4, 'wikilink', 'note [1] of', false, NULL FROM k
+ UNION ALL SELECT path, 5, 'markdown', 'wiki/page_' || (page_id // 11) || '.md', false, page_id // 11 FROM k
+ UNION ALL SELECT path, 5, 'wikilink', 'wiki/page_' || (page_id // 13), false, page_id // 13 FROM k),
+ res AS (SELECT l.*, p.path AS resolved FROM links l LEFT JOIN k p ON p.page_id = l.n)"""
 
 
 @query(f"WITH {_LINKS} SELECT path, line, kind, target, external FROM links")
@@ -699,17 +727,21 @@ def lint_summary(spark, sf_dir):
 @query(f"WITH {_LINKS} SELECT resolved AS path, count(DISTINCT path) AS backlinks FROM res WHERE resolved IS NOT NULL GROUP BY ALL")
 def backlinks(spark, sf_dir):
     w = _wiki(spark, sf_dir)
-    r = ingest.resolve_links(ingest.extract_links(w), w).where(F.col("resolved").isNotNull())
-    return r.groupBy(F.col("resolved").alias("path")).agg(F.countDistinct(r["path"]).alias("backlinks"))
+    return ingest.backlinks(ingest.resolve_links(ingest.extract_links(w), w))
 
 
 @query("SELECT page_id, strlen(html) AS size_bytes FROM pages WHERE strlen(html) >= 5000 ORDER BY 2 DESC, 1")
 def large_attachments(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select("page_id", F.octet_length("html").cast("long").alias("size_bytes"))
-    return p.where("size_bytes >= 5000").orderBy(F.desc("size_bytes"), "page_id")
+    return ingest.large_files(p, "page_id", 5000)
 
 
-@query()
+_LINKED = f"""{T.ENTITIES}, {_Q}, nm AS (SELECT DISTINCT lower(name) AS name, eid FROM entities WHERE length(name) >= 3), hit AS (SELECT doc_id, pos, question, eid FROM open JOIN nm ON contains(lower(question), nm.name)),
+hr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY eid) AS i FROM (SELECT DISTINCT * FROM hit)), hk AS (SELECT doc_id, pos, string_agg(eid, ' ' ORDER BY eid) AS linked, bool_or(tier = 'crystallised' OR lower(type) IN ('deal', 'decision')) AS weighty FROM hr JOIN entities USING (eid) WHERE i <= 8 GROUP BY ALL),
+questions AS (SELECT doc_id, pos, question, coalesce(linked, '') AS linked, CASE WHEN regexp_matches(lower(question), 'decision|deadline|blocker|risk|board|ceo') OR coalesce(weighty, false) THEN 'high' ELSE 'medium' END AS priority FROM open LEFT JOIN hk USING (doc_id, pos))"""
+
+
+@query(f"WITH {_LINKED} SELECT doc_id, pos, priority, linked FROM questions")
 def linked_questions(spark, sf_dir):
     e = T.entities(spark, sf_dir)
     r = ingest.question_priority(ingest.link_questions(_questions(spark, sf_dir), e), e)
@@ -723,23 +755,42 @@ def batch_dedup(spark, sf_dir):
     return fresh.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-@query()
+@query(f"""WITH r AS (SELECT '**From:** user' || (doc_id % 50) || '@mail' || (doc_id % 9) || '.example.com' || chr(10) || '----## ' || replace(substring(text, 1, 30), chr(10), ' ') || chr(10) || text AS html FROM documents),
+s AS (SELECT html AS raw, regexp_replace({_HTML_SQL}, '^\\s+|\\s+$', '', 'g') AS cleaned FROM r),
+d AS (SELECT *, contains(lower(cleaned), 'unsubscribe') AND length(cleaned) > 1500 AND len(list_filter({sql_list(X.MARKETING_CALLS)}, lambda c: contains(lower(cleaned), c))) > 0 AS dropped FROM s),
+a AS (SELECT count(*) FILTER (dropped) AS n_dropped, count(*) FILTER (NOT dropped AND cleaned <> raw) AS n_cleaned, count(*) FILTER (NOT dropped AND cleaned = raw) AS n_untouched, CAST(sum(strlen(raw)) AS BIGINT) AS bytes_before, CAST(sum(CASE WHEN dropped THEN 0 ELSE strlen(cleaned) END) AS BIGINT) AS bytes_after FROM d)
+SELECT *, round(CAST(100.0 AS DOUBLE) * (bytes_before - bytes_after) / bytes_before, 1) AS saved_pct FROM a""")
 def clean_emails(spark, sf_dir):
     return ingest.clean_summary(ingest.clean_emails(_mails(spark, sf_dir)))
 
 
 # --- flows ----------------------------------------------------------------------------------------------------------
 
+def _hops(i):
+    return f"""g{i} AS (SELECT query_id, eid, max(s) AS s FROM (SELECT * FROM g{i - 1} UNION ALL SELECT g.query_id, y.other, g.s * y.weight * CAST(0.6 AS DOUBLE) FROM g{i - 1} g JOIN sym y ON g.eid = y.node JOIN entities x ON x.eid = y.other WHERE g.s * y.weight * CAST(0.6 AS DOUBLE) > 0.12) GROUP BY ALL)"""
+
+
+_SCAN = f"""{_TOP}, {T.ENTITIES}, {T.EDGES}, {_INDEX}, sym AS (SELECT src AS node, dst AS other, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges), srcs AS (SELECT eid, unnest(sources) AS path FROM entities), nm AS (SELECT eid, {_tokens_sql('name')} AS words FROM entities),
+sd AS (SELECT query_id, eid FROM nm, q0 WHERE len(list_intersect(q, words)) >= 2 OR (len(list_intersect(q, words)) >= 1 AND len(list_intersect(q, words)) / greatest(len(q), 1) >= 0.3) UNION SELECT query_id, eid FROM srcs JOIN top_files USING (path)),
+g0 AS (SELECT query_id, eid, CAST(1.0 AS DOUBLE) AS s FROM sd), {_hops(1)}, {_hops(2)}, act AS (SELECT g2.* FROM g2 ANTI JOIN sd USING (query_id, eid)),
+hits AS (SELECT query_id, path, max(s) AS s FROM act JOIN srcs USING (eid) SEMI JOIN memory_files USING (path) ANTI JOIN top_files USING (query_id, path) GROUP BY ALL), extra AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, path) AS ord FROM hits),
+we0 AS (SELECT page, translate(lower(name), '_-', '  ') || ' ' || lower(description) AS search FROM idx), we AS (SELECT *, {_stems_sql(_tokens_sql('search'))} AS stems FROM we0),
+wr AS (SELECT query_id, page, list_sum(list_transform(q, lambda t: CASE WHEN list_contains(pn, t) THEN CAST(3.0 AS DOUBLE) ELSE 1.0 END * CASE WHEN contains(search, t) THEN CAST(least({_OCC.format(h='search')}, 5) AS DOUBLE) WHEN list_contains(stems, {_STEM.format('t')}) THEN CAST(0.6 AS DOUBLE) ELSE 0.0 END)) AS score FROM we, qs),
+wb AS (SELECT query_id, page, max(score) AS score FROM wr WHERE score > 0 GROUP BY ALL), ww AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, page) AS ord FROM wb),
+scan AS (SELECT query_id, path, 'direct' AS kind, rank AS ord FROM top_files UNION ALL SELECT query_id, path, 'graph', ord FROM extra WHERE ord <= 3 UNION ALL SELECT query_id, page, 'wiki', ord FROM ww WHERE ord <= 4)"""
+
+
 def _scan(spark, sf_dir):
     return assembly.memory_scan(T.memory_files(spark, sf_dir), T.entities(spark, sf_dir), T.edges(spark, sf_dir), _asked(spark), AS_OF, _index(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_SCAN} SELECT query_id, path, kind, ord FROM scan")
 def memory_scan(spark, sf_dir):
     return _scan(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH {_SCAN}, cut AS (SELECT query_id, path, kind, row_number() OVER (PARTITION BY query_id ORDER BY CASE kind WHEN 'direct' THEN 0 WHEN 'graph' THEN 1 ELSE 2 END, ord, path) AS rank, least(length(body), 5000) AS c FROM scan JOIN memory_files USING (path)),
+b AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM cut) SELECT query_id, path, kind, rank, CAST(least(c, 80000 - before) AS BIGINT) AS taken FROM b WHERE before < 80000""")
 def context_assembly(spark, sf_dir):
     return assembly.context(_scan(spark, sf_dir), T.memory_files(spark, sf_dir))
 
@@ -760,12 +811,18 @@ def crystallised_block(spark, sf_dir):
     return assembly.crystallised_block(T.entities(spark, sf_dir)).withColumn("computed", F.round("computed", 6))
 
 
-@query()
+@query(f"""WITH {_EDGE_WEIGHTS}, {T.ENTITIES}, {T.TRIPLES}, {T.MEMORY_FILES}, kept AS (SELECT *, round(w, 4) AS new FROM weighed WHERE NOT (w < 0.05 AND tier <> 'crystallised')), nodes AS (SELECT *, round({_ENT_W}, 4) AS weight FROM entities),
+age AS (SELECT path, size_bytes, (epoch({_NOW}) - epoch(mtime)) / 86400.0 AS d FROM memory_files), tiers AS (SELECT CASE WHEN d < 90 THEN 'aging' WHEN d < 365 THEN 'mature' ELSE 'ancient' END AS tier FROM age WHERE d >= 30), plan AS (SELECT least(count(*), CASE tier WHEN 'aging' THEN 30 WHEN 'mature' THEN 20 ELSE 10 END) AS n FROM tiers GROUP BY tier),
+claims AS (SELECT t.dst, e.tier = 'crystallised' OR a.tier = 'crystallised' OR b.tier = 'crystallised' OR e.type IN ('reports_to', 'owns', 'leads', 'decides') AS high, e.new AS weight FROM triples t JOIN kept e ON t.src = e.src AND t.type = e.type AND t.dst <> e.dst LEFT JOIN entities a ON e.src = a.eid LEFT JOIN entities b ON e.dst = b.eid
+  WHERE t.confidence >= 0.7 AND (t.type NOT IN {tuple(memory.ORG_RELATIONS)} OR len(list_filter({sql_list(memory.AUTHORITATIVE)}, lambda p: contains(source, p))) > 0) AND t.type IN {tuple(memory.SINGLE_VALUED)})
+SELECT (SELECT count(*) FROM weighed) AS edges_updated, (SELECT count(*) FROM weighed) - (SELECT count(*) FROM kept) AS edges_archived, (SELECT count(*) FROM nodes WHERE weight < 0.1 AND tier <> 'crystallised' AND eid NOT IN (SELECT src FROM kept UNION SELECT dst FROM kept)) AS orphans,
+ (SELECT CAST(sum(n) AS BIGINT) FROM plan) AS to_compress, (SELECT count(*) FROM claims) AS contradictions, (SELECT count(*) FROM claims WHERE NOT coalesce(high, false) AND weight <= 0.6) AS resolved""")
 def nightly_briefing(spark, sf_dir):
     return assembly.nightly(T.memory_files(spark, sf_dir), T.entities(spark, sf_dir), T.edges(spark, sf_dir), T.triples(spark, sf_dir), AS_OF)["briefing"]
 
 
-@query()
+@query(f"""WITH {_CONTRA}, {_LINKED[len(T.ENTITIES) + 2 :]}, {T.PROPOSALS}, a AS (SELECT 'question' AS kind, question AS label FROM questions WHERE priority = 'high' ORDER BY label LIMIT 12), b AS (SELECT 'contradiction' AS kind, src || ' ' || type || ' ' || new_dst AS label FROM contra WHERE severity = 'high' ORDER BY label LIMIT 12),
+c AS (SELECT DISTINCT 'proposal' AS kind, path AS label FROM proposals WHERE status = 'pending' ORDER BY label LIMIT 12) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
 def top_of_mind(spark, sf_dir):
     e = T.entities(spark, sf_dir)
     q = ingest.question_priority(ingest.link_questions(_questions(spark, sf_dir), e), e)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kelpie.plans import more  # noqa: F401  registers its queries
 from kelpie.plans.queries import ORACLE, QUERIES
 
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kelpie.operators.cut import spread
+
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_ORDERS = "2001-08-02 00:00:00"
 FOLDERS = ["accounts", "decisions", "weekly", "context", "saved", "research", "daily/emails", "daily/notes", "episodic", "archive"]
@@ -38,7 +40,7 @@ def read(spark, sf_dir, name):
 
 
 def memory_files(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return d.select(
         "doc_id", path_of(F.col("doc_id"), F.col("source")).alias("path"), F.concat_ws("_", "source", F.col("doc_id").cast("string")).alias("stem"),
         F.col("text").alias("body"), F.octet_length("text").cast("long").alias("size_bytes"), days_before(AS_OF, F.col("doc_id") % 400).alias("mtime"),
@@ -162,3 +164,37 @@ PROPOSALS = f"""proposals AS (
   SELECT conv_id || '-' || turn AS uid, ['wiki/people/P', 'wiki/projects/X', 'wiki/decisions/D', 'MEMORY/accounts/A', 'MEMORY/weekly/W'][conv_id % 5 + 1] || (conv_id % 20) || '.md' AS path, text AS reason, 's' || (conv_id % 3) AS source,
     TIMESTAMP '{AS_OF}' - to_hours(CAST(conv_id % 1000 AS INTEGER)) - to_minutes(CAST(turn AS INTEGER)) AS ts, ['pending', 'accepted', 'rejected'][(conv_id + turn) % 3 + 1] AS status
   FROM conversations WHERE role = 'user')"""
+
+
+def signals(spark, sf_dir):
+    """What was read from mails: path, subject, actionable, action, urgency, confidence, deadline, already_responded."""
+    c = read(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    k = F.col("conv_id") * 3 + F.col("turn")
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 60).cast("int")), "yyyy-MM-dd")
+    return c.select(
+        F.concat(F.lit("MEMORY/daily/emails/"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("S"), F.col("conv_id").cast("string")).alias("subject"),
+        (k % 5 != 0).alias("actionable"), F.col("text").alias("action"), F.when(k % 4 != 3, pick(["high", "medium", "low"], k % 4)).alias("urgency"), (k % 10 / 10.0).alias("confidence"), F.when(k % 3 != 0, day).alias("deadline"), (k % 7 == 0).alias("already_responded"),
+    )
+
+
+SIGNALS = """signals AS (
+  SELECT 'MEMORY/daily/emails/' || conv_id || '_' || turn || '.md' AS path, 'S' || conv_id AS subject, k % 5 <> 0 AS actionable, text AS action, CASE WHEN k % 4 <> 3 THEN ['high', 'medium', 'low'][k % 4 + 1] END AS urgency,
+    k % 10 / CAST(10 AS DOUBLE) AS confidence, CASE WHEN k % 3 <> 0 THEN strftime(DATE '2024-01-01' + CAST(k % 60 AS INTEGER), '%Y-%m-%d') END AS deadline, k % 7 = 0 AS already_responded
+  FROM (SELECT *, conv_id * 3 + turn AS k FROM conversations WHERE role = 'user'))"""
+
+
+def calendar(spark, sf_dir):
+    """Events: event_id, summary, iso, kind, urgency, is_cancelled, is_high_stakes, is_recurring, people_links, account_links."""
+    e = read(spark, sf_dir, "events")
+    k, u = F.col("event_id"), F.col("user_id")
+    number = lambda x: F.lpad(x.cast("string"), 9, "0")
+    return e.select(
+        "event_id", F.concat_ws(" ", F.lit("Sync:"), "event_type", (u % 10).cast("string")).alias("summary"), F.date_format("ts", "yyyy-MM-dd").alias("iso"), pick(["external", "internal", "personal", "board"], k).alias("kind"), F.when(k % 4 != 3, pick(["high", "medium", "low"], k % 4)).alias("urgency"),
+        (k % 11 == 0).alias("is_cancelled"), (k % 3 == 0).alias("is_high_stakes"), (k % 2 == 0).alias("is_recurring"), F.array(F.concat(F.lit("Customer#"), number(u)), F.lit("nobody")).alias("people_links"), F.array(F.concat(F.lit("supplier#"), number(u % 20))).alias("account_links"),
+    )
+
+
+CALENDAR = """calendar AS (
+  SELECT event_id, 'Sync: ' || event_type || ' ' || (user_id % 10) AS summary, strftime(ts, '%Y-%m-%d') AS iso, ['external', 'internal', 'personal', 'board'][event_id % 4 + 1] AS kind, CASE WHEN event_id % 4 <> 3 THEN ['high', 'medium', 'low'][event_id % 4 + 1] END AS urgency,
+    event_id % 11 = 0 AS is_cancelled, event_id % 3 = 0 AS is_high_stakes, event_id % 2 = 0 AS is_recurring, ['Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0'), 'nobody'] AS people_links, ['supplier#' || lpad(CAST(user_id % 20 AS VARCHAR), 9, '0')] AS account_links
+  FROM events)"""

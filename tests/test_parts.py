@@ -66,9 +66,8 @@ def test_redaction_in_order(spark):
     for label, p in X.REDACTIONS:
         want, k = re.subn(p, f"[{label}]", want)
         n += k
-    out, count = X.redact(F.col("t"))
-    r = spark.createDataFrame([(text,)], "t string").select(out.alias("o"), count.alias("n")).first()
-    assert (r["o"], r["n"]) == (want, n)
+    rows = ingest.redact(spark.createDataFrame([(text,), ("[EMAIL] of a [PHONE]",), (None,), ("plain",)], "t string"), "t").collect()
+    assert [(r["redacted"], r["n_redacted"]) for r in rows] == [(want, n), ("[EMAIL] of a [PHONE]", 0), (None, None), ("plain", 0)]
 
 
 def test_blocks_and_fingerprints(spark):
@@ -197,7 +196,7 @@ def test_completer(spark):
     assert out[0]["answer"]["summary"] == "say this now" and out[1]["answer"]["summary"] == ""
     bad = assembly.row_function(rows, F.col("p"), lambda p: "no json", "summary string", F.struct(F.lit("none").alias("summary"))).first()
     assert bad["answer"]["summary"] == "none"
-    assert value(spark, assembly.salvage_json(lit('```json\nok {"summary": "a\nb"} end```'), "summary string"))["summary"] == "a b"
+    assert value(spark, assembly.salvage_json(lit('```json\nok {"summary": "a\nb"} end```'), "summary string"))["summary"] == "a\nb"
 
 
 def test_settings():
