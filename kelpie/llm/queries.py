@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licences, mixing, near, passages, quality, rules, suffixes, topk, urls
+from . import bpe, licences, merkle, mixing, near, passages, quality, rules, suffixes, topk, urls
 
 #: SQL of the queries that SQL expresses at the scale of its check; the others are tested against brute force.
 _ORACLE = {
@@ -25,6 +25,41 @@ x AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS word FROM
 y AS (SELECT x.doc_id, x.j, x.word, c.j IS NOT NULL AS gone FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.j = c.j),
 z AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM y GROUP BY doc_id)
 SELECT w.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN z USING (doc_id)""",
+    "op13_merkle_manifest": """
+WITH RECURSIVE c AS (
+  SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 5 = 0 AS hit
+  FROM documents
+), f AS (
+  SELECT doc_id, source, hit, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(low) || ':' || low, '-')) AS changed
+  FROM (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM c)
+), t AS (
+  SELECT *, coalesce('1' || source, '0') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM f
+), lv AS (
+  SELECT tree, 0 AS l, i, leaf AS h, n FROM t
+  UNION ALL SELECT tree, l + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM lv WHERE n > 1 GROUP BY tree, l, i // 16, n
+), s AS (SELECT tree, l, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM lv WHERE n = 1),
+up AS (
+  SELECT 0 AS l, i, h, n FROM s
+  UNION ALL SELECT l + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM up WHERE n > 1 GROUP BY l, i // 16, n
+), r AS (SELECT h AS root FROM up WHERE n = 1),
+p AS (
+  SELECT t.tree, t.i, x.l, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS a, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS b
+  FROM t JOIN lv x ON x.tree = t.tree AND x.n > 1 AND x.i = t.i // CAST(pow(16, x.l) AS BIGINT) JOIN lv y ON y.tree = x.tree AND y.l = x.l AND y.i // 16 = x.i // 16 GROUP BY t.tree, t.i, x.l
+), q AS (
+  SELECT s.tree, x.l, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS a, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS b
+  FROM s JOIN up x ON x.n > 1 AND x.i = s.i // CAST(pow(16, x.l) AS BIGINT) JOIN up y ON y.l = x.l AND y.i // 16 = x.i // 16 GROUP BY s.tree, x.l
+), w AS (
+  SELECT t.tree, t.i, list(a || '?' || b ORDER BY o, l) FILTER (a IS NOT NULL) AS steps
+  FROM t LEFT JOIN (SELECT tree, i, 0 AS o, l, a, b FROM p UNION ALL SELECT t.tree, t.i, 1, q.l, q.a, q.b FROM q JOIN t ON t.tree = q.tree) z ON z.tree = t.tree AND z.i = t.i GROUP BY t.tree, t.i
+), e AS (
+  SELECT t.doc_id, t.leaf, s.h AS subroot, r.root, sha256(replace(coalesce(array_to_string(w.steps, ''), ''), '?', '')) AS proof_sha256,
+    list_reduce(list_prepend(CASE WHEN t.hit THEN t.changed ELSE t.leaf END, coalesce(w.steps, [])), lambda x, y: sha256(replace(y, '?', x))) AS folded_root
+  FROM t JOIN w ON w.tree = t.tree AND w.i = t.i JOIN s ON s.tree = t.tree CROSS JOIN r
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM e""",
 }
 
 
@@ -80,6 +115,10 @@ def op10_bpe_round_trip(spark, sf_dir):
     return bpe.encode_decode(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.audit(_read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
