@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licences, merkle, mixing, near, passages, quality, rules, suffixes, topk, urls
+from . import bpe, licences, merkle, mixing, near, odd, passages, quality, rules, suffixes, topk, urls
 
 #: SQL of the queries that SQL expresses at the scale of its check; the others are tested against brute force.
 _ORACLE = {
@@ -115,6 +115,10 @@ def op10_bpe_round_trip(spark, sf_dir):
     return bpe.encode_decode(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_odd_sketch_dedup(spark, sf_dir):
+    return odd.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark, sf_dir):
     return merkle.audit(_read(spark, sf_dir, "documents"))
 
