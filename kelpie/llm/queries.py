@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, licences, merkle, mixing, near, odd, passages, quality, rules, suffixes, topk, urls
+from pyspark.sql import functions as F
+
+from . import bpe, licences, merkle, mixing, near, negatives, odd, passages, quality, rules, suffixes, topk, urls
 
 #: SQL of the queries that SQL expresses at the scale of its check; the others are tested against brute force.
 _ORACLE = {
@@ -25,6 +27,20 @@ x AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS word FROM
 y AS (SELECT x.doc_id, x.j, x.word, c.j IS NOT NULL AS gone FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.j = c.j),
 z AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM y GROUP BY doc_id)
 SELECT w.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN z USING (doc_id)""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w, row_number() OVER () AS k FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.k, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, b.k AS row, CAST(coalesce(list_sum(list_transform(list_zip(a.w, b.w), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.k <> b.k
+), p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id, row) AS n FROM s WHERE same),
+g AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.k, p.n ORDER BY s.score DESC, s.vec_id, s.row) AS rank
+  FROM p JOIN s ON s.k = p.k AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score WHERE p.n <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM g WHERE rank <= 5""",
     "op13_merkle_manifest": """
 WITH RECURSIVE c AS (
   SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
@@ -115,6 +131,11 @@ def op10_bpe_round_trip(spark, sf_dir):
     return bpe.encode_decode(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_hard_negatives(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings")
+    return negatives.hard_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 def op12_odd_sketch_dedup(spark, sf_dir):
     return odd.near_duplicates(_read(spark, sf_dir, "documents"))
 
