@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def cut(df):
-    """df, computed once and kept in the session's checkpoint folder; it survives the loss of any executor.
 
-    The folder is spark.checkpoint.dir; where none is named, a temporary one on a local master (tests), an error elsewhere.
-    """
-    spark = df.sparkSession
+def shared_folder(spark):
+    """The folder that spark.checkpoint.dir names; where none is, a temporary one on a local master (tests), an error elsewhere."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not named and sc.master.split("[")[0] != "local":
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_kelpie_folder", None)
+    if not named:
+        if sc.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kelpie-"))
+        named = sc._kelpie_folder = tempfile.mkdtemp(prefix="kelpie-")
+    return named
+
+
+def cut(df):
+    """df, computed once and kept in the session's checkpoint folder (shared_folder); it survives the loss of any executor."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -31,8 +39,10 @@ def spread(df, split_bytes=16 << 20):
     return df.repartition(n) if size < n * split_bytes else df
 
 
-def few(df, most=1000):
-    """df, refused beyond `most` rows: what is asked at once is sent to every task that reads the corpus."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries at once")
-    return df
+def in_slices(queries, search, key="query_id", most=1000):
+    """search(queries), for slices of about `most` queries where there are more: what is asked at once goes to every task."""
+    parts = -(-queries.count() // most)
+    if parts <= 1:
+        return search(queries)
+    slice_ = F.pmod(F.xxhash64(key), F.lit(parts))
+    return reduce(DataFrame.unionByName, (search(queries.where(slice_ == i)) for i in range(parts)))

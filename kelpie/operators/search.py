@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
+from functools import partial
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from kelpie.functions import text as T
-from kelpie.operators.cut import cut, few
+from kelpie.operators.cut import cut, in_slices
+from kelpie.operators.index import body_words
+from kelpie.operators.matching import close_terms
 
 #: Fixed values.
 PATH_BOOSTS = {"/accounts/": 2.5, "/decisions/": 1.8, "/weekly/": 1.6, "/context/": 1.4, "/saved/": 1.4, "/research/": 1.3, "/daily/emails/": 1.0, "/daily/": 0.9, "/episodic/": 1.1, "/archive/": 0.6}
@@ -28,29 +28,9 @@ def corpus(files, excluded=EXCLUDED):
     return files.where((F.col("size_bytes") >= 50) & ~_any(F.col("path"), excluded) & ~name.startswith(".") & ~name.endswith(".digest.md"))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _close(wanted: pd.Series, tokens: pd.Series) -> pd.Series:
-    """Of the wanted words those with a close match among the tokens: Ratcliff-Obershelp ratio, which SQL can't express.
-
-    Each distinct pair of a word and a token of fitting length and letters is compared once a batch.
-    """
-    seen = {}
-
-    def close(x, t):
-        if (x, t) not in seen:
-            m = difflib.SequenceMatcher(None, t, x)
-            seen[x, t] = m.real_quick_ratio() >= 0.85 and m.quick_ratio() >= 0.85 and m.ratio() >= 0.85
-        return seen[x, t]
-
-    out = []
-    for w, ts in zip(wanted, tokens):
-        out.append([x for x in w if any(2 * min(len(x), len(t)) >= 0.85 * (len(x) + len(t)) and close(x, t) for t in ts)])
-    return pd.Series(out)
-
-
 def _asked(queries, synonyms=None):
-    """queries with their tokens q and proper nouns pn; those without tokens find nothing. Refused beyond a number."""
-    q = few(queries).withColumn("q", T.query_tokens(F.col("query")))
+    """queries with their tokens q and proper nouns pn; those without tokens find nothing."""
+    q = queries.withColumn("q", T.query_tokens(F.col("query")))
     if synonyms:
         q = q.withColumn("q", T.expand_synonyms(F.col("q"), synonyms))
     return q.where(F.size("q") > 0).withColumn("pn", T.proper_nouns(F.col("query"), F.col("q")))
@@ -60,38 +40,78 @@ def _union(column):
     return F.array_distinct(F.flatten(F.collect_list(column)))
 
 
-def keyword_score(files, queries, as_of, body_chars=8000, synonyms=None, fuzzy=False, claim_boosts=None):
+def _hay(body_chars):
+    return F.concat_ws(" ", F.translate(F.lower("path"), "_/", "  "), F.lower(F.substring("body", 1, body_chars)))
+
+
+def keyword_fields(body_chars=8000):
+    """Fields of an index that bm25 (body) and keyword_score (tokens, stems) read."""
+    tokens = T.all_tokens(_hay(body_chars))
+    return {"body": body_words(), "tokens": tokens, "stems": T.stemmed(tokens)}
+
+
+def _close_lists(q, vocabulary, ratio):
+    """q with near: of its proper nouns of five characters or more those with close matches, and these."""
+    words = q.select("query_id", F.explode("pn").alias("word")).where(F.char_length("word") >= 5)
+    found = close_terms(words, vocabulary, ratio).groupBy("word").agg(F.collect_set("term").alias("terms"))
+    near = words.join(found, "word").groupBy("query_id").agg(F.collect_list(F.struct("word", "terms")).alias("near"))
+    return q.join(near, "query_id", "left")
+
+
+def _close_hits(tokens):
+    """How many proper nouns are close to one of the tokens, and none of them."""
+    hits = F.filter("near", lambda x: ~F.array_contains(tokens, x["word"]) & F.arrays_overlap(tokens, x["terms"]))
+    return F.coalesce(F.size(F.when(F.col("near").isNotNull(), hits)), F.lit(0))
+
+
+def keyword_score(files, queries, as_of, body_chars=8000, synonyms=None, fuzzy=False, claim_boosts=None, index=None):
     """(query_id, path, overlap, stem_hits, effective, proper_hits, tf, boost, score) of every file that a query touches.
 
-    queries: (query_id, query), 1000 at most (ValueError beyond). The corpus is scanned and tokenised once, and its
-    tokens are met with one row that holds the terms and stems of all queries; only files that hold any are paired with
-    queries, and compared by the few terms that they share. as_of: the clock. fuzzy adds close matches of long proper
-    nouns, in an Arrow batch function over the rows that lack an exact match. claim_boosts: (path, boost). An empty
-    query finds nothing.
+    queries: (query_id, query), any number. Without an index the corpus is scanned and tokenised once for every thousand
+    queries, and its tokens are met with one row that holds their terms and stems; only files that hold any are paired
+    with queries. An index of keyword_fields(body_chars) names these files instead, and only they are read and joined.
+    as_of: the clock. fuzzy adds close matches of long proper nouns, found among the distinct tokens of the corpus.
+    claim_boosts: (path, boost). An empty query finds nothing.
     """
+    search = partial(_keyword_score, files, as_of=as_of, body_chars=body_chars, synonyms=synonyms, fuzzy=fuzzy, claim_boosts=claim_boosts, index=index)
+    return search(queries) if index is not None else in_slices(queries, search)
+
+
+def _touched(index, q):
+    """(query_id, path) of the files that hold a term, a stem or a close match of a query."""
+    ask = lambda column: q.select("query_id", F.explode(column).alias("term"))
+    terms = ask("q")
+    if "near" in q.columns:
+        terms = terms.union(ask(F.flatten(F.transform("near", lambda x: x["terms"]))))
+    found = index.matches(terms, "tokens").union(index.matches(ask("q_stems"), "stems"))
+    return found.select("query_id", "path").distinct()
+
+
+def _keyword_score(files, queries, as_of, body_chars, synonyms, fuzzy, claim_boosts, index):
     q = _asked(queries, synonyms).withColumn("q_stems", T.stemmed(F.col("q")))
     q = q.withColumn("recent", _any(F.lower("query"), RECENCY_WORDS))
     q = q.withColumn("names", F.when(T.is_meeting_query(F.col("q")), F.transform(T.person_names(F.col("query")), F.lower)).otherwise(F.array().cast("array<string>")))
-    every = q.agg(_union("q").alias("_terms"), _union("q_stems").alias("_stems"))
-    every = every.withColumn("_starts", F.array_distinct(F.transform("_stems", lambda s: F.substring(s, 1, 3))))
-    f = corpus(files).select(
-        "path", "stem", "size_bytes", "mtime", F.substring("body", 1, 1500).alias("_start"),
-        F.concat_ws(" ", F.translate(F.lower("path"), "_/", "  "), F.lower(F.substring("body", 1, body_chars))).alias("hay"),
-    )
-    f = f.withColumn("hay_toks", T.all_tokens(F.col("hay"))).crossJoin(F.broadcast(every))
-    # a stem is the beginning of its word, cut by no more than e's to under three letters: other words needn't be stemmed
-    near = F.filter("hay_toks", lambda t: F.array_contains("_starts", F.substring(t, 1, 3)) | F.contains(t, F.lit("ee")))
-    f = f.withColumn("_hits", F.array_intersect("_terms", "hay_toks")).withColumn("_stem_hits", F.array_intersect("_stems", T.stemmed(near)))
-    kept = [] if fuzzy else ["hay_toks"]
-    f = (f if fuzzy else f.where((F.size("_hits") > 0) | (F.size("_stem_hits") > 0))).drop("_terms", "_stems", "_starts", *kept)
-    r = f.crossJoin(F.broadcast(q))
-    overlap = F.size(F.array_intersect("q", "_hits"))
-    r = r.withColumn("overlap", overlap).withColumn("stem_hits", F.greatest(F.lit(0), F.size(F.array_intersect("q_stems", "_stem_hits")) - overlap))
+    f = corpus(files).select("path", "stem", "size_bytes", "mtime", F.substring("body", 1, 1500).alias("_start"), _hay(body_chars).alias("hay"))
+    tokens = f.withColumn("hay_toks", T.all_tokens(F.col("hay")))
     if fuzzy:
-        missing = F.filter("pn", lambda p: (F.char_length(p) >= 5) & ~F.array_contains("hay_toks", p))
-        r = r.withColumn("fuzzy_hits", F.when(F.size(missing) > 0, F.size(_close(missing, F.col("hay_toks")))).otherwise(0))
+        q = cut(_close_lists(q, tokens.select(F.explode("hay_toks").alias("term")) if index is None else index.vocabulary("tokens"), 0.85))
+    if index is not None:
+        r = f.join(_touched(index, q), "path").withColumn("hay_toks", T.all_tokens(F.col("hay"))).join(q, "query_id")
+        r = r.withColumn("_hits", F.col("hay_toks")).withColumn("_stem_hits", T.stemmed(F.col("hay_toks")))
     else:
-        r = r.withColumn("fuzzy_hits", F.lit(0))
+        every = q.agg(_union("q").alias("_terms"), _union("q_stems").alias("_stems"), _union(F.flatten(F.transform("near", lambda x: x["terms"])) if fuzzy else F.array().cast("array<string>")).alias("_near"))
+        every = every.withColumn("_starts", F.array_distinct(F.transform("_stems", lambda s: F.substring(s, 1, 3))))
+        f = tokens.crossJoin(F.broadcast(every))
+        # a stem is the beginning of its word, cut by no more than e's to under three letters: other words needn't be stemmed
+        near = F.filter("hay_toks", lambda t: F.array_contains("_starts", F.substring(t, 1, 3)) | F.contains(t, F.lit("ee")))
+        f = f.withColumn("_hits", F.array_intersect("_terms", "hay_toks")).withColumn("_stem_hits", F.array_intersect("_stems", T.stemmed(near)))
+        found = (F.size("_hits") > 0) | (F.size("_stem_hits") > 0)
+        kept = ["hay_toks"] if not fuzzy else []
+        f = f.where(found | F.arrays_overlap("hay_toks", "_near") if fuzzy else found).drop("_terms", "_stems", "_starts", "_near", *kept)
+        r = f.crossJoin(F.broadcast(q))
+    overlap = F.size(F.array_intersect("q", "_hits"))
+    r = r.withColumn("overlap", overlap).withColumn("stem_hits", F.greatest(F.lit(0), F.size(F.array_intersect("q_stems", "_stem_hits")) - overlap))
+    r = r.withColumn("fuzzy_hits", _close_hits(F.col("hay_toks")) if fuzzy else F.lit(0))
     r = r.withColumn("effective", F.col("overlap") + F.col("stem_hits") * 0.6 + F.col("fuzzy_hits") * 1.5).where("effective > 0")
     hay = F.col("hay")
     r = r.withColumn("proper_hits", F.size(F.filter("pn", lambda p: F.contains(hay, p))) + F.col("fuzzy_hits"))
@@ -132,36 +152,28 @@ def top_files(scored, most=8):
     return best.join(total, "query_id").where(F.col("rank") <= cap).drop("total")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _close_names(wanted: pd.Series, tokens: pd.Series) -> pd.Series:
-    """Of the wanted words those with a close match (0.82) among a page name's words that they aren't one of."""
-    seen = {}
-
-    def close(x, t):
-        if (x, t) not in seen:
-            seen[x, t] = difflib.SequenceMatcher(None, t, x).ratio() >= 0.82
-        return seen[x, t]
-
-    return pd.Series([[x for x in w if x not in set(ts) and any(close(x, t) for t in ts)] for w, ts in zip(wanted, tokens)])
-
-
 def wiki_scan(index, queries, most=4, boost=3.0, count_cap=5, fuzzy=False):
     """(query_id, page, score, rank): token scores of index entries (page, name, description); exact counts, else stems.
 
-    fuzzy: a proper noun of five characters or more that is close to a word of a page's name, and none of them, adds 0.8
-    of the boost; in Arrow batches. queries: 1000 at most (ValueError beyond).
+    fuzzy: a proper noun of five characters or more that is close (0.82) to a word of a page's name, and none of them,
+    adds 0.8 of the boost. Entries are read once for every thousand queries.
     """
+    return in_slices(queries, partial(_wiki_scan, index, most=most, boost=boost, count_cap=count_cap, fuzzy=fuzzy))
+
+
+def _wiki_scan(index, queries, most, boost, count_cap, fuzzy):
     q = _asked(queries)
     entry = index.withColumn("search", F.concat_ws(" ", F.lower(F.translate("name", "_-", "  ")), F.lower("description")))
     entry = entry.withColumn("stems", T.stemmed(T.all_tokens(F.col("search"))))
+    name = F.filter(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    if fuzzy:
+        q = cut(_close_lists(q, index.select(F.explode(name).alias("term")), 0.82))
     r = entry.crossJoin(F.broadcast(q))
     search, stems, pn = F.col("search"), F.col("stems"), F.col("pn")
     value = lambda t: F.when(F.array_contains(pn, t), boost).otherwise(1.0) * F.when(F.contains(search, t), F.least(T.occurrences(search, t), F.lit(count_cap).cast("long")).cast("double")).when(F.array_contains(stems, T.stem_token(t)), 0.6).otherwise(0.0)
     r = r.withColumn("score", F.aggregate("q", F.lit(0.0), lambda a, t: a + value(t)))
     if fuzzy:
-        long = F.filter("pn", lambda p: F.char_length(p) >= 5)
-        near = _close_names(long, F.filter(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
-        r = r.withColumn("score", F.col("score") + F.size(near) * (0.8 * boost))
+        r = r.withColumn("score", F.col("score") + _close_hits(name) * (0.8 * boost))
     r = r.where("score > 0")
     best = r.groupBy("query_id", "page").agg(F.max("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "page"))).where(F.col("rank") <= most)
@@ -178,12 +190,16 @@ def domain_bundles(files, queries, bundles):
 
 
 def bm25(files, queries, k1=1.2, b=0.75):
-    """(query_id, path, score): BM25 over whole bodies.
+    """(query_id, path, score): BM25 over whole bodies, without an index (with one: Index.bm25 and Index.top).
 
-    One scan counts the words of each file and, of these, the terms of the queries (1000 at most, ValueError beyond);
-    no text and no other word is shuffled. Files without words count for nothing.
+    One scan for every thousand queries counts the words of each file and, of these, the terms of the queries; no text
+    and no other word is shuffled. Files without words count for nothing.
     """
-    terms = few(queries).select("query_id", F.explode(T.query_tokens(F.col("query"))).alias("term"))
+    return in_slices(queries, partial(_bm25, files, k1=k1, b=b))
+
+
+def _bm25(files, queries, k1, b):
+    terms = queries.select("query_id", F.explode(T.query_tokens(F.col("query"))).alias("term"))
     every = terms.agg(F.collect_set("term").alias("_terms"))
     words = files.select("path", F.filter(F.split(F.lower("body"), T.NON_WORD), lambda t: t != "").alias("words")).crossJoin(F.broadcast(every))
     words = words.select("path", F.size("words").alias("len"), F.filter("words", lambda t: F.array_contains("_terms", t)).alias("hits")).where("len > 0")
@@ -199,14 +215,24 @@ def bm25(files, queries, k1=1.2, b=0.75):
 
 
 def past_occurrences(files, events, as_of, days=90, most=4):
-    """(event_id, path, score, rank): earlier notes of a recurring event: shared title words in the stem, else in the first 600 characters."""
-    e = few(events).withColumn("words", T.event_tokens(F.col("title"))).where(F.size("words") > 0)
+    """(event_id, path, score, rank): earlier notes of a recurring event: shared title words in the stem, else in the first 600 characters.
+
+    Events meet files by their words: those of the stem by an equi-join; in the first characters, where a word may stand
+    within another, by every place that begins like one.
+    """
+    e = events.withColumn("words", T.event_tokens(F.col("title"))).where(F.size("words") > 0)
+    asked = cut(e.select("event_id", F.size("words").alias("n"), F.explode("words").alias("word")))
     age = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("mtime").cast("timestamp"))) / 86400.0
     f = files.where((age >= 0) & (age <= days)).select("path", "mtime", T.event_tokens(F.translate("stem", "_-", "  ")).alias("stem_words"), F.lower(F.substring("body", 1, 600)).alias("head"))
-    r = f.crossJoin(F.broadcast(e))
-    head = F.col("head")
-    in_head = F.size(F.filter("words", lambda w: F.contains(head, w)))
-    need = F.greatest(F.lit(2), F.floor(F.size("words") / 2))
-    r = r.withColumn("score", F.when(F.arrays_overlap("words", "stem_words"), F.size(F.array_intersect("words", "stem_words"))).when(in_head >= need, in_head).otherwise(0)).where("score > 0")
+    stems = f.select("path", "mtime", F.explode("stem_words").alias("word")).withColumn("where", F.lit("stem"))
+    words = asked.select("word").distinct().withColumn("start", F.substring("word", 1, 3))  # words have three characters or more
+    longest = words.agg(F.max(F.char_length("word")).alias("longest"))
+    places = F.transform(F.sequence(F.lit(1), F.char_length("head") - 2), lambda i: F.substring("head", i, F.col("longest")))
+    heads = f.where(F.char_length("head") >= 3).crossJoin(F.broadcast(longest)).select("path", "mtime", F.explode(F.array_distinct(places)).alias("place"))
+    heads = heads.withColumn("start", F.substring("place", 1, 3)).join(words, "start").where(F.startswith("place", F.col("word"))).select("path", "mtime", "word").distinct()
+    both = stems.unionByName(heads.withColumn("where", F.lit("head"))).join(asked, "word")
+    counts = both.groupBy("event_id", "path", "mtime", "n").agg(F.count_if(F.col("where") == "stem").cast("int").alias("in_stem"), F.count_if(F.col("where") == "head").cast("int").alias("in_head"))
+    need = F.greatest(F.lit(2), F.floor(F.col("n") / 2))
+    r = counts.withColumn("score", F.when(F.col("in_stem") > 0, F.col("in_stem")).when(F.col("in_head") >= need, F.col("in_head")).otherwise(0)).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("score"), F.desc("mtime"), "path"))
     return r.withColumn("rank", rank).where(F.col("rank") <= most).select("event_id", "path", "score", "rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kelpie.functions import scoring as S
@@ -9,7 +11,8 @@ from kelpie.functions import text as X
 from kelpie.operators import graph, ingest, memory, ordered, rollups, search
 from kelpie.plans import assembly
 from kelpie.plans import tables as T
-from kelpie.operators.cut import cut, spread
+from kelpie.operators.cut import cut, shared_folder, spread
+from kelpie.operators.index import Index
 from kelpie.plans.tables import AS_OF, read, sql_list
 
 QUERIES, ORACLE = {}, {}
@@ -229,9 +232,12 @@ def domain_bundles(spark, sf_dir):
     return search.domain_bundles(T.memory_files(spark, sf_dir), _asked(spark), [("meetings", ["meeting", "prep"], ["daily/emails", "weekly"]), ("choices", ["options", "license"], ["decisions"])])
 
 
-@query(f"""WITH {T.MEMORY_FILES}, {_ASKED_SQL}, w AS (SELECT path, unnest(list_filter(regexp_split_to_array(lower(body), '{_W}'), lambda t: t <> '')) AS term FROM memory_files), tf AS (SELECT path, term, count(*) AS tf FROM w GROUP BY ALL),
+_BM25 = f"""WITH {T.MEMORY_FILES}, {_ASKED_SQL}, w AS (SELECT path, unnest(list_filter(regexp_split_to_array(lower(body), '{_W}'), lambda t: t <> '')) AS term FROM memory_files), tf AS (SELECT path, term, count(*) AS tf FROM w GROUP BY ALL),
 l AS (SELECT path, sum(tf) AS len FROM tf GROUP BY ALL), n AS (SELECT count(*) AS n, avg(len) AS mean FROM l), q AS (SELECT query_id, unnest({_query_tokens_sql('query')}) AS term FROM asked), d AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY ALL)
-SELECT query_id, path, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM q JOIN tf USING (term) JOIN d USING (term) JOIN l USING (path), n GROUP BY ALL""")
+SELECT query_id, path, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM q JOIN tf USING (term) JOIN d USING (term) JOIN l USING (path), n GROUP BY ALL"""
+
+
+@query(_BM25)
 def bm25(spark, sf_dir):
     return search.bm25(T.memory_files(spark, sf_dir), _asked(spark)).withColumn("score", F.round("score", 6))
 
@@ -239,6 +245,32 @@ def bm25(spark, sf_dir):
 _EVENTS_LIST = [(1, "Weekly source review src3"), (2, "Sync Theou nterti edshou"), (3, "the and for")]
 
 
+def _indexed(spark, sf_dir):
+    """An index of all memory files, built once a session and folder and then kept up to date."""
+    made = spark.sparkContext.__dict__.setdefault("_kelpie_indexes", {})
+    files = T.memory_files(spark, sf_dir)
+    if sf_dir not in made:
+        made[sf_dir] = Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", search.keyword_fields())
+        made[sf_dir].build(files)
+    return made[sf_dir]
+
+
+@query(_BM25)
+def indexed_bm25(spark, sf_dir):
+    return _indexed(spark, sf_dir).bm25(_asked(spark)).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT query_id, path, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM ({_BM25})) WHERE rank <= 10")
+def indexed_top(spark, sf_dir):
+    return _indexed(spark, sf_dir).top(_asked(spark)).withColumn("score", F.round("score", 6))
+
+
+@query(ORACLE["keyword_score"])
+def indexed_keyword_score(spark, sf_dir):
+    r = _keyword(spark, sf_dir, index=_indexed(spark, sf_dir))
+    return r.select("query_id", "path", "overlap", "stem_hits", "proper_hits", "tf", F.round("boost", 6).alias("boost"), F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH {T.MEMORY_FILES}, ev(event_id, title) AS (VALUES (1, 'Weekly source review src3'), (2, 'Sync Theou nterti edshou'), (3, 'the and for')),
 e AS (SELECT event_id, list_filter(list_distinct(regexp_extract_all(lower(title), '([a-z][a-z0-9]+)', 1)), lambda t: length(t) >= 3 AND NOT list_contains({sql_list(X.EVENT_SKIP)}, t)) AS words FROM ev),
 f AS (SELECT path, mtime, list_filter(list_distinct(regexp_extract_all(translate(lower(stem), '_-', '  '), '([a-z][a-z0-9]+)', 1)), lambda t: length(t) >= 3 AND NOT list_contains({sql_list(X.EVENT_SKIP)}, t)) AS sw, lower(substring(body, 1, 600)) AS head FROM memory_files WHERE (epoch({_NOW}) - epoch(mtime)) / 86400.0 BETWEEN 0 AND 90),

@@ -11,7 +11,9 @@ import json
 import uuid
 from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class Taken(RuntimeError):
@@ -38,7 +40,7 @@ class Versions:
     """The versions of some named tables below a root, on any file system that Spark writes to."""
 
     def __init__(self, spark, root):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self._schemas = spark, root.rstrip("/"), {}
         self.jvm = spark.sparkContext._jvm
         self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -52,31 +54,39 @@ class Versions:
         names = [f.getPath().getName() for f in self.fs.listStatus(self._path("versions"))]
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    def tables(self, version=None):
-        """{name: path} of a version, the current one by default; empty before the first."""
+    def _manifest(self, version):
         version = (self.numbers() or [0])[-1] if version is None else version
         if not version:
-            return {}
+            return {"tables": {}, "schemas": {}}
         stream = self.fs.open(self._path(f"versions/{version:010d}.json"))
         try:
-            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["tables"]
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def tables(self, version=None):
+        """{name: path or paths} of a version, the current one by default; empty before the first."""
+        return self._manifest(version)["tables"]
+
     def read(self, name, version=None):
-        """A table as it is in a version; what is published later doesn't reach this DataFrame."""
-        paths = self.tables(version)[name]
-        return self.spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+        """A table as it is in a version; what is published later doesn't reach this DataFrame. Several paths are one table."""
+        manifest = self._manifest(version)
+        paths = manifest["tables"][name]
+        schema = lambda p: StructType.fromJson(json.loads(manifest["schemas"][p]))
+        return reduce(DataFrame.unionByName, (self.spark.read.schema(schema(p)).parquet(p) for p in ([paths] if isinstance(paths, str) else paths)))
 
     def write(self, name, df, partition_by=()):
         """Write df as a table that no version names yet, and return its path."""
         path = f"{self.root}/data/{name}-{uuid.uuid4().hex}"
         df.write.partitionBy(*partition_by).parquet(path)
+        self._schemas[path] = df.schema.json()
         return path
 
     def publish(self, tables, base):
-        """Name the tables {name: path or paths} as the version after base; Taken if there is one already."""
+        """Name the tables {name: path or paths}, of write() or of base, as the version after base; Taken if there is one."""
         number = base + 1
+        known = self._manifest(base)["schemas"] | self._schemas
+        schemas = {p: known[p] for v in tables.values() for p in ([v] if isinstance(v, str) else v)}
         claim = self._path(f"versions/.{number:010d}.claim")
         try:
             self.fs.create(claim, False).close()
@@ -88,7 +98,7 @@ class Versions:
         part = self._path(f"versions/.{uuid.uuid4().hex}")
         try:
             out = self.fs.create(part, False)
-            out.write(bytearray(json.dumps({"tables": tables}).encode()))
+            out.write(bytearray(json.dumps({"tables": tables, "schemas": schemas}).encode()))
             out.close()
             if not self.fs.rename(part, self._path(f"versions/{number:010d}.json")):
                 raise RuntimeError(f"version {number} of {self.root} couldn't be named")
@@ -119,6 +129,7 @@ class Versions:
 
     def restore(self, version):
         """Make the tables of an earlier version current again, as a new version."""
+        self._schemas |= self._manifest(version)["schemas"]
         return self.publish(self.tables(version), (self.numbers() or [0])[-1])
 
     def forget(self, keep=1):

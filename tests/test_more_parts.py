@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import text as X
 from kelpie.operators import export, graph, ingest, memory, naming, search, signals
-from kelpie.operators.cut import few, spread
+from kelpie.operators.cut import in_slices, spread
 from kelpie.plans import assembly
 
 
@@ -61,8 +61,10 @@ def test_name_seeds_and_limits(spark):
     e = spark.createDataFrame([("a", "Ann Lee"), ("b", "Lee Lee"), ("c", "Big Co")], "eid string, name string")
     q = spark.createDataFrame([(1, ["ann", "lee"]), (2, ["lee", "x", "y", "z"]), (3, [])], "query_id int, q array<string>")
     assert {tuple(r) for r in graph.name_seeds(e, q).collect()} == {(1, "a"), (1, "b")}
-    with pytest.raises(ValueError):
-        few(spark.range(5), 4)
+    asked = spark.range(25).withColumnRenamed("id", "query_id")
+    parts = []
+    found = in_slices(asked, lambda q: parts.append(q) or q, most=10)
+    assert len(parts) == 3 and sorted(r[0] for r in found.collect()) == list(range(25))
     assert spread(spark.range(10)).count() == 10
 
 
