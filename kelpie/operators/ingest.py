@@ -60,6 +60,35 @@ def new_blocks(blocks, seen, column="block", order=("block_no",)):
     return first.unionByName(bare)
 
 
+def unseen_newest(rows, key, fp="fp", order=("ts",), cap=5000):
+    """Rows whose fingerprint isn't among the `cap` that were last added to those of their key; rows without one pass.
+
+    A fingerprint is added when it passes, and goes when `cap` newer ones have been added: a repeat doesn't renew it, so
+    what passes hangs on all before it. Rows of a key stream in order through one task that holds `cap` fingerprints.
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    at, fp_at = [rows.columns.index(k) for k in key], rows.columns.index(fp)
+
+    def run(batches):
+        import pyarrow as pa
+
+        here, held = None, {}
+        for batch in batches:
+            keep = []
+            for k, x in zip(zip(*(batch.column(i).to_pylist() for i in at)), batch.column(fp_at).to_pylist()):
+                if k != here:
+                    here, held = k, {}
+                new = not x or x not in held
+                keep.append(new)
+                if x and new:
+                    held[x] = None
+                    if len(held) > cap:
+                        del held[next(iter(held))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, rows.schema)
+
+
 def open_questions(rows, id_col, text_col, asks=T.OPEN_QUESTION):
     """(id, pos, question): sentences of 15 to 400 characters that ask (a pattern over lower case), and aren't settled."""
     s = rows.select(id_col, F.posexplode(T.sentences(F.col(text_col))).alias("pos", "question")).withColumn("question", F.regexp_replace("question", r"^\s+|\s+$", ""))
