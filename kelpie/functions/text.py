@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from html.entities import html5
 
 from pyspark.sql import functions as F
@@ -183,26 +184,56 @@ HTML_STEPS = (
     (r"(?im)^[.#@a-z][^{}\n]{0,200}\{[^{}]*\}", " "),
     (r"(?s)<[^>]+>", " "),
 )
-#: The entities that most pages hold.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: The entities that most pages hold (what the SQL spells out).
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 #: Clean-up of what is left, in order.
 _SPACES = ((r"[​‌‍­‎‏]", ""), (" ", " "), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"), (r"(?m)[ \t\r]+$", ""))
 
 
+#: What may be an entity, and the groups that its names are looked up in: a long map is searched from its start.
+_ENTITY, _GROUPS = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 256
+
+
+def _entity_names():
+    """An array of maps, by the crc32 of the name: entity names, as HTML 5 has them, to what they stand for."""
+    groups = [[] for _ in range(_GROUPS)]
+    for name, value in html5.items():
+        groups[zlib.crc32(name.encode()) % _GROUPS] += [F.lit(name), F.lit(value)]
+    return F.array(*(F.create_map(*(g or [F.lit(""), F.lit("")])) for g in groups))
+
+
+def _code_point(n):
+    """The text of a numeric entity: controls of windows-1252 by its table, what is no character as the standard has it."""
+    table = F.create_map(*(F.lit(x) for i in range(128, 160) for x in (i, bytes([i]).decode("cp1252", "ignore") or chr(i))))
+    none = n.between(0x1, 0x8) | n.between(0xE, 0x1F) | (n == 0xB) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF) | ((n % 0x10000) >= 0xFFFE)
+    sign = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return (
+        F.when(n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd").when(n == 0xD, "\r")
+        .when(n.between(128, 159), table[n.cast("int")]).when(none, "").otherwise(sign)
+    )
+
+
 def unescape(text):
-    """Entities with a semicolon, named (as HTML 5 has them) or numeric, decoded once; unknown names stay.
-
-    The few that most pages hold are replaced as they are; others are looked up, once a text each.
-    """
-    common = {e for e, _ in ENTITIES}
-    names = F.create_map(*(F.lit(x) for k, v in html5.items() if k.endswith(";") for x in ("&" + k, v)))
-    number = lambda e: F.coalesce(F.conv(F.regexp_extract(e, "^&#[xX]([0-9a-fA-F]+);", 1), 16, 10).try_cast("long"), F.regexp_extract(e, "^&#([0-9]+);", 1).try_cast("long"))
-    sign = lambda n: F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
-    found = F.array_except(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)"), F.lit(1))), F.array(*(F.lit(e) for e in sorted(common))))
-    text = F.aggregate(found, text, lambda t, e: F.replace(t, e, F.coalesce(F.when(e.startswith("&#"), sign(number(e))).otherwise(F.get(F.array(names[e]), F.lit(0))), e)))
-    for entity, to in ENTITIES:  # the ampersand last: nothing is decoded twice
-        text = F.replace(text, F.lit(entity), F.lit(to))
-    return text
+    """Entities, named (as HTML 5 has them, the old ones also without a semicolon) or numeric, decoded in one pass; unknown names stay."""
+    names = _entity_names()
+    look = lambda name: F.element_at(F.element_at(names, (F.crc32(name) % _GROUPS + 1).cast("int")), name)
+
+    def named(e):
+        whole = look(e)
+        # of old names that go without a semicolon, the longest that the entity begins with
+        begins = F.coalesce(*(F.when(F.char_length(e) > n, F.concat(look(F.substring(e, 1, n)), F.substring(e, n + 1, 40))) for n in range(max(len(k) for k in html5 if k[-1] != ";"), 1, -1)))
+        return F.coalesce(whole, begins, F.concat(F.lit("&"), e))
+
+    def decoded(e):
+        digits = F.regexp_replace(F.rtrim(e, F.lit(";")), "^#[xX]?0*", "")
+        # more digits than any character has are beyond the last one
+        number = F.when(F.char_length(digits) > 10, F.lit(1 << 31)).otherwise(F.coalesce(digits.try_cast("long"), F.lit(0)))
+        hexed = F.when(F.char_length(digits) > 10, F.lit(1 << 31)).otherwise(F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(0)))
+        return F.when(F.startswith(e, F.lit("#")), _code_point(F.when(e.rlike("^#[xX]"), hexed).otherwise(number))).otherwise(named(e))
+
+    between, found = F.split(text, _ENTITY, -1), F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1))
+    pieces = F.transform(F.arrays_zip(between.alias("t"), found.alias("e")), lambda x: F.concat(x["t"], F.coalesce(F.when(x["e"].isNotNull(), decoded(x["e"])), F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def strip_html(text):

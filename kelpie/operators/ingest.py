@@ -96,21 +96,21 @@ def open_questions(rows, id_col, text_col, asks=T.OPEN_QUESTION):
     return s.where(F.char_length("question").between(15, 400) & low.rlike(asks) & ~low.rlike(T.CLOSED))
 
 
-def link_questions(questions, entities, most=8):
+def link_questions(questions, entities, most=8, order="eid"):
     """(…, linked): up to `most` entity ids whose name (three characters or more) the question contains.
 
     Where a question has the first three characters of some names, its piece of each of their lengths is taken, and
     an equi-join of pieces and names finds any that are equal: no substring is missed, and questions aren't paired with
-    names. The table of beginnings and lengths is broadcast. Where more than `most` fit, the least ids are taken.
+    names. Where more than `most` fit, the first by the order column are taken, in that order.
     """
     key = [c for c in questions.columns]
-    names = entities.where(F.char_length("name") >= 3).groupBy(F.lower("name").alias("_name")).agg(F.slice(F.array_sort(F.collect_set("eid")), 1, most).alias("_eids"))
+    names = entities.where(F.char_length("name") >= 3).groupBy(F.lower("name").alias("_name")).agg(F.slice(F.array_sort(F.collect_set(F.struct(F.col(order).alias("o"), "eid"))), 1, most).alias("_eids"))
     starts = names.groupBy(F.substring("_name", 1, 3).alias("_start")).agg(F.collect_set(F.char_length("_name")).alias("_lengths"))
     words = questions.withColumn("_low", F.lower("question")).where(F.char_length("_low") >= 3)
     grams = F.transform(F.sequence(F.lit(1), F.char_length("_low") - 2), lambda i: F.substring(F.col("_low"), i, F.lit(3)))
-    pieces = words.select(*key, "_low", F.posexplode(grams).alias("_at", "_start")).join(F.broadcast(starts), "_start")
+    pieces = words.select(*key, "_low", F.posexplode(grams).alias("_at", "_start")).join(starts, "_start")
     pieces = pieces.select(*key, F.explode(F.transform("_lengths", lambda n: F.substring(F.col("_low"), F.col("_at") + 1, n))).alias("_name"))
-    hits = pieces.join(names, "_name").select(*key, F.explode("_eids").alias("_eid")).groupBy(*key).agg(F.slice(F.array_sort(F.collect_set("_eid")), 1, most).alias("linked"))
+    hits = pieces.join(names, "_name").select(*key, F.explode("_eids").alias("_eid")).groupBy(*key).agg(F.transform(F.slice(F.array_sort(F.collect_set("_eid")), 1, most), lambda x: x["eid"]).alias("linked"))
     return questions.join(hits, key, "left").withColumn("linked", F.coalesce("linked", F.array().cast("array<string>")))
 
 

@@ -90,8 +90,7 @@ def find_contradictions(triples, edges, entities, threshold=0.7, rejected=None,
             no = rejected.select(normal_object("subject").alias("_s"), F.col("relation").alias("type"), normal_object("object").alias("_o"))
             t = t.join(no, ["_s", "type", "_o"], "left_anti")
         if truths is not None:
-            yes = truths.where(F.col("relation").isin(*SINGLE_VALUED)).select(normal_object("subject").alias("_s"), F.col("relation").alias("type"), normal_object("object").alias("_truth"))
-            t = t.join(yes, ["_s", "type"], "left").where(F.col("_truth").isNull() | (F.col("_truth") == F.col("_o")))
+            t = t.join(_truths(truths), ["_s", "type"], "left").where(F.col("_truth").isNull() | (F.col("_truth") == F.col("_o")))
         t = t.select("src", "dst", "type", "confidence", "source")
     old = edges.select("src", F.col("dst").alias("old_dst"), F.col("type").alias("old_type"), "weight", F.col("tier").alias("old_tier"))
     new = t.select("src", F.col("dst").alias("new_dst"), "type", "confidence")
@@ -109,17 +108,26 @@ def find_contradictions(triples, edges, entities, threshold=0.7, rejected=None,
 def purge_rejected(edges, entities, rejected, truths):
     """Edges without those that a rejected claim names, or that a ground truth (subject, relation, object) speaks against.
 
-    Ends are compared by the normal form of their names, or of their ids where they have none.
+    Only truths of single-valued relations speak against other objects; of several of one subject the last counts (by a
+    column `at`, else by the object). Ends are compared by the normal form of their names, or of their ids where they
+    have none.
     """
     look = lambda side: entities.select(F.col("eid").alias(side), F.col("name").alias(f"_{side}"))
     r = edges.join(look("src"), "src", "left").join(look("dst"), "dst", "left")
     r = r.withColumn("_s", normal_object(F.coalesce("_src", "src"))).withColumn("_o", normal_object(F.coalesce("_dst", "dst")))
     no = rejected.select(normal_object("subject").alias("_s"), F.col("relation").alias("type"), normal_object("object").alias("_o")).distinct()
-    yes = truths.groupBy(normal_object("subject").alias("_s"), F.col("relation").alias("type")).agg(F.min(normal_object("object")).alias("_truth"))
+    yes = _truths(truths)
     r = r.join(no, ["_s", "type", "_o"], "left_anti").join(yes, ["_s", "type"], "left").where(F.col("_truth").isNull() | (F.col("_truth") == F.col("_o")))
     return r.select(*edges.columns)
 
 
+def _truths(truths):
+    """(_s, type, _truth): the object that counts for each subject and single-valued relation, by normal names."""
+    last = F.struct("at", "object") if "at" in truths.columns else F.struct("object")
+    yes = truths.where(F.col("relation").isin(*SINGLE_VALUED)).groupBy(normal_object("subject").alias("_s"), F.col("relation").alias("type"))
+    return yes.agg(normal_object(F.max(last)["object"]).alias("_truth"))
+
+
 def record_resolutions(resolved, rejected, truths):
     """(rejected, truths) after resolutions of (id, status, subject, relation, object_a, object_b): what isn't there yet is added.
 
@@ -176,11 +184,22 @@ def expire_working(files, as_of, hours=48):
     return r.select("path", F.concat(F.lit("MEMORY/episodic/"), F.regexp_replace("name", r"\.md$", ""), F.when(again, stamp).otherwise(""), F.lit(".md")).alias("new_path"))
 
 
+#: Folders whose files are never compressed, and the mark of what has been.
+KEPT_FOLDERS, COMPRESSED = ["crystallised", "working", "context"], "[Compressed "
+
+
 def select_for_compression(files, as_of):
-    """(path, tier, age_days, savings): per age tier the files that save most, within its nightly budget (fixed values)."""
+    """(path, tier, age_days, savings): per age tier the files that save most, within its nightly budget (fixed values).
+
+    Markdown files below the first folder of path; those of kept folders and those whose end says that they were
+    compressed before don't count. Only the last 300 characters of a body are looked at, and none is shuffled.
+    """
     budget, ratio = {"aging": 30, "mature": 20, "ancient": 10}, {"aging": 0.60, "mature": 0.25, "ancient": 0.10}
     days = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("mtime").cast("timestamp"))) / 86400.0
-    r = files.select("path", "size_bytes", days.alias("age_days")).withColumn("tier", S.age_tier(F.col("age_days"))).where("tier <> 'fresh'")
+    parts = F.split("path", "/")
+    kept = (F.size(parts) > 2) & F.get(parts, F.lit(1)).isin(*KEPT_FOLDERS)
+    fit = files.where(F.endswith("path", F.lit(".md")) & ~kept & ~F.contains(F.substring("body", -300, 300), F.lit(COMPRESSED)))
+    r = fit.select("path", "size_bytes", days.alias("age_days")).withColumn("tier", S.age_tier(F.col("age_days"))).where("tier <> 'fresh'")
     r = r.withColumn("savings", F.col("size_bytes") * (1 - S._case(F.col("tier"), ratio, 1.0)))
     r = r.withColumn("rank", F.row_number().over(Window.partitionBy("tier").orderBy(F.desc(F.round("savings", 6)), "path")))
     return r.where(F.col("rank") <= S._case(F.col("tier"), budget, 0)).select("path", "tier", F.round("age_days", 1).alias("age_days"), F.floor(F.round("savings", 6)).alias("savings"))

@@ -252,7 +252,7 @@ def pinned_pages(spark, sf_dir):
 
 
 @query(f"""WITH {T.ENTITIES}, {T.EDGES}, {_REJ}, e AS (SELECT e.src, e.dst, e.type, {_NORM.format('coalesce(a.name, e.src)')} AS ns, {_NORM.format('coalesce(b.name, e.dst)')} AS no FROM edges e LEFT JOIN entities a ON a.eid = e.src LEFT JOIN entities b ON b.eid = e.dst)
-SELECT src, dst, type FROM e WHERE NOT EXISTS (SELECT 1 FROM rejected r WHERE {_NORM.format('r.subject')} = ns AND r.relation = e.type AND {_NORM.format('r.object')} = no) AND NOT EXISTS (SELECT 1 FROM truths g WHERE {_NORM.format('g.subject')} = ns AND g.relation = e.type AND {_NORM.format('g.object')} <> no)""")
+SELECT src, dst, type FROM e WHERE NOT EXISTS (SELECT 1 FROM rejected r WHERE {_NORM.format('r.subject')} = ns AND r.relation = e.type AND {_NORM.format('r.object')} = no) AND NOT EXISTS (SELECT 1 FROM truths g WHERE g.relation IN {tuple(memory.SINGLE_VALUED)} AND {_NORM.format('g.subject')} = ns AND g.relation = e.type AND {_NORM.format('g.object')} <> no)""")
 def purged_edges(spark, sf_dir):
     rejected, truths = rejected_and_truths(spark, sf_dir)
     return memory.purge_rejected(T.edges(spark, sf_dir), T.entities(spark, sf_dir), rejected, truths).select("src", "dst", "type")

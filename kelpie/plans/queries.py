@@ -22,6 +22,9 @@ ASKED = [
     (4, "the and for with"), (5, "compare Thinor options teaching Enter blended vs seasonal"), (6, "Which source said Hation intion erat"),
 ]
 _ASKED_SQL = "asked(query_id, query) AS (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ASKED) + ")"
+# RE2 knows word boundaries of ASCII only: the SQL looks at letters without accents, and the results are compared so
+_ACCENTS = ("àâäáãåçéèêëíîïìñóôöòõúûüùýÿßÀÂÄÁÃÅÇÉÈÊËÍÎÏÌÑÓÔÖÒÕÚÛÜÙÝ", "aaaaaaceeeeiiiinooooouuuuyysAAAAAACEEEEIIIINOOOOOUUUUY")
+_SAID_SQL = f"asked(query_id, query) AS (SELECT conv_id || '-' || turn, translate(text, '{_ACCENTS[0]}', '{_ACCENTS[1]}') FROM conversations)"
 _STOP = sql_list(X.STOP_WORDS)
 _W = "[^\\p{L}\\p{N}_]+"
 _STEM = "regexp_replace({0}, '^(.{{3,}}?)(" + "|".join(X.SUFFIXES) + ")$', '\\1')"
@@ -70,6 +73,10 @@ def query(sql=None, name=None):
     return add
 
 
+def _said(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), F.translate("text", *_ACCENTS).alias("query"))
+
+
 def _asked(spark):
     return spark.createDataFrame(ASKED, "query_id int, query string")
 
@@ -87,18 +94,18 @@ def stems(spark, sf_dir):
     return w.select("word", X.stem(F.col("word")).alias("stem"), X.stem_token(F.col("word")).alias("stem_token"))
 
 
-@query(f"WITH {_ASKED_SQL}, t AS (SELECT query_id, query, {_query_tokens_sql('query')} AS q FROM asked) SELECT query_id, {_sorted_sql('q')} AS tokens, {_sorted_sql(_proper_sql('query', 'q'))} AS proper, list_has_any(q, {sql_list(X.MEETING_WORDS)}) AS meeting, {_sorted_sql('list_distinct(regexp_extract_all(query, ' + chr(39) + chr(92) + 'b([A-Z][a-z]{2,15})' + chr(92) + 'b' + chr(39) + ', 1))')} AS names FROM t")
+@query(f"WITH {_SAID_SQL}, t AS (SELECT query_id, query, {_query_tokens_sql('query')} AS q FROM asked) SELECT query_id, {_sorted_sql('q')} AS tokens, {_sorted_sql(_proper_sql('query', 'q'))} AS proper, list_has_any(q, {sql_list(X.MEETING_WORDS)}) AS meeting, {_sorted_sql('list_distinct(regexp_extract_all(query, ' + chr(39) + chr(92) + 'b([A-Z][a-z]{2,15})' + chr(92) + 'b' + chr(39) + ', 1))')} AS names FROM t")
 def query_analysis(spark, sf_dir):
-    q = _asked(spark).withColumn("q", X.query_tokens(F.col("query")))
+    q = _said(spark, sf_dir).withColumn("q", X.query_tokens(F.col("query")))
     return q.select("query_id", _sorted(F.col("q")).alias("tokens"), _sorted(X.proper_nouns(F.col("query"), F.col("q"))).alias("proper"), X.is_meeting_query(F.col("q")).alias("meeting"), _sorted(X.person_names(F.col("query"))).alias("names"))
 
 
 _SYN = {"teach": ["teaching", "trainer"], "station": ["depot"]}
 
 
-@query(f"WITH {_ASKED_SQL}, t AS (SELECT query_id, {_query_tokens_sql('query')} AS q FROM asked) SELECT query_id, {_sorted_sql('list_distinct(q || CASE WHEN list_has_any(q, [' + chr(39) + 'teach' + chr(39) + ',' + chr(39) + 'teaching' + chr(39) + ',' + chr(39) + 'trainer' + chr(39) + ']) THEN [' + chr(39) + 'teach' + chr(39) + ',' + chr(39) + 'teaching' + chr(39) + ',' + chr(39) + 'trainer' + chr(39) + '] ELSE [] END || CASE WHEN list_has_any(q, [' + chr(39) + 'station' + chr(39) + ',' + chr(39) + 'depot' + chr(39) + ']) THEN [' + chr(39) + 'station' + chr(39) + ',' + chr(39) + 'depot' + chr(39) + '] ELSE [] END)')} AS tokens FROM t")
+@query(f"WITH {_SAID_SQL}, t AS (SELECT query_id, {_query_tokens_sql('query')} AS q FROM asked) SELECT query_id, {_sorted_sql('list_distinct(q || CASE WHEN list_has_any(q, [' + chr(39) + 'teach' + chr(39) + ',' + chr(39) + 'teaching' + chr(39) + ',' + chr(39) + 'trainer' + chr(39) + ']) THEN [' + chr(39) + 'teach' + chr(39) + ',' + chr(39) + 'teaching' + chr(39) + ',' + chr(39) + 'trainer' + chr(39) + '] ELSE [] END || CASE WHEN list_has_any(q, [' + chr(39) + 'station' + chr(39) + ',' + chr(39) + 'depot' + chr(39) + ']) THEN [' + chr(39) + 'station' + chr(39) + ',' + chr(39) + 'depot' + chr(39) + '] ELSE [] END)')} AS tokens FROM t")
 def synonyms(spark, sf_dir):
-    return _asked(spark).select("query_id", _sorted(X.expand_synonyms(X.query_tokens(F.col("query")), _SYN)).alias("tokens"))
+    return _said(spark, sf_dir).select("query_id", _sorted(X.expand_synonyms(X.query_tokens(F.col("query")), _SYN)).alias("tokens"))
 
 
 @query("SELECT doc_id, substring(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60).regexp_replace('-+$', '') AS slug, substring(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 80) AS safe, trim(regexp_replace(lower(text), '[\\s\\-_.,:]+', ' ', 'g')) AS object, lower(trim(regexp_replace(regexp_replace(text, '[_:?*|\"<>\\\\]', ' ', 'g'), '\\s+', ' ', 'g'))) AS page FROM documents")
@@ -132,8 +139,6 @@ def html_strip(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html")).alias("plain"))
 
 
-# RE2 knows word boundaries of ASCII only: the SQL looks at letters without accents, and the results are compared so
-_ACCENTS = ("àâäáãåçéèêëíîïìñóôöòõúûüùýÿßÀÂÄÁÃÅÇÉÈÊËÍÎÏÌÑÓÔÖÒÕÚÛÜÙÝ", "aaaaaaceeeeiiiinooooouuuuyysAAAAAACEEEEIIIINOOOOOUUUUY")
 _RED, _REDN = f"translate(text, '{_ACCENTS[0]}', '{_ACCENTS[1]}')", "0"
 for _label, _p in X.REDACTIONS:
     _REDN += f" + length(regexp_extract_all({_RED}, '{_p}'))"
@@ -425,11 +430,6 @@ def context_edges(spark, sf_dir):
     return graph.context_edges(T.edges(spark, sf_dir), n)
 
 
-@query()
-def greedy_communities(spark, sf_dir):
-    return graph.greedy_communities(T.edges(spark, sf_dir).where("type = 'part_of'"), least=3)
-
-
 _LP = "adj AS (SELECT node, other, sum(weight) AS weight FROM (SELECT src AS node, dst AS other, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges) WHERE node <> other GROUP BY ALL), l0 AS (SELECT DISTINCT node, node AS label FROM adj)"
 for _i in range(1, 4):
     _LP += f", v{_i} AS (SELECT node, label, round(sum(w), 9) AS w FROM (SELECT a.node, l.label, a.weight AS w FROM adj a JOIN l{_i - 1} l ON a.other = l.node UNION ALL SELECT node, label, 0.0 FROM l{_i - 1}) GROUP BY ALL), l{_i} AS (SELECT node, label FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, label) AS n FROM v{_i}) WHERE n = 1)"
@@ -480,11 +480,11 @@ def crystallise_edges(spark, sf_dir):
     return memory.crystallise_edges(T.edges(spark, sf_dir), _seeds(spark, sf_dir)).select("src", "dst", "type", "tier")
 
 
-_REJ = "rejected AS (SELECT c_name AS subject, 'located_at' AS relation, n_name AS object FROM customer JOIN nation ON n_nationkey = (c_custkey * 3) % 25 WHERE c_custkey % 2 = 0), truths AS (SELECT c_name AS subject, 'located_at' AS relation, n_name AS object FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 13 = 0)"
+_REJ = "rejected AS (SELECT c_name AS subject, 'located_at' AS relation, n_name AS object FROM customer JOIN nation ON n_nationkey = (c_custkey * 3) % 25 WHERE c_custkey % 2 = 0), truths AS (SELECT c_name AS subject, 'located_at' AS relation, n_name AS object FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 13 = 0 UNION ALL SELECT n_name, 'part_of', 'elsewhere' FROM nation)"
 _NORM = "trim(regexp_replace(lower({0}), '[\\s\\-_.,:]+', ' ', 'g'))"
 _CONTRA = f"""{T.ENTITIES}, {T.EDGES}, {T.TRIPLES}, {_REJ}, t0 AS (SELECT t.*, {_NORM.format('coalesce(a.name, t.src)')} AS ns, {_NORM.format('coalesce(b.name, t.dst)')} AS no FROM triples t LEFT JOIN entities a ON t.src = a.eid LEFT JOIN entities b ON t.dst = b.eid
   WHERE confidence >= 0.7 AND (t.type NOT IN {tuple(memory.ORG_RELATIONS)} OR len(list_filter({sql_list(memory.AUTHORITATIVE)}, lambda p: contains(source, p))) > 0)),
-t1 AS (SELECT * FROM t0 WHERE NOT EXISTS (SELECT 1 FROM rejected r WHERE {_NORM.format('r.subject')} = ns AND r.relation = t0.type AND {_NORM.format('r.object')} = no) AND NOT EXISTS (SELECT 1 FROM truths g WHERE {_NORM.format('g.subject')} = ns AND g.relation = t0.type AND {_NORM.format('g.object')} <> no)),
+t1 AS (SELECT * FROM t0 WHERE NOT EXISTS (SELECT 1 FROM rejected r WHERE {_NORM.format('r.subject')} = ns AND r.relation = t0.type AND {_NORM.format('r.object')} = no) AND NOT EXISTS (SELECT 1 FROM truths g WHERE g.relation IN {tuple(memory.SINGLE_VALUED)} AND {_NORM.format('g.subject')} = ns AND g.relation = t0.type AND {_NORM.format('g.object')} <> no)),
 contra AS (SELECT t.src, t.type, 'factual_conflict' AS kind, e.type AS old_type, e.dst AS old_dst, t.dst AS new_dst, t.confidence, CASE WHEN e.tier = 'crystallised' OR a.tier = 'crystallised' OR b.tier = 'crystallised' OR e.type IN ('reports_to','owns','leads','decides') THEN 'high' WHEN e.weight > 0.6 THEN 'medium' ELSE 'low' END AS severity
   FROM t1 t JOIN edges e ON t.src = e.src AND t.type = e.type AND t.dst <> e.dst LEFT JOIN entities a ON e.src = a.eid LEFT JOIN entities b ON e.dst = b.eid WHERE t.type IN {tuple(memory.SINGLE_VALUED)})"""
 
@@ -493,7 +493,9 @@ def rejected_and_truths(spark, sf_dir):
     c, n = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
     rel = lambda d: d.select(F.col("c_name").alias("subject"), F.lit("located_at").alias("relation"), F.col("n_name").alias("object"))
     rejected = rel(c.where("c_custkey % 2 = 0").withColumn("k", F.col("c_custkey") * 3 % 25).join(F.broadcast(n), F.col("n_nationkey") == F.col("k")))
-    return rejected, rel(c.where("c_custkey % 13 = 0").join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey")))
+    truths = rel(c.where("c_custkey % 13 = 0").join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey")))
+    # a relation of many values, of which no truth speaks against another object
+    return rejected, truths.union(n.select("n_name", F.lit("part_of"), F.lit("elsewhere")))
 
 
 def _contradictions(spark, sf_dir):
@@ -542,11 +544,13 @@ def expire_working(spark, sf_dir):
     return memory.expire_working(T.memory_files(spark, sf_dir).withColumn("path", moved), AS_OF)
 
 
-@query(f"""WITH {T.MEMORY_FILES}, a AS (SELECT path, size_bytes, (epoch({_NOW}) - epoch(mtime)) / 86400.0 AS d FROM memory_files), t AS (SELECT *, CASE WHEN d < 30 THEN 'fresh' WHEN d < 90 THEN 'aging' WHEN d < 365 THEN 'mature' ELSE 'ancient' END AS tier FROM a),
+@query(f"""WITH {T.MEMORY_FILES}, a AS (SELECT path, size_bytes, (epoch({_NOW}) - epoch(mtime)) / 86400.0 AS d FROM memory_files WHERE string_split(path, '/')[2] NOT IN {tuple(memory.KEPT_FOLDERS)} AND doc_id % 7 <> 0), t AS (SELECT *, CASE WHEN d < 30 THEN 'fresh' WHEN d < 90 THEN 'aging' WHEN d < 365 THEN 'mature' ELSE 'ancient' END AS tier FROM a),
 s AS (SELECT *, size_bytes * (1.0 - CASE tier WHEN 'aging' THEN 0.60 WHEN 'mature' THEN 0.25 ELSE 0.10 END)::DOUBLE AS savings FROM t WHERE tier <> 'fresh'), r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY round(savings, 6) DESC, path) AS rank FROM s)
 SELECT path, tier, round(d, 1) AS age_days, CAST(floor(round(savings, 6)) AS BIGINT) AS savings FROM r WHERE rank <= CASE tier WHEN 'aging' THEN 30 WHEN 'mature' THEN 20 ELSE 10 END""")
 def compression_selection(spark, sf_dir):
-    return memory.select_for_compression(T.memory_files(spark, sf_dir), AS_OF)
+    # some have been compressed before
+    body = F.when(F.col("doc_id") % 7 == 0, F.concat("body", F.lit("\n\n[Compressed 2023-12-01: 900 to 225]"))).otherwise(F.col("body"))
+    return memory.select_for_compression(T.memory_files(spark, sf_dir).withColumn("body", body), AS_OF)
 
 
 # --- rollups --------------------------------------------------------------------------------------------------------
@@ -768,23 +772,44 @@ def large_attachments(spark, sf_dir):
     return ingest.large_files(p, "page_id", 5000)
 
 
-_LINKED = f"""{T.ENTITIES}, {_Q}, nm AS (SELECT DISTINCT lower(name) AS name, eid FROM entities WHERE length(name) >= 3), hit AS (SELECT doc_id, pos, question, eid FROM open JOIN nm ON contains(lower(question), nm.name)),
-hr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY eid) AS i FROM (SELECT DISTINCT * FROM hit)), hk AS (SELECT doc_id, pos, string_agg(eid, ' ' ORDER BY eid) AS linked, bool_or(tier = 'crystallised' OR lower(type) IN ('deal', 'decision')) AS weighty FROM hr JOIN entities USING (eid) WHERE i <= 8 GROUP BY ALL),
+_ORD_SQL = "list_position(['reg', 'nat', 'cust', 'supp', 'part'], split_part(eid, ':', 1)) * 1000000000000 + CAST(split_part(eid, ':', 2) AS BIGINT)"
+_LINKED = f"""{T.ENTITIES}, {_Q}, nm AS (SELECT DISTINCT lower(name) AS name, eid, {_ORD_SQL} AS ord FROM entities WHERE length(name) >= 3), hit AS (SELECT doc_id, pos, question, eid, ord FROM open JOIN nm ON contains(lower(question), nm.name)),
+hr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY ord) AS i FROM (SELECT DISTINCT * FROM hit)), hk AS (SELECT doc_id, pos, string_agg(eid, ' ' ORDER BY ord) AS linked, bool_or(tier = 'crystallised' OR lower(type) IN ('deal', 'decision')) AS weighty FROM hr JOIN entities USING (eid) WHERE i <= 8 GROUP BY ALL),
 questions AS (SELECT doc_id, pos, question, coalesce(linked, '') AS linked, CASE WHEN regexp_matches(lower(question), 'decision|deadline|blocker|risk|board|ceo') OR coalesce(weighty, false) THEN 'high' ELSE 'medium' END AS priority FROM open LEFT JOIN hk USING (doc_id, pos))"""
 
 
+def _ordered(entities):
+    """Entities with their place in the graph: kind by kind, by number."""
+    kind = F.array_position(F.array(*(F.lit(k) for k in ("reg", "nat", "cust", "supp", "part"))), F.split("eid", ":")[0])
+    return entities.withColumn("ord", kind * 1_000_000_000_000 + F.split("eid", ":")[1].cast("long"))
+
+
 @query(f"WITH {_LINKED} SELECT doc_id, pos, priority, linked FROM questions")
 def linked_questions(spark, sf_dir):
     e = T.entities(spark, sf_dir)
-    r = ingest.question_priority(ingest.link_questions(_questions(spark, sf_dir), e), e)
+    r = ingest.question_priority(ingest.link_questions(_questions(spark, sf_dir), _ordered(e), order="ord"), e)
     return r.select("doc_id", "pos", "priority", F.array_join("linked", " ").alias("linked"))
 
 
-@query("""WITH m AS (SELECT doc_id, lower(text) AS t FROM documents), f AS (SELECT doc_id, substring(sha256(t), 1, 20) AS fp FROM m), s AS (SELECT fp FROM f WHERE doc_id % 4 = 0), r AS (SELECT doc_id, row_number() OVER (PARTITION BY fp ORDER BY doc_id) AS n FROM f WHERE doc_id % 4 <> 0 AND fp NOT IN (SELECT fp FROM s)) SELECT doc_id FROM r WHERE n = 1""")
+@query(f"WITH f AS ({ORACLE['fingerprints']}), s AS (SELECT fp FROM f WHERE doc_id % 4 = 0), r AS (SELECT doc_id, row_number() OVER (PARTITION BY fp ORDER BY doc_id) AS n FROM f WHERE doc_id % 4 <> 0 AND fp NOT IN (SELECT fp FROM s)) SELECT doc_id FROM r WHERE n = 1")
 def batch_dedup(spark, sf_dir):
-    f = read(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(F.lower("text"), 256), 1, 20).alias("fp"))
-    fresh = f.where("doc_id % 4 <> 0").join(f.where("doc_id % 4 = 0").select("fp"), "fp", "left_anti")
-    return fresh.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    """Every fourth mail came before; of the others those whose fingerprint is new."""
+    m = _mails(spark, sf_dir)
+    seen = m.where("doc_id % 4 = 0").select(X.fingerprint(F.col("raw")).alias("fp")).distinct()
+    return ingest.new_blocks(m.where("doc_id % 4 <> 0"), seen, "raw", ("doc_id",)).select("doc_id")
+
+
+_NEWEST_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, event_type, n, true AS new, [event_type] AS held FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.event_type, e.n, NOT list_contains(held, e.event_type), CASE WHEN list_contains(held, e.event_type) THEN held ELSE list_append(held, e.event_type)[-2:] END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT event_id, user_id, event_type FROM r WHERE new"""
+
+
+@query(_NEWEST_SQL)
+def newest_fingerprints(spark, sf_dir):
+    """Events whose type isn't among the two that were last new for their user."""
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    return ingest.unseen_newest(e, "user_id", "event_type", ("ts", "event_id"), cap=2).select("event_id", "user_id", "event_type")
 
 
 @query(f"""WITH r AS (SELECT '**From:** user' || (doc_id % 50) || '@mail' || (doc_id % 9) || '.example.com' || chr(10) || '----## ' || replace(substring(text, 1, 30), chr(10), ' ') || chr(10) || text AS html FROM documents),
@@ -844,7 +869,7 @@ def crystallised_block(spark, sf_dir):
 
 
 @query(f"""WITH {_EDGE_WEIGHTS}, {T.ENTITIES}, {T.TRIPLES}, {T.MEMORY_FILES}, kept AS (SELECT *, round(w, 4) AS new FROM weighed WHERE NOT (w < 0.05 AND tier <> 'crystallised')), nodes AS (SELECT *, round({_ENT_W}, 4) AS weight FROM entities),
-age AS (SELECT path, size_bytes, (epoch({_NOW}) - epoch(mtime)) / 86400.0 AS d FROM memory_files), tiers AS (SELECT CASE WHEN d < 90 THEN 'aging' WHEN d < 365 THEN 'mature' ELSE 'ancient' END AS tier FROM age WHERE d >= 30), plan AS (SELECT least(count(*), CASE tier WHEN 'aging' THEN 30 WHEN 'mature' THEN 20 ELSE 10 END) AS n FROM tiers GROUP BY tier),
+age AS (SELECT path, size_bytes, (epoch({_NOW}) - epoch(mtime)) / 86400.0 AS d FROM memory_files WHERE string_split(path, '/')[2] NOT IN {tuple(memory.KEPT_FOLDERS)}), tiers AS (SELECT CASE WHEN d < 90 THEN 'aging' WHEN d < 365 THEN 'mature' ELSE 'ancient' END AS tier FROM age WHERE d >= 30), plan AS (SELECT least(count(*), CASE tier WHEN 'aging' THEN 30 WHEN 'mature' THEN 20 ELSE 10 END) AS n FROM tiers GROUP BY tier),
 claims AS (SELECT t.dst, e.tier = 'crystallised' OR a.tier = 'crystallised' OR b.tier = 'crystallised' OR e.type IN ('reports_to', 'owns', 'leads', 'decides') AS high, e.new AS weight FROM triples t JOIN kept e ON t.src = e.src AND t.type = e.type AND t.dst <> e.dst LEFT JOIN entities a ON e.src = a.eid LEFT JOIN entities b ON e.dst = b.eid
   WHERE t.confidence >= 0.7 AND (t.type NOT IN {tuple(memory.ORG_RELATIONS)} OR len(list_filter({sql_list(memory.AUTHORITATIVE)}, lambda p: contains(source, p))) > 0) AND t.type IN {tuple(memory.SINGLE_VALUED)})
 SELECT (SELECT count(*) FROM weighed) AS edges_updated, (SELECT count(*) FROM weighed) - (SELECT count(*) FROM kept) AS edges_archived, (SELECT count(*) FROM nodes WHERE weight < 0.1 AND tier <> 'crystallised' AND eid NOT IN (SELECT src FROM kept UNION SELECT dst FROM kept)) AS orphans,
@@ -857,7 +882,7 @@ def nightly_briefing(spark, sf_dir):
 c AS (SELECT DISTINCT 'proposal' AS kind, path AS label FROM proposals WHERE status = 'pending' ORDER BY label LIMIT 12) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
 def top_of_mind(spark, sf_dir):
     e = T.entities(spark, sf_dir)
-    q = ingest.question_priority(ingest.link_questions(_questions(spark, sf_dir), e), e)
+    q = ingest.question_priority(ingest.link_questions(_questions(spark, sf_dir), _ordered(e), order="ord"), e)
     return assembly.top_of_mind(q, _contradictions(spark, sf_dir), T.proposals(spark, sf_dir))
 
 

@@ -3,6 +3,8 @@
 import datetime
 import difflib
 import html
+import html.entities
+import itertools
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,12 +16,35 @@ from kelpie.plans import assembly
 
 
 def test_unescape_matches_the_standard(spark):
-    rows = ["&eacute;&#233;&#xE9; &amp;lt; &amp;amp; &unknown; &hellip;&nbsp;&quot;x&quot; &#39; &lt;b&gt;", "&#x1F642; &#0; &#55296; &notin;", "no entity & none", None]
+    rows = ["&eacute;&#233;&#xE9; &amp;lt; &amp;amp; &unknown; &hellip;&nbsp;&quot;x&quot; &#39; &lt;b&gt;", "&#x1F642; &#0; &#55296; &notin;", "no entity & none", None, "", "&", "&&amp;&", "&;&#;&#x;&#xg;"]
+    rows += ["&#38;lt; &AMP;lt; &copy 2024 AT&T &amp &notit; &notin &ampx; &ltt &copyx", "&#150; &#x80; &#129; &#0128 x", "&#99999999999999999999; &#x110000; &#xFFFE; &#1; &#13;&#x0D &#x7f;", "a&" + "x" * 40 + ";&lt;", "&#00000000065;&#x00000000041;"]
+    rows += ["".join(f"[&{k}]" for k in part) for part in itertools.batched(sorted(html.entities.html5), 300)]
+    rows += [" ".join(f"&#{n};&#x{n:X}" for n in part) for part in itertools.batched([*range(300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF, 0xFFFD, 0xFFFE, 0xFFFF, 0x1FFFE, 0x10FFFD, 0x10FFFF, 0x110000], 100)]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "t string").select(X.unescape(F.col("t"))).collect()]
     for g, x in zip(got, rows):
         assert g == (None if x is None else html.unescape(x))
 
 
+def test_truths_of_many_values_purge_nothing(spark):
+    edges = spark.createDataFrame([("a", "b", "knows"), ("a", "b", "reports_to"), ("a", "c", "reports_to"), ("d", "b", "based_in")], "src string, dst string, type string")
+    entities = spark.createDataFrame([(x, x.upper()) for x in "abcd"], "eid string, name string")
+    none = spark.createDataFrame([("D", "based_in", "B")], "subject string, relation string, object string")
+    truths = spark.createDataFrame([("A", "knows", "Z", 1), ("A", "reports_to", "C", 1), ("a", "reports_to", "B", 2)], "subject string, relation string, object string, at int")
+    left = sorted(map(tuple, memory.purge_rejected(edges, entities, none, truths).collect()))
+    assert left == [("a", "b", "knows"), ("a", "b", "reports_to")]  # the last truth counts
+    assert ("a", "c", "reports_to") in set(map(tuple, memory.purge_rejected(edges, entities, none, truths.drop("at")).collect()))
+
+
+def test_what_is_never_compressed(spark):
+    import datetime
+
+    old, size = datetime.datetime(2023, 6, 1), 5000
+    rows = [(f"MEMORY/{d}/x.md", "text", size, old) for d in ("weekly", "crystallised", "working", "context")]
+    rows += [("MEMORY/weekly/done.md", "y" * 500 + "[Compressed 2023]" + "z" * 100, size, old), ("MEMORY/weekly/was.md", "[Compressed 2023]" + "z" * 400, size, old), ("MEMORY/context.md", "t", size, old), ("MEMORY/weekly/a.txt", "t", size, old)]
+    files = spark.createDataFrame(rows, "path string, body string, size_bytes long, mtime timestamp")
+    assert sorted(r["path"] for r in memory.select_for_compression(files, "2024-01-31 00:00:00").collect()) == ["MEMORY/context.md", "MEMORY/weekly/was.md", "MEMORY/weekly/x.md"]
+
+
 def test_links_in_every_form(spark):
     body = "![[embed]] [[a b#part|x]] [[note [1] of]] [[t\\|alias]]\n[m](c%20d.md#top) ![i](x.png) [e](mailto:x@y) [f](../top.md) [g](javascript:x)"
     pages = spark.createDataFrame([("w/p.md", body), ("w/a b.md", ""), ("w/c d.md", ""), ("top.md", ""), ("w/note [1] of.md", ""), ("w/t.md", ""), ("x/t.md", "")], "path string, body string")
