@@ -51,35 +51,67 @@ def merge_paragraphs(cues, gap=3.0, most=500):
     return rows.select("file", done.alias("paragraphs"))
 
 
-def near_duplicate_proposals(proposals, threshold=0.55):
-    """(path, uid, kept, similarity): newest first within a path, a proposal goes if a kept newer one is that similar.
+def _similar(sets, threshold):
+    """(path, newer, older, similarity): pairs of distinct word sets (path, id, words, at) of a path with Jaccard >= threshold.
 
-    What is dropped depends on what was kept, so a path's proposals are folded in order, one Arrow group per path.
+    Words are put in the order of how rare they are in their path. Sets that are that similar share one of their first
+    |x| - ceil(threshold |x|) + 1 words, and are of like size: only such pairs meet, on that word, and are compared.
     """
-    import re
+    counts = sets.select("path", F.explode("words").alias("word")).groupBy("path", "word").agg(F.count("*").alias("n"))
+    ranked = sets.select("path", "id", F.explode("words").alias("word")).join(counts, ["path", "word"]).groupBy("path", "id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))
+    whole = cut(sets.join(ranked, ["path", "id"]).select("path", "id", "at", F.transform("ranked", lambda x: x["word"]).alias("words")))
+    size = F.size("words")
+    head = F.explode(F.slice("words", 1, (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))).alias("word")
+    probe = lambda name: whole.select("path", F.col("id").alias(name), F.col("at").alias(f"{name}_at"), size.alias(f"{name}_n"), head)
+    near = probe("newer").join(probe("older"), ["path", "word"]).where((F.col("newer_at") < F.col("older_at")) & (F.least("newer_n", "older_n") >= F.lit(threshold) * F.greatest("newer_n", "older_n") - 1e-9))
+    near = near.select("path", "newer", "older").distinct()
+    for name in ("newer", "older"):
+        near = near.join(whole.select("path", F.col("id").alias(name), F.col("words").alias(f"{name}_words")), ["path", name])
+    near = near.withColumn("similarity", T.jaccard(F.col("newer_words"), F.col("older_words"))).where(F.col("similarity") >= threshold)
+    return near.select("path", "newer", "older", "similarity")
 
-    def run(pdf):
-        pdf = pdf.sort_values(["ts", "uid"], ascending=[False, True])
-        kept, out = [], []
-        for uid, reason in zip(pdf["uid"], pdf["reason"]):
-            words = {w for w in re.findall(r"[a-z][a-z0-9\-']+", (reason or "").lower()) if len(w) > 2}
-            best = max((len(words & k) / len(words | k) for k in kept if words and k), default=0.0)
-            out.append((uid, best < threshold, round(best, 6)))
-            if best < threshold:
-                kept.append(words)
-        import pandas as pd
 
-        return pd.DataFrame({"path": pdf["path"].iloc[0], "uid": [o[0] for o in out], "kept": [o[1] for o in out], "similarity": [o[2] for o in out]})
+def near_duplicate_proposals(proposals, threshold=0.55):
+    """(path, uid, kept, similarity): newest first within a path, a proposal goes if a kept newer one is that similar.
 
-    return proposals.select("path", "uid", "ts", "reason").groupBy("path").applyInPandas(run, "path string, uid string, kept boolean, similarity double")
+    similarity: that of the most similar kept newer one, null where the proposal stays. Proposals without words stay.
+    Equal word sets are compared once. What is dropped hangs on what was kept, so it is decided in rounds: a set stays
+    when no newer similar one is undecided or kept, and goes when one is kept; all sets of all paths at once. Ties of
+    time go by uid, the least first.
+    """
+    p = proposals.select("path", "uid", "ts", F.array_sort(T.proposal_tokens(F.coalesce("reason", F.lit("")))).alias("words"))
+    some = cut(p.withColumn("at", F.struct((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"), "uid")).withColumn("id", F.xxhash64("words")))
+    full = some.where(F.size("words") > 0)
+    sets = cut(full.groupBy("path", "id", "words").agg(F.min("at").alias("at")))
+    pairs = cut(_similar(sets, threshold))
+    open_, kept = sets.select("path", "id"), sets.select("path", "id").limit(0)
+    while open_.limit(1).count():
+        waits = pairs.join(open_.select("path", F.col("id").alias("newer")), ["path", "newer"]).select("path", F.col("older").alias("id"))
+        stays = cut(open_.join(waits.distinct(), ["path", "id"], "left_anti"))
+        goes = pairs.join(stays.select("path", F.col("id").alias("newer")), ["path", "newer"]).select("path", F.col("older").alias("id")).distinct()
+        kept = cut(kept.union(stays))
+        open_ = cut(open_.join(stays, ["path", "id"], "left_anti").join(goes, ["path", "id"], "left_anti"))
+    first = kept.join(sets.select("path", "id", F.col("at").alias("kept_at")), ["path", "id"])
+    own = first.select("path", "id", F.col("id").alias("by"), F.lit(1.0).alias("similarity"), "kept_at")
+    # a kept set may stand between repeats of one that is newer, so both ends of a pair may be the one that stays
+    both = pairs.union(pairs.select("path", F.col("older").alias("newer"), F.col("newer").alias("older"), "similarity"))
+    others = both.join(first.select("path", F.col("id").alias("newer"), "kept_at"), ["path", "newer"]).select("path", F.col("older").alias("id"), F.col("newer").alias("by"), "similarity", "kept_at")
+    hits = full.select("path", "id", "uid", "at").join(own.union(others), ["path", "id"]).where(F.col("kept_at") < F.col("at")).groupBy("path", "uid").agg(F.max("similarity").alias("similarity"))
+    r = some.select("path", "uid").join(hits, ["path", "uid"], "left")
+    return r.select("path", "uid", F.col("similarity").isNull().alias("kept"), F.round("similarity", 6).alias("similarity"))
 
 
 def supersede(proposals):
-    """Pending proposals for a path for which a later one of another source exists, with that one."""
+    """Pending proposals for a path for which a later one of another source exists, with the first such.
+
+    In order of time and uid, the proposals of one source in a row have one answer: the first of the next row of another.
+    """
     p = proposals.where(F.col("status") == "pending")
-    n = p.select("path", F.col("source").alias("_s"), F.col("ts").alias("_t"), F.col("uid").alias("_u"))
-    r = p.join(n, "path").where((F.col("_s") != F.col("source")) & ((F.col("_t") > F.col("ts")) | ((F.col("_t") == F.col("ts")) & (F.col("_u") > F.col("uid")))))
-    return r.groupBy("path", "uid").agg(F.min_by("_u", F.struct("_t", "_u")).alias("superseded_by"))
+    w = Window.partitionBy("path").orderBy("ts", "uid")
+    p = p.withColumn("_turn", F.coalesce((F.col("source") != F.lag("source").over(w)).cast("int"), F.lit(0)))
+    p = p.withColumn("_run", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    heads = p.where("_turn = 1").select("path", (F.col("_run") - 1).alias("_run"), F.col("uid").alias("superseded_by"))
+    return p.select("path", "uid", "_run").join(heads, ["path", "_run"]).select("path", "uid", "superseded_by")
 
 
 def keep_first(rows, key, order):
