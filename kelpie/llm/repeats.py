@@ -17,26 +17,58 @@ from .rolling import byte_prefix, doc_bounds, mix, prefix, repeated, run_cover,
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
+_FACTORS = np.random.default_rng(17).integers(0, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
+
+
+class _Prefixes(dict):
+    """Prefix sums by number of their base, made when first asked for."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, k):
+        self[k] = out = self.make(k)
+        return out
 
 
 class Sequence:
     """Concatenated texts as symbols: values, and offsets of the documents counted in symbols."""
 
     def __init__(self, data, offs, by):
-        self.data, self.offs, self.n_docs = data, offs, len(offs) - 1
+        self.data, self.offs, self.n_docs, self.by = data, offs, len(offs) - 1, by
         if by == "bytes":
-            self.pre = [byte_prefix(data, 0), byte_prefix(data, 1)]
+            self.pre = _Prefixes(lambda k: byte_prefix(data, k))
             self.at, self.n = offs, len(data)
         else:
             self.start, self.end, doc = words(data, offs)
             values = spans(byte_prefix(data, 0), self.start, self.end, 0)
-            self.pre = [prefix(values, 0), prefix(mix(values), 1)]
+            self.values = values
+            self.pre = _Prefixes(lambda k: prefix(mix(values) if k else values, k))
             self.at, self.n = doc_bounds(doc, self.n_docs), len(values)
 
     def windows(self, p, length, k=0):
         """Fingerprints of the windows that start at p."""
         return spans(self.pre[k], p, p + length, k)
 
+    def seeds(self, length):
+        """Hashes of all runs of `length` symbols: equal for equal ones, and cheap; unlike ones may agree now and then."""
+        n = self.n - length + 1
+        if self.by == "bytes":
+            if length < 8:
+                return self.windows(np.arange(n), length)
+            units = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.data, 8)).view(np.uint64).ravel()
+            places = [*range(0, length - 8, 8), length - 8]
+        else:
+            units, places = self.values, range(length)
+        out = np.empty(n, _U)
+        for a in range(0, n, 1 << 15):
+            b = min(n, a + (1 << 15))
+            x = np.zeros(b - a, _U)
+            for i, place in enumerate(places):
+                x += units[a + place : b + place] * _FACTORS[i % len(_FACTORS)]
+            out[a:b] = mix(x)
+        return out
+
     def doc_of(self, p):
         return np.searchsorted(self.at, p, "right") - 1
 
@@ -51,7 +83,7 @@ class Anchors:
             self.x = self.lo = self.count = self.doc = np.zeros(0, np.int64)
             self.seed = self.context = np.zeros(0, _U)
             return
-        seeds = seq.windows(np.arange(n - seed + 1), seed)
+        seeds = seq.seeds(seed)
         packed = (seeds & ~_U(0xFFFFFFFF)) | np.arange(len(seeds), dtype=_U)
         anchor = (sliding_min(packed, width) & _U(0xFFFFFFFF)).astype(np.int64)
         doc = np.repeat(np.arange(seq.n_docs), np.diff(seq.at))
