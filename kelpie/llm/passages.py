@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import chunks, discard, ship, written
+from .common import chunks, discard, quoted, ship, written
 from .repeats import Anchors, Sequence, lists_of, shared_windows, text_tag, unpack
 from .rolling import run_cover
 
@@ -125,12 +125,20 @@ def remove_passages(docs, window=WINDOW, seed=SEED, id_col="doc_id", text_col="t
     kept_sha256, the columns in carry and, with_text, kept_text (the text itself where nothing is removed, else the kept
     words joined by one space). Null and short texts lose nothing. Rows that repeat an id are each judged against
     smaller ids and against themselves, not against each other; null ids against themselves only. Columns in carry may
-    not bear the names of the results (ValueError; pack them into a struct); other columns are never read.
+    not bear the names of the results (ValueError; pack them into a struct); other columns are never read, and any
+    may bear any name. A text is worked on whole, at some 100 bytes of a worker's memory a byte.
     """
-    import pyarrow as pa
-
     if clash := {id_col, "n_words", "n_removed", "kept_sha256", "kept_text"} & set(carry):
         raise ValueError(f"columns to carry have names of the results: {sorted(clash)}")
+    plain = [f"_c{i}" for i in range(len(carry))]
+    rows = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).alias("_text"), *(F.col(quoted(c)).alias(p) for c, p in zip(carry, plain)))
+    found = _remove(rows, window, seed, "_id", "_text", plain, with_text)
+    names = dict(zip(["_id", *plain], [id_col, *carry]))
+    return found.select(*(F.col(c).alias(names.get(c, c)) for c in found.columns))
+
+
+def _remove(docs, window, seed, id_col, text_col, carry, with_text):
+    import pyarrow as pa
 
     spark = docs.sparkSession
     ship(spark)

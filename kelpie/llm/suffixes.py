@@ -32,7 +32,13 @@ def remove_repeats(docs, length=LENGTH, seed=SEED, half=HALF, id_col="doc_id", t
     Earlier: in a document with a smaller id, or before it in the same one. Returns id_col, n_bytes, n_removed,
     n_spans, kept_sha256 for every row. Null and short texts lose nothing. Rows that repeat an id are each judged
     against smaller ids and against themselves, not against each other; null ids are judged against themselves only.
+    A text is worked on whole, at some 100 bytes of a worker's memory a byte; columns may bear any name.
     """
+    found = _remove(docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).alias("_text")), length, seed, half, "_id", "_text")
+    return found.withColumnRenamed("_id", id_col)
+
+
+def _remove(docs, length, seed, half, id_col, text_col):
     import pyarrow as pa
 
     spark = docs.sparkSession

@@ -76,8 +76,8 @@ class Search:
         self.biggest = float(np.abs(self.tree.x).max(initial=1))
         self.scored = 0
 
-    def run(self, vectors, floors):
-        """(query number, score, id) of the k best rows of each query whose score is at least its floor."""
+    def run(self, vectors, floors, own=None):
+        """(query number, score, id) of the k best rows of each query whose score is at least its floor; own: ids left out, or None, of each query."""
         if not len(vectors) or not len(self.ids):
             return []
         width = max(vectors.shape[1], self.whole.shape[1])
@@ -92,10 +92,12 @@ class Search:
         self.best = np.full((len(vectors), self.k), self.least, self.kind)
         self.best_id = np.full((len(vectors), self.k), np.iinfo(np.int64).max)
         self.floor = floors
+        own = own if own is not None else [None] * len(vectors)
+        self.own = np.array([x is not None for x in own]), np.array([x or 0 for x in own], np.int64)
         self._visit(0, np.zeros(1, np.int64))
         out = []
         for i, (scores, ids) in enumerate(zip(self.best.tolist(), self.best_id.tolist())):
-            out += [(i, int(s), d) for s, d in zip(scores, ids) if d != np.iinfo(np.int64).max and s >= floors[i]]
+            out += [(i, int(s), d) for s, d in zip(scores, ids) if s > self.least and s >= floors[i]]
         return out
 
     def _bounds(self, node, front):
@@ -150,6 +152,9 @@ class Search:
             s = self.asked[members].astype(self.kind) @ self.whole[rows].astype(self.kind).T
             if self.kind is object:
                 s = np.clip(s, np.iinfo(np.int64).min + 1, np.iinfo(np.int64).max)
+        some = np.flatnonzero(self.own[0][members])
+        if len(some):
+            s[some] = np.where(self.own[1][members[some]][:, None] == self.ids[rows][None, :], self.least, s[some])
         enough = np.maximum(self.best[members, -1], s.min(1)) if s.shape[1] < k else np.maximum(self.best[members, -1], np.partition(s, -k, axis=1)[:, -k])
         for row in np.flatnonzero((s >= enough[:, None]).any(1)).tolist():
             new = np.flatnonzero(s[row] >= enough[row])
@@ -170,14 +175,14 @@ def _matrix(column, width=1):
 
 
 def _meet(data, asked, k):
-    """(lead, id, score): each query against the block it is sent to. data (id, v, centre, salt); asked (lead, v, floor, centre, salt, lane)."""
+    """(lead, id, score): each query against the block it is sent to. data (id, v, centre, salt); asked (lead, v, own, floor, centre, salt, lane)."""
     import pyarrow as pa
 
     place = ["centre", "salt", "lane"]
     none = F.lit(None)
     told = data.join(asked.select(*place).distinct(), ["centre", "salt"])
-    rows = told.select(*place, F.lit(0).alias("kind"), "id", "v", none.cast("double").alias("floor"))
-    rows = rows.union(asked.select(*place, F.lit(1), F.col("lead"), "v", "floor"))
+    rows = told.select(*place, F.lit(0).alias("kind"), "id", "v", none.cast("double").alias("floor"), none.cast("long").alias("own"))
+    rows = rows.union(asked.select(*place, F.lit(1), F.col("lead"), "v", "floor", "own"))
     rows = rows.repartition(*place).sortWithinPartitions(*place, "kind")
 
     def run(batches):
@@ -201,9 +206,9 @@ def _meet(data, asked, k):
                     whole = [np.pad(v, ((0, 0), (0, width - v.shape[1]))) for _, v in held]
                     search = Search(np.concatenate([np.zeros(0, np.int64), *(i for i, _ in held)]), np.concatenate([np.zeros((0, width), np.int64), *whole]), k)
                     held = []
-                floors = part.column(6).fill_null(-np.inf).to_numpy()
+                floors, own = part.column(6).fill_null(-np.inf).to_numpy(), part.column(7).to_pylist()
                 for a in range(0, len(ids), GROUP):
-                    found = search.run(x[a : a + GROUP], floors[a : a + GROUP])
+                    found = search.run(x[a : a + GROUP], floors[a : a + GROUP], own[a : a + GROUP])
                     if found:
                         q, s, d = (np.array(c, np.int64) for c in zip(*found))
                         yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + GROUP][q]), pa.array(d), pa.array(s)], ["lead", "id", "score"])
@@ -216,10 +221,11 @@ def top_k(vectors, k=20, every=20, scale=64, id_col="vec_id", vec_col="embedding
 
     Queries are the rows whose id is divisible by `every`; candidates all rows of another id. Components become
     floor(scale * x). Vectors that are null or hold a null or non-finite component, and null ids, take no part; an
-    empty vector scores 0 and shorter ones are padded with zeros. Rows that repeat an id and a vector count once; of
-    different vectors of one id each is a candidate, and the least is the query. Scores beyond a long are held to its
-    range. Equal vectors are searched once: as a query, and as candidates with as many of their least ids as a result
-    can hold. The centres (CENTRES at most) go to the driver and are broadcast, with one count and radius each.
+    empty vector scores 0 and shorter ones are padded with zeros. Rows that repeat an id and a vector are candidates of
+    their own, each with a rank; of an id with several rows the least vector is asked for, once. Scores beyond a long
+    are held to its range. Equal vectors are searched once: as a query, and as candidates with as many of their first
+    rows as a result can hold. The centres (CENTRES at most) go to the driver and are broadcast, with one count and
+    radius each.
     """
     import pyarrow as pa
 
@@ -228,12 +234,14 @@ def top_k(vectors, k=20, every=20, scale=64, id_col="vec_id", vec_col="embedding
     id_, v_ = F.col(quoted(id_col)), F.col(quoted(vec_col))
     usable = id_.isNotNull() & v_.isNotNull() & F.forall(v_, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     whole = F.transform(v_, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
-    rows = written(vectors.where(usable).select(id_.cast("long").alias("id"), whole.alias("v")).distinct(), "vectors")
-    most = rows.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if not most:
+    rows = vectors.where(usable).select(id_.cast("long").alias("id"), whole.alias("v")).groupBy("id", "v").agg(F.count("*").alias("n"))
+    rows = written(rows, "vectors")
+    if not rows.limit(1).count():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    want = k + most  # a query's own id may stand before its k results as often as it has vectors
-    data = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= want).select("id", "v")
+    want = k + 1  # a query's own row may stand before its k results; own rows of an id with several are left out in the search
+    # of one vector no result holds more than k rows of an id, and none after k of other ids
+    data = rows.select("id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(want)).cast("int"))).alias("copy"))
+    data = data.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= 2 * want).select("id", "v")
     data = written(data, "candidates")
     n = data.count()
     block = min(max(n // 32, BLOCK[0]), BLOCK[1])
@@ -261,12 +269,16 @@ def top_k(vectors, k=20, every=20, scale=64, id_col="vec_id", vec_col="embedding
     salts = spark.createDataFrame([(c, s) for c, (_, s) in balls.items()], "centre int, salts int")
     blocks = placed.join(F.broadcast(salts), "centre").select("id", "v", "centre", F.pmod(F.xxhash64("id", F.lit(1)), "salts").cast("int").alias("salt"))
 
-    # equal queries are asked once, under the least id of theirs
-    own = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    leads = written(own.groupBy("v").agg(F.min("id").alias("id")).select("id", "v").mapInArrow(assign, schema).select(F.col("id").alias("lead"), "v", "centre"), "leads")
+    # equal queries are asked once, under the least id of theirs; those of an id with several rows alone, without its rows
+    queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"), (F.sum("n") > 1).alias("several"))
+    queries = written(queries, "queries")
+    alone, shared_ = queries.where("several"), queries.where("not several")
+    assigned = shared_.groupBy("v").agg(F.min("id").alias("id")).select("id", "v").union(alone.select("id", "v")).mapInArrow(assign, schema)
+    leads = assigned.join(alone.select("id", F.col("id").alias("own")), "id", "left").select(F.col("id").alias("lead"), "v", "centre", "own")
+    leads = written(leads, "leads")
     lanes = max(1, -(-leads.count() // LANE))
     lane = F.pmod(F.xxhash64("lead", F.lit(2)), F.lit(lanes)).cast("int").alias("lane")
-    first = leads.select("lead", "v", F.lit(None).cast("double").alias("floor"), "centre", F.lit(0).alias("salt"), lane)
+    first = leads.select("lead", "v", "own", F.lit(None).cast("double").alias("floor"), "centre", F.lit(0).alias("salt"), lane)
     near = written(_meet(blocks, first, want), "near")
     floors = near.groupBy("lead").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor"))
     floors = leads.join(floors, "lead", "left").select("lead", "v", "centre", F.when(F.col("n") == want, F.col("floor")).otherwise(F.lit(float("-inf"))).alias("floor"))
@@ -290,14 +302,14 @@ def top_k(vectors, k=20, every=20, scale=64, id_col="vec_id", vec_col="embedding
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(floor[q]), pa.array(to.astype(np.int32)), pa.array(salt.astype(np.int32))], ["lead", "floor", "centre", "salt"])
 
     pairs = written(floors.mapInArrow(reach, "lead long, floor double, centre int, salt int"), "pairs")
-    asked = pairs.join(leads.select("lead", "v"), "lead").select("lead", "v", "floor", "centre", "salt", lane)
+    asked = pairs.join(leads.select("lead", "v", "own"), "lead").select("lead", "v", "own", "floor", "centre", "salt", lane)
     far = written(_meet(blocks, asked, want), "far")
     order = Window.partitionBy("lead").orderBy(F.desc("score"), "id")
     best = near.union(far).withColumn("n", F.row_number().over(order)).where(F.col("n") <= want)
     best = written(best.select("lead", "id", "score"), "best")
-    members = own.join(leads.select("lead", "v"), "v").select(F.col("id").alias("query_id"), "lead")
-    members = written(members, "members")
-    discard(data, placed, leads, near, pairs, far, rows)
+    members = shared_.join(leads.where("own is null").select("lead", "v"), "v").select(F.col("id").alias("query_id"), "lead")
+    members = written(members.union(alone.select("id", F.col("id").alias("lead"))), "members")
+    discard(data, placed, leads, near, pairs, far, rows, queries)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = members.join(best, "lead").where(F.col("id") != F.col("query_id")).select("query_id", F.col("id").alias("vec_id"), "score")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

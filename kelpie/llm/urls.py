@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release, shuffle_partitions, written
+from .common import checkpointed, quoted, release, shuffle_partitions, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host and path). A rule fits its host and all subdomains if the path starts with the rule's.
@@ -100,8 +100,13 @@ def judge(pages, rules=RULES, tolerance=TOLERANCE, threshold=0.5, id_col="page_i
     verdict: the longest rule's, else block where the host's distrust is over its trust by more than threshold, else allow.
     A null url, or one without ://, has an empty host and path and no rule, and is allowed. Null html has no links.
     Repeated rows are each judged. Masses are per host, where a host whose ruled pages are all of one verdict is a seed of mass 1; they are iterated until
-    they have settled (see propagate).
+    they have settled (see propagate). Texts are read whole; columns may bear any name but those of the results.
     """
+    plain = pages.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(url_col)).alias("_url"), F.col(quoted(html_col)).alias("_html"))
+    return _judge(plain, rules, tolerance, threshold, "_id", "_url", "_html").withColumnRenamed("_id", id_col)
+
+
+def _judge(pages, rules, tolerance, threshold, id_col, url_col, html_col):
     rows = pages.select(id_col, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rows = rows.withColumn("_found", rule_of(F.col("host"), F.col("path"), rules)).select(id_col, "host", "path", F.col("_found.rule").alias("rule"), F.col("_found.verdict").alias("_verdict"))
     hosts = rows.where(F.col("host") != "").groupBy("host").agg(F.count(F.when(F.col("_verdict") == "allow", 1)).alias("good"), F.count(F.when(F.col("_verdict") == "block", 1)).alias("bad"))
