@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import scoring as S
 from kelpie.functions import text as X
-from kelpie.operators import graph, ingest, memory, ordered, rollups, search
+from kelpie.operators import graph, ingest, memory, ordered, repair, rollups, search
 from kelpie.plans import assembly
 from kelpie.plans import tables as T
 from kelpie.operators.cut import cut, shared_folder, spread
@@ -748,6 +748,22 @@ def resolved_links(spark, sf_dir):
     return ingest.resolve_links(ingest.extract_links(w), w).where("not external").select("path", "target", "resolved")
 
 
+_HAS = "({0}) IN (SELECT page_id FROM k)"
+_AS_MARKED = """'See [[page_' || a || '|' || CASE WHEN {a} THEN '' ELSE '(broken link) ' END || 'it]] and [[page_' || (i // 3) || CASE WHEN {b} THEN '' ELSE '|(broken link) page_' || (i // 3) END || ']].' || chr(10)
+ || '[site](' || url || ')' || chr(10) || '[up](page_' || (i // 2) || '.md#top) ![no](x.png) ![[embed]]' || chr(10)
+ || '[coded](./page%5F' || (i // 5) || '.md) [[page_' || (i // 7) || '#part|' || CASE WHEN {c} THEN '' ELSE '(broken link) ' END || 'x]] [[note [1] of|(broken link) note [1] of]]' || chr(10)
+ || '[root](wiki/page_' || (i // 11) || '.md) [[wiki/page_' || (i // 13) || CASE WHEN {d} THEN '' ELSE '|(broken link) wiki/page_' || (i // 13) END || ']]'""".format(a=_HAS.format("a"), b=_HAS.format("i // 3"), c=_HAS.format("i // 7"), d=_HAS.format("i // 13"))
+
+
+@query(f"WITH {_LINKS} SELECT path, sha256({_AS_MARKED}) AS body FROM (SELECT path, page_id AS i, url, CASE WHEN page_id % 9 = 0 THEN page_id + 100000000 ELSE page_id // 2 END AS a FROM k)")
+def marked_links(spark, sf_dir):
+    """Bodies in which every wiki link that leads nowhere is marked."""
+    w = _wiki(spark, sf_dir)
+    broken = ingest.resolve_links(ingest.extract_links(w), w).where("kind = 'wikilink' AND resolved IS NULL")
+    edits = broken.select("path", "target", F.lit("mark").alias("action"), F.lit(None).cast("string").alias("new")).distinct()
+    return repair.repair(w, edits).select("path", F.sha2("fixed", 256).alias("body"))
+
+
 @query(f"WITH {_LINKS} SELECT path FROM k WHERE path NOT IN (SELECT resolved FROM res WHERE resolved IS NOT NULL AND resolved <> path)")
 def orphan_pages(spark, sf_dir):
     w = _wiki(spark, sf_dir)
