@@ -208,3 +208,35 @@ def select_for_compression(files, as_of):
 def migrate(entities):
     """Re-tiered from the first source and with inferred salience: what older rows lack."""
     return entities.withColumn("new_tier", S.entity_tier(F.col("type"), F.get("sources", F.lit(0)))).withColumn("new_salience", S.infer_salience(entities))
+
+
+def migrate_graph(entities, edges, as_of):
+    """(entities, edges) with what older rows lack, and upgraded: whether a row lacked it.
+
+    An entity that has a tier and a salience (computed) stays as it is; others get their tier from type and first source,
+    an inferred salience, and zero counts or the clock where those are null. An edge that has a tier and a credibility
+    stays; others get the lesser tier of their ends as migrated (semantic for unknown ones) and the credibility of their
+    sources.
+    """
+    clock = F.lit(as_of).cast("timestamp_ntz")
+    e = entities.withColumn("upgraded", F.col("tier").isNull() | F.col("computed").isNull())
+    for column, value in (("ris", F.lit(0.0)), ("activation_count", F.lit(0)), ("last_activated", clock), ("sources", F.array().cast("array<string>"))):
+        e = e.withColumn(column, F.when(F.col("upgraded"), F.coalesce(column, value)).otherwise(F.col(column)))
+    tier, salience = S.entity_tier(F.col("type"), F.coalesce(F.get("sources", F.lit(0)), F.lit(""))), S.infer_salience(e)
+    e = e.withColumn("computed", F.when(F.col("upgraded"), salience).otherwise(F.col("computed"))).withColumn("tier", F.when(F.col("upgraded"), tier).otherwise(F.col("tier")))
+    end = lambda side: e.select(F.col("eid").alias(side), F.col("tier").alias(f"_{side}"))
+    d = edges.withColumn("upgraded", F.col("tier").isNull() | F.col("cred").isNull()).join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    for column, value in (("ris", F.lit(0.0)), ("activation_count", F.lit(0)), ("last_activated", clock)):
+        d = d.withColumn(column, F.when(F.col("upgraded"), F.coalesce(column, value)).otherwise(F.col(column)))
+    lesser = S.edge_tier(F.coalesce("_src", F.lit("semantic")), F.coalesce("_dst", F.lit("semantic")), F.col("type"))
+    d = d.withColumn("tier", F.when(F.col("upgraded"), lesser).otherwise(F.col("tier"))).withColumn("cred", F.when(F.col("upgraded"), _credibility_of(F.col("sources"))).otherwise(F.col("cred")))
+    return e, d.drop("_src", "_dst")
+
+
+def _credibility_of(sources):
+    """The mean credibility of an array of sources, or the best where the user stated or uploaded one; unknown without any."""
+    labels = F.transform(F.coalesce(sources, F.array().cast("array<string>")), lambda x: S.source_label(x))
+    values = F.transform(labels, lambda x: S.credibility(x))
+    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+    own = F.exists(labels, lambda x: x.isin("user_statement", "user_upload"))
+    return F.when(F.size(values) == 0, F.lit(S.CREDIBILITY["unknown"])).when(own, F.array_max(values)).otherwise(mean)

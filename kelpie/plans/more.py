@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import scoring as S
 from kelpie.operators import ingest, memory, naming, ordered, people, rollups, signals
-from kelpie.plans import assembly
+from kelpie.plans import assembly, completion, views
 from kelpie.plans import tables as T
-from kelpie.plans.queries import _ACCENTS, _CUES, _NORM, _REJ, _cues, query, rejected_and_truths
+from kelpie.plans.queries import _ACCENTS, _CONTRA, _CUES, _ETIER, _INFER, _LABEL, _LINKED, _NORM, _REJ, ORACLE, _case_sql, _contradictions, _cues, _ordered, _questions, query, rejected_and_truths
 from kelpie.plans.tables import read, sql_list
 
 TODAY, UNTIL = "2024-01-15", "2024-01-29"
@@ -269,3 +269,128 @@ def selected_models(spark, sf_dir):
     op = T.pick(["query_classification", "graph_extraction", "memory_compression", "unknown"], F.col("turn"))
     local = F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("x:1"), F.lit("qwen2.5:7b"), F.lit("llama3.1:latest"))).otherwise(F.array(F.lit("x:1")))
     return c.select("conv_id", "turn", S.select_model(op, local)["model"].alias("model"))
+
+
+# --- specialists ----------------------------------------------------------------------------------------------------
+
+def _says_sql(words):
+    return f"list_bool_or(list_transform({sql_list(words)}, lambda w: contains(low, w)))"
+
+
+_PICKS = "list_filter([" + ", ".join(f"CASE WHEN {_says_sql(words)} THEN '{key}' END" for key, words in completion.SPECIALIST_WORDS.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS low FROM conversations), p AS (SELECT *, {_PICKS} AS picks FROM q),
+d AS (SELECT *, CASE WHEN len(picks) = 0 THEN {sql_list(completion.DEFAULT_SPECIALISTS)} ELSE picks END AS chosen FROM p)
+SELECT conv_id, turn, array_to_string((CASE WHEN {_says_sql(completion.KNOWING_WORDS)} THEN chosen ELSE list_prepend('{completion.CRITIC}', chosen) END)[1:3], ' ') AS asked FROM d""")
+def question_specialists(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(completion.specialists(F.col("text")), " ").alias("asked"))
+
+
+# --- views ----------------------------------------------------------------------------------------------------------
+
+_STATUS = "CASE WHEN severity <> 'low' THEN 'unresolved' WHEN confidence > 0.8 THEN 'resolved_B' ELSE 'resolved_A' END"
+_GRAVE = "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
+
+
+@query(f"WITH {_CONTRA}, o AS (SELECT src, type, old_dst, new_dst, severity, {_STATUS} AS status FROM contra WHERE {_STATUS} = 'unresolved') SELECT *, (SELECT count(*) FROM o) AS total FROM o ORDER BY {_GRAVE}, src, type, old_dst, new_dst LIMIT 50")
+def open_contradictions(spark, sf_dir):
+    return views.open_contradictions(memory.auto_resolve(_contradictions(spark, sf_dir)))
+
+
+@query(f"WITH {_CONTRA} SELECT src, type, old_dst, new_dst, severity FROM contra ORDER BY {_GRAVE}, src, type, old_dst, new_dst LIMIT 5")
+def contradiction_block(spark, sf_dir):
+    return assembly.contradiction_block(_contradictions(spark, sf_dir)).select("src", "type", "old_dst", "new_dst", "severity")
+
+
+@query(f"WITH {_LINKED} SELECT question, priority FROM questions ORDER BY CASE priority WHEN 'high' THEN 0 ELSE 1 END, question LIMIT 10")
+def question_block(spark, sf_dir):
+    e = T.entities(spark, sf_dir)
+    q = ingest.question_priority(ingest.link_questions(_questions(spark, sf_dir), _ordered(e), order="ord"), e)
+    return assembly.question_block(q).select("question", "priority")
+
+
+@query(f"""WITH {_LINKED}, li AS (SELECT doc_id, pos, eid, count(*) OVER (PARTITION BY doc_id, pos) AS n FROM hr WHERE i <= 8), fresh AS (SELECT eid FROM entities WHERE last_activated >= TIMESTAMP '{T.AS_OF}' - to_days(250)),
+h AS (SELECT doc_id, pos, n, count(*) AS hits FROM li JOIN fresh USING (eid) GROUP BY ALL) SELECT doc_id, pos, hits, round(hits / n, 2) AS relevance, hits / n > 0.7 AS may_answer FROM h WHERE hits / n >= 0.4""")
+def surfaced_questions(spark, sf_dir):
+    """Questions that entities of the last 250 days may answer."""
+    e = T.entities(spark, sf_dir)
+    fresh = e.where(F.col("last_activated") >= T.days_before(T.AS_OF, F.lit(250))).select("eid")
+    linked = ingest.link_questions(_questions(spark, sf_dir), _ordered(e), order="ord")
+    return ingest.surface_questions(linked, fresh).select("doc_id", "pos", "hits", "relevance", "may_answer")
+
+
+_MARKED_TEXT = "CASE WHEN conv_id % 3 = 0 THEN text || chr(10) || '**Status:** open' || chr(10) || 'x' WHEN conv_id % 3 = 1 THEN '**Status:** ' || text ELSE text || '**Review:** later' END"
+
+
+@query(f"""WITH q AS (SELECT conv_id || '-' || lpad(CAST(turn AS VARCHAR), 4, '0') AS id, {_MARKED_TEXT} AS t, CASE WHEN turn % 2 = 0 THEN 'high' END AS priority, ['open', 'closed', NULL, 'stale'][turn % 4 + 1] AS status FROM conversations WHERE role = 'user'),
+o AS (SELECT id, t, coalesce(priority, 'medium') AS priority, coalesce(status, 'open') AS status, trim(regexp_replace(trim(regexp_replace(t, '(?s)\\*\\*Status:\\*\\*.*$', '')), '(?s)\\*\\*Review:\\*\\*.*$', '')) AS c FROM q WHERE coalesce(status, 'open') NOT IN {tuple(views.CLOSED)})
+SELECT id, substring(CASE WHEN c <> '' THEN c ELSE t END, 1, 400) AS text, priority, status, (SELECT count(*) FROM o) AS total FROM o ORDER BY id LIMIT 50""")
+def listed_questions(spark, sf_dir):
+    """What users said, as questions whose templates left marks."""
+    c = read(spark, sf_dir, "conversations").where("role = 'user'")
+    k, t = F.col("conv_id") % 3, F.col("text")
+    text = F.when(k == 0, F.concat(t, F.lit("\n**Status:** open\nx"))).when(k == 1, F.concat(F.lit("**Status:** "), t)).otherwise(F.concat(t, F.lit("**Review:** later")))
+    number = F.lpad(F.col("turn").cast("string"), 4, "0")
+    status = F.get(F.array(F.lit("open"), F.lit("closed"), F.lit(None), F.lit("stale")), (F.col("turn") % 4).cast("int"))
+    q = c.select(F.concat_ws("-", F.col("conv_id").cast("string"), number).alias("id"), text.alias("text"), F.when(F.col("turn") % 2 == 0, "high").alias("priority"), status.alias("status"))
+    return views.open_questions(q)
+
+
+@query(f"""WITH {T.PROPOSALS}, s AS ({ORACLE['proposal_salience']}), o AS (SELECT p.*, s.salience FROM proposals p JOIN s USING (uid) WHERE status = 'pending')
+SELECT uid, path, substring(coalesce(reason, ''), 1, 300) AS reason, round(salience, 2) AS salience, strftime(ts, '%Y-%m-%d %H:%M') AS ts, (SELECT count(*) FROM o) AS total FROM o ORDER BY o.salience DESC, o.ts DESC, uid LIMIT 80""")
+def pending_proposals(spark, sf_dir):
+    p = T.proposals(spark, sf_dir)
+    return views.pending_proposals(p.withColumn("salience", S.proposal_salience(F.col("path"), F.col("reason"))))
+
+
+@query(f"""WITH a AS ({ORACLE['pressing_events']}), c0 AS ({ORACLE['calendar_order']}), b AS (SELECT * FROM ({ORACLE['pinned_pages']}) ORDER BY pinned_at DESC, path LIMIT 30), d AS ({ORACLE['deadlines']})
+SELECT 'event' AS kind, row_number() OVER (ORDER BY c0.iso, rank) AS place, summary AS label, c0.iso AS at FROM a JOIN c0 USING (event_id)
+UNION ALL SELECT 'pinned', row_number() OVER (ORDER BY pinned_at DESC, path), path, strftime(pinned_at, '%Y-%m-%d %H:%M:%S') FROM b
+UNION ALL SELECT 'deadline', row_number() OVER (ORDER BY rank, path), path, deadline FROM d""")
+def top_of_mind_view(spark, sf_dir):
+    events = signals.calendar_order(T.calendar(spark, sf_dir))
+    return views.top_of_mind(events, pinned_pages(spark, sf_dir), signals.deadlines(T.signals(spark, sf_dir), TODAY), TODAY, UNTIL)
+
+
+_ENDS = "SELECT src AS node, 0 AS way, src, type, dst, dst AS other FROM edges UNION ALL SELECT dst, 1, src, type, dst, src FROM edges"
+
+
+@query(f"""WITH {T.ENTITIES}, {T.EDGES}, n AS (SELECT eid, name, type FROM entities WHERE type IN ('decision', 'deal', 'place')), e AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY way, src, type, dst) AS i FROM ({_ENDS}) WHERE node IN (SELECT eid FROM n)),
+t AS (SELECT node, string_agg(CASE WHEN way = 0 THEN e.type || ' → ' || coalesce(o.name, other) ELSE coalesce(o.name, other) || ' → ' || e.type END, '; ' ORDER BY i) AS l FROM e LEFT JOIN entities o ON o.eid = other WHERE i <= 4 GROUP BY node)
+SELECT eid, '- ' || name || ' (' || type || ')' || coalesce(' [' || l || ']', '') AS line FROM n LEFT JOIN t ON node = eid""")
+def context_lines(spark, sf_dir):
+    e = T.entities(spark, sf_dir)
+    return views.context_block(e, T.edges(spark, sf_dir), e.where(F.col("type").isin("decision", "deal", "place")).select("eid"))
+
+
+_OLD = "CASE WHEN (activation_count % 3) = 0 THEN NULL ELSE {0} END"
+
+
+@query(f"""WITH {T.ENTITIES}, o AS (SELECT * REPLACE ({_OLD.format('tier')} AS tier), CASE WHEN activation_count % 5 = 0 THEN NULL ELSE ris END AS r FROM entities),
+m AS (SELECT eid, tier IS NULL AS upgraded, CASE WHEN tier IS NULL THEN {_ETIER} ELSE tier END AS tier, round(CASE WHEN tier IS NULL THEN CAST({_INFER} AS DOUBLE) ELSE computed END, 6) AS computed, CASE WHEN tier IS NULL THEN coalesce(r, 0.0) ELSE r END AS ris FROM o) SELECT * FROM m""")
+def migrated_entities(spark, sf_dir):
+    """Entities of which a third lack a tier, and some a reinforcement."""
+    return _migrated(spark, sf_dir)[0].select("eid", "upgraded", "tier", F.round("computed", 6).alias("computed"), "ris")
+
+
+_PATHS = f"[{T._PATH_SQL.format('key % 200')}, {T._PATH_SQL.format('(key * 3) % 200')}]"
+
+
+@query(f"""WITH {T.ENTITIES}, {T.EDGES}, m AS (SELECT eid, CASE WHEN activation_count % 3 = 0 THEN {_ETIER} ELSE tier END AS tier FROM entities),
+k AS (SELECT *, CASE src[1:1] WHEN 'c' THEN CAST(src[6:] AS BIGINT) WHEN 's' THEN CAST(src[6:] AS BIGINT) ELSE CAST(src[5:] AS BIGINT) END AS key FROM edges), k2 AS (SELECT *, activation_count % 2 = 0 AS old, {_PATHS} AS sources FROM k),
+u AS (SELECT src, dst, type, unnest(sources) AS path, '' AS body FROM k2), l AS (SELECT src, dst, type, {_LABEL} AS label FROM u), c AS (SELECT src, dst, type, avg(CAST({_case_sql('label', S.CREDIBILITY, 0.5)} AS DOUBLE)) AS s FROM l GROUP BY ALL)
+SELECT k2.src, k2.dst, k2.type, old AS upgraded, CASE WHEN old THEN {sql_list(T.TIERS)}[least(list_position({sql_list(T.TIERS)}, a.tier), list_position({sql_list(T.TIERS)}, b.tier))] ELSE k2.tier END AS tier, round(CASE WHEN old THEN s ELSE cred END, 6) AS cred
+FROM k2 JOIN m a ON a.eid = k2.src JOIN m b ON b.eid = k2.dst JOIN c ON c.src = k2.src AND c.dst = k2.dst AND c.type = k2.type""")
+def migrated_edges(spark, sf_dir):
+    """Edges of which half lack a credibility."""
+    return _migrated(spark, sf_dir)[1].select("src", "dst", "type", "upgraded", "tier", F.round("cred", 6).alias("cred"))
+
+
+def _migrated(spark, sf_dir):
+    e, d = T.entities(spark, sf_dir), T.edges(spark, sf_dir)
+    e = e.withColumn("tier", F.when(F.col("activation_count") % 3 != 0, F.col("tier"))).withColumn("ris", F.when(F.col("activation_count") % 5 != 0, F.col("ris")))
+    key = F.split("src", ":")[1].cast("long")
+    path = lambda k: T.path_of(k, F.concat(F.lit("src"), (k % 20).cast("string")))
+    d = d.withColumn("cred", F.when(F.col("activation_count") % 2 != 0, F.col("cred"))).withColumn("sources", F.array(path(key % 200), path(key * 3 % 200)))
+    return memory.migrate_graph(e, d, T.AS_OF)
