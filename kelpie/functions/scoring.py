@@ -66,18 +66,44 @@ def infer_salience(e):
     return clamp(0.5 + total)
 
 
+#: What a path tells of its source, in order: (label, parts of which one must be there, and of which one more).
+SOURCE_PATHS = [
+    ("user_statement", ["/sessions/"], None),
+    ("user_upload", ["/user_", "user_upload"], None),
+    ("internal_doc", ["/decisions/", "/accounts/"], None),
+    ("analyst_report", ["/research/"], ["gartner", "idc", "forrester", "abi"]),
+    ("news_article", ["/research/"], ["ft_", "press", "news"]),
+    ("internal_deck", ["/research/"], None),
+    ("internal_email", ["/daily/emails/"], None),
+    ("internal_meeting", ["/daily/transcripts/"], None),
+    ("internal_doc", ["/daily/documents/"], None),
+]
+#: What the end of a path tells where its folders tell nothing, and what any part of it tells last.
+SOURCE_ENDS = [("internal_deck", [".pptx", ".key"]), ("internal_doc", [".docx", ".pdf"])]
+SOURCE_WORDS = ("inferred_from_context", ["synthesised", "inferred"])
+#: Parts of a partner's documents, and how the user's own words begin.
+PARTNER_PARTS, OWN_WORDS = ["partner", "_brief", "_requirements"], [("user says:", 500), ("user:", 200)]
+
+
+def _any(flags):
+    out = F.lit(False)
+    for flag in flags:
+        out = out | flag
+    return out
+
+
 def source_label(path, hint=None, partners=()):
     """The kind of source that a path (and the start of its content) tells."""
-    s, c = F.lower(path), F.lower(F.substring(F.coalesce(hint, F.lit("")) if hint is not None else F.lit(""), 1, 500))
-    has = lambda *parts: F.greatest(*(s.contains(p) for p in parts)) if len(parts) > 1 else s.contains(parts[0])
-    out = F.when(c.contains("user says:") | F.substring(c, 1, 200).contains("user:") | has("/sessions/"), "user_statement")
-    out = out.when(has("/user_", "user_upload"), "user_upload").when(has("/decisions/", "/accounts/"), "internal_doc")
-    out = out.when(has("/research/") & has("gartner", "idc", "forrester", "abi"), "analyst_report").when(has("/research/") & has("ft_", "press", "news"), "news_article").when(has("/research/"), "internal_deck")
-    out = out.when(has("/daily/emails/"), "internal_email").when(has("/daily/transcripts/"), "internal_meeting").when(has("/daily/documents/"), "internal_doc")
-    out = out.when(s.endswith(".pptx") | s.endswith(".key"), "internal_deck").when(s.endswith(".docx") | s.endswith(".pdf"), "internal_doc")
+    s, c = F.lower(path), F.lower(F.coalesce(hint, F.lit(""))) if hint is not None else F.lit("")
+    has = lambda parts: _any(s.contains(p) for p in parts)
+    out = F.when(_any(F.substring(c, 1, n).contains(w) for w, n in OWN_WORDS), "user_statement")
+    for label, parts, more in SOURCE_PATHS:
+        out = out.when(has(parts) & has(more) if more else has(parts), label)
+    for label, ends in SOURCE_ENDS:
+        out = out.when(_any(s.endswith(e) for e in ends), label)
     if partners:
-        out = out.when(has(*partners, "\0") & has("partner", "_brief", "_requirements"), "partner_doc")
-    return out.when(has("synthesised", "inferred"), "inferred_from_context").otherwise("unknown")
+        out = out.when(has(partners) & has(PARTNER_PARTS), "partner_doc")
+    return out.when(has(SOURCE_WORDS[1]), SOURCE_WORDS[0]).otherwise("unknown")
 
 
 def credibility(label):
@@ -124,14 +150,19 @@ def query_kind(text):
     return out.otherwise("quick_answer")
 
 
+#: The salience of a proposal by a part of its path, in order, else; what a pressing reason adds.
+PATH_SALIENCE = [
+    ("wiki/decisions/", 0.95), ("wiki/projects/", 0.85), ("wiki/people/", 0.60), ("wiki/concepts/", 0.55), ("wiki/systems/", 0.55),
+    ("/decisions/", 0.95), ("/accounts/", 0.70), ("/crystallised/", 0.95), ("/context/people", 0.55), ("/context/", 0.60), ("/weekly/", 0.55),
+]
+OTHER_SALIENCE, PRESSING, PRESSING_ADDS = 0.5, "decision|deadline|blocker|risk|approved", 0.10
+
+
 def proposal_salience(path, reason):
-    p, r = F.lower(path), F.lower(reason)
-    base = (
-        F.when(p.contains("wiki/decisions/"), 0.95).when(p.contains("wiki/projects/"), 0.85).when(p.contains("wiki/people/"), 0.60).when(p.contains("wiki/concepts/") | p.contains("wiki/systems/"), 0.55)
-        .when(p.contains("/decisions/"), 0.95).when(p.contains("/accounts/"), 0.70).when(p.contains("/crystallised/"), 0.95).when(p.contains("/context/people"), 0.55).when(p.contains("/context/"), 0.60)
-        .when(p.contains("/weekly/"), 0.55).otherwise(0.5)
-    )
-    return F.round(F.when(r.rlike("decision|deadline|blocker|risk|approved"), F.least(F.lit(1.0), base + 0.10)).otherwise(base), 3)
+    base, p = F.lit(OTHER_SALIENCE), F.lower(path)
+    for part, value in reversed(PATH_SALIENCE):
+        base = F.when(p.contains(part), value).otherwise(base)
+    return F.round(F.when(F.lower(reason).rlike(PRESSING), F.least(F.lit(1.0), base + PRESSING_ADDS)).otherwise(base), 3)
 
 
 #: Dollars per thousand input and output tokens, by model; prefixes either way match, in this order.

@@ -120,8 +120,12 @@ def keep_first(rows, key, order):
 
 
 def context_budget(ranked, budget=80_000, per_file=5_000):
-    """(query_id, path, rank, taken): files in rank order, each cut to its cap and to what is left of the budget."""
-    cut = F.least(F.char_length("body"), F.lit(per_file))
+    """(query_id, path, rank, taken): files in rank order, each cut to its cap and to what is left of the budget.
+
+    ranked has the length of each file, or its body.
+    """
+    length = F.col("length") if "length" in ranked.columns else F.char_length("body")
+    cut = F.least(length, F.lit(per_file))
     before = F.coalesce(F.sum(cut).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return ranked.select("query_id", "path", "rank", cut.alias("_c"), before.alias("_b")).where(F.col("_b") < budget).select("query_id", "path", "rank", F.least("_c", F.lit(budget) - F.col("_b")).alias("taken"))
 

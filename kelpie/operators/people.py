@@ -45,9 +45,13 @@ def canonical_paths(rows, index, column="path"):
     return r.withColumn("canonical_path", F.coalesce(to, F.col(column))).drop("_subject", "canonical")
 
 
+#: How much of a mail is looked at for its sender, and the line that names the sender.
+HEAD, FROM_LINE = 2500, r"(?im)^\s*\*{0,2}From:\*{0,2}\s*(.+?)$"
+
+
 def from_user(content, name="", email=""):
     """Whether the From line (in the first 2500 characters) holds the user's address, or every part of the user's name."""
-    sender = F.lower(F.trim(F.regexp_extract(F.substring(content, 1, 2500), r"(?im)^\s*\*{0,2}From:\*{0,2}\s*(.+?)$", 1)))
+    sender = F.lower(F.trim(F.regexp_extract(F.substring(content, 1, HEAD), FROM_LINE, 1)))
     parts = [p for p in name.lower().split() if len(p) > 1]
     by_mail = F.contains(sender, F.lit(email.lower())) if email else F.lit(False)
     by_name = F.forall(F.array(*(F.lit(p) for p in parts)), lambda p: F.contains(sender, p)) if parts else F.lit(False)

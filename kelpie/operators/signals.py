@@ -72,11 +72,15 @@ def meetings(ordered_events):
     return last.select("eid", F.col("e.summary").alias("name"), F.lit("meeting").alias("type"), "e.urgency", F.col("e.iso").alias("next_iso"), F.when(F.col("e.urgency") == "high", 0.7).otherwise(0.55).alias("salience"))
 
 
+#: Of each kind of link its entity types, its weight, and the relations there and back.
+MEETING_LINKS = [("people_links", ["person"], 0.6, "attended_by", "attends"), ("account_links", ACCOUNT_TYPES, 0.7, "about_account", "discussed_in")]
+
+
 def meeting_edges(ordered_events, entities):
     """(src, dst, type, weight): both ways between a meeting and who and what it links to, once an event; unknown slugs have none."""
     m = ordered_events.where(F.coalesce("is_high_stakes", F.lit(False))).withColumn("mid", meeting_id(ordered_events))
     out = None
-    for column, types, weight, there, back in (("people_links", ["person"], 0.6, "attended_by", "attends"), ("account_links", ACCOUNT_TYPES, 0.7, "about_account", "discussed_in")):
+    for column, types, weight, there, back in MEETING_LINKS:
         hit = resolve_slugs(m.select("mid", F.explode(column).alias("slug")), "slug", link_index(entities, types)).where("eid is not null")
         for src, dst, kind in (("mid", "eid", there), ("eid", "mid", back)):
             part = hit.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("type"), F.lit(weight).alias("weight"))

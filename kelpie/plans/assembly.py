@@ -84,7 +84,7 @@ def context(candidates, files, settings=Settings()):
     from pyspark.sql import Window
 
     order = F.when(F.col("kind") == "direct", 0).when(F.col("kind") == "graph", 1).otherwise(2)
-    r = candidates.join(files.select("path", "body"), "path")
+    r = candidates.join(files.select("path", F.char_length("body").alias("length")), "path")  # no body is shuffled
     r = r.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "ord", "path")))
     taken = ordered.context_budget(r, settings.budget_chars, settings.file_chars)
     return taken.join(candidates.select("query_id", "path", "kind"), ["query_id", "path"])
