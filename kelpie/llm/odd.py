@@ -267,8 +267,10 @@ def near_duplicates(docs, shingle=SHINGLE, percent=PERCENT, recall=RECALL, block
         # the node of most links against every block of its group
         inside = links.hint("merge").join(several.select("root").distinct(), "root")
         labelled = written(_labelled(several, inside), "labelled")
-        hubs = inside.where(F.col("b").isNull()).groupBy("root").agg(F.max(F.struct("links", "a")).alias("hub")).select("root", F.col("hub.a").alias("hub"))
-        hubs = written(hubs.join(labelled.select(F.col("node").alias("hub"), F.col("label").alias("main"), F.col("parts").alias("blocks")), "hub"), "hubs")
+        # blocks of one node have told nothing of it; a group of such still has a hub
+        degrees = inside.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+        most = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.col("node").alias("hub"), F.col("label").alias("main"), F.col("parts").alias("blocks"))).alias("most")
+        hubs = written(labelled.join(degrees, "node", "left").groupBy("root").agg(most).select("root", "most.hub", "most.main", "most.blocks"), "hubs")
         rest = labelled.join(hubs, "root").where(F.col("label") != F.col("main"))
         to_hub = hubs.select(F.col("hub").alias("node"), "root", F.col("main").alias("label"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("first"), F.lit(0).alias("second"), F.lit(1).alias("side"))
         stars = written(_links(grams, rest.select("node", "root", "label", F.col("own").alias("first"), F.lit(0).alias("second"), F.lit(0).alias("side")).union(to_hub), percent), "stars")
