@@ -691,13 +691,23 @@ def union_candidates(spark, sf_dir):
 # --- ingest ---------------------------------------------------------------------------------------------------------
 
 _OPEN = X.OPEN_QUESTION.replace("'", "''")
-_Q = f"s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents), q AS (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS question FROM s), oq AS (SELECT doc_id, pos, regexp_replace(question, '^\\s+|\\s+$', '', 'g') AS question FROM q), open AS (SELECT * FROM oq WHERE length(question) BETWEEN 15 AND 400 AND regexp_matches(lower(question), '{_OPEN}|idiot|teach') AND NOT regexp_matches(lower(question), '{X.CLOSED}'))"
+#: What is asked at the end of some documents: open questions that name entities, and one that is settled.
+_ASKS = [
+    " It is unclear whether Customer#{0} of NATION_{1} buys the small bolt. Who pays for NATION_{1}?", " We don't know yet what the cold widget of Supplier#{0} costs. Is the deadline pending?",
+    " This was an open question, but Customer#{0} decided it. Was NATION_{1} resolved?", " Nothing is asked here.",
+]
+_NINE, _MOD = "lpad(CAST(doc_id % 100 AS VARCHAR), 9, '0')", "CAST(doc_id % 25 AS VARCHAR)"
+_ASKED_TEXT = "text || [" + ", ".join("'" + a.replace("'", "''").replace("{0}", f"' || {_NINE} || '").replace("{1}", f"' || {_MOD} || '") + "'" for a in _ASKS) + "][doc_id % 4 + 1]"
+_Q = f"s AS (SELECT doc_id, string_split(regexp_replace({_ASKED_TEXT}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents), q AS (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS question FROM s), oq AS (SELECT doc_id, pos, regexp_replace(question, '^\\s+|\\s+$', '', 'g') AS question FROM q), open AS (SELECT * FROM oq WHERE length(question) BETWEEN 15 AND 400 AND regexp_matches(lower(question), '{_OPEN}') AND NOT regexp_matches(lower(question), '{X.CLOSED}'))"
 
 
 def _questions(spark, sf_dir):
-    """Questions by the shipped pattern, and by two words more that the documents do hold."""
-    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return ingest.open_questions(d, "doc_id", "text", asks=X.OPEN_QUESTION + "|idiot|teach")
+    """Questions of documents that end with one of _ASKS."""
+    k = F.col("doc_id")
+    nine, number = F.lpad((k % 100).cast("string"), 9, "0"), (k % 25).cast("string")
+    asks = F.array(*(F.replace(F.replace(F.lit(a), F.lit("{0}"), nine), F.lit("{1}"), number) for a in _ASKS))
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.element_at(asks, (k % 4 + 1).cast("int"))).alias("text")))
+    return ingest.open_questions(d, "doc_id", "text")
 
 
 @query(f"WITH {_Q} SELECT doc_id, pos, question FROM open")
