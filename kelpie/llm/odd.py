@@ -18,7 +18,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, quoted, ship, written
+from .common import chunks, discard, quoted, ship, trim, written
 from .graph import components
 from .near import _verify, banding, ngram_sets, node_key
 from .repeats import Sequence, lists_of
@@ -69,6 +69,8 @@ def band_hashes(drawn, bands, rows):
 def odd_sketches(drawn, bits=BITS):
     """Parity bitmaps (uint8 rows): every sample, with its number, flips one bit."""
     m, n = drawn.shape
+    if m > 512:  # counts of a few texts at a time
+        return np.concatenate([odd_sketches(drawn[a : a + 512], bits) for a in range(0, m, 512)])
     bit = (mix(drawn.astype(_U) ^ (np.arange(1, n + 1, dtype=_U) << _U(32))[None, :]) % _U(bits)).astype(np.int64)
     flips = np.bincount((bit + np.arange(m)[:, None] * bits).ravel(), minlength=m * bits)
     return np.packbits((flips & 1).astype(np.uint8).reshape(m, bits), axis=1)
@@ -230,6 +232,8 @@ def near_duplicates(docs, shingle=SHINGLE, percent=PERCENT, recall=RECALL, block
                     keys[i], maps[i], where[i + 1] = node_key(sets[i]), bitmap.tobytes(), bands
                 hashes = pa.ListArray.from_arrays(pa.array(np.cumsum(where), pa.int32()), pa.array(band_hashes(drawn, bands, rows).view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(maps, pa.binary()), hashes], ["id", "key", "node", "size", "sketch", "bands"])
+                del sets, drawn, keys, maps, hashes
+        trim()  # the worker stays while the next stages run
 
     table = written(texts.mapInArrow(sketch, f"id {kind}, key long, node long, size long, sketch binary, bands array<long>"), "sketches")
     full = table.where(F.col("node").isNotNull())
