@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kelpie.functions import text as T
+from kelpie.operators.cut import cut
 
 
 def clean_emails(emails):
@@ -91,9 +92,10 @@ def unseen_newest(rows, key, fp="fp", order=("ts",), cap=5000):
 
 def open_questions(rows, id_col, text_col, asks=T.OPEN_QUESTION):
     """(id, pos, question): sentences of 15 to 400 characters that ask (a pattern over lower case), and aren't settled."""
-    s = rows.select(id_col, F.posexplode(T.sentences(F.col(text_col))).alias("pos", "question")).withColumn("question", F.regexp_replace("question", r"^\s+|\s+$", ""))
-    low = F.lower("question")
-    return s.where(F.char_length("question").between(15, 400) & low.rlike(asks) & ~low.rlike(T.CLOSED))
+    signs = T.OPEN_SIGNS if asks == T.OPEN_QUESTION else ("",)
+    s = rows.select(id_col, F.posexplode(T.sentences(F.col(text_col))).alias("pos", "question")).withColumn("question", F.btrim("question", F.lit(T.WHITE)))
+    open_ = T.once(F.lower("question"), lambda low: T.holds(low, signs) & low.rlike(asks) & ~low.rlike(T.CLOSED))
+    return s.where(F.char_length("question").between(15, 400)).where(open_)
 
 
 def link_questions(questions, entities, most=8, order="eid"):
@@ -104,6 +106,7 @@ def link_questions(questions, entities, most=8, order="eid"):
     names. Where more than `most` fit, the first by the order column are taken, in that order.
     """
     key = [c for c in questions.columns]
+    questions = cut(questions)  # few rows of much text, read twice below and by what follows
     names = entities.where(F.char_length("name") >= 3).groupBy(F.lower("name").alias("_name")).agg(F.slice(F.array_sort(F.collect_set(F.struct(F.col(order).alias("o"), "eid"))), 1, most).alias("_eids"))
     starts = names.groupBy(F.substring("_name", 1, 3).alias("_start")).agg(F.collect_set(F.char_length("_name")).alias("_lengths"))
     words = questions.withColumn("_low", F.lower("question")).where(F.char_length("_low") >= 3)
@@ -111,7 +114,7 @@ def link_questions(questions, entities, most=8, order="eid"):
     pieces = words.select(*key, "_low", F.posexplode(grams).alias("_at", "_start")).join(starts, "_start")
     pieces = pieces.select(*key, F.explode(F.transform("_lengths", lambda n: F.substring(F.col("_low"), F.col("_at") + 1, n))).alias("_name"))
     hits = pieces.join(names, "_name").select(*key, F.explode("_eids").alias("_eid")).groupBy(*key).agg(F.transform(F.slice(F.array_sort(F.collect_set("_eid")), 1, most), lambda x: x["eid"]).alias("linked"))
-    return questions.join(hits, key, "left").withColumn("linked", F.coalesce("linked", F.array().cast("array<string>")))
+    return cut(questions.join(hits, key, "left").withColumn("linked", F.coalesce("linked", F.array().cast("array<string>"))))
 
 
 def question_priority(linked, entities):
