@@ -105,3 +105,16 @@ def test_close_terms_against_all_pairs(spark):
         assert got == {(w, t) for w in words if len(w) >= 5 for t in vocabulary if difflib.SequenceMatcher(None, t, w).ratio() >= ratio}
     with pytest.raises(ValueError):
         close_terms(v.withColumnRenamed("term", "word"), v, 0.5)
+
+
+def test_postings_are_not_shuffled(spark, tmp_path, monkeypatch):
+    index, plans = Index(spark, str(tmp_path / "index"), search.keyword_fields()), {}
+    write = index.versions.write
+    monkeypatch.setattr(index.versions, "write", lambda name, df, *a: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or write(name, df, *a))
+    index.build(corpus(spark, 300))
+    # one exchange, of the texts to their block: words, counts and postings stay where they are made
+    assert plans["postings"].count("Exchange") == 1
+    kept = index.versions.read("docs").collect()
+    assert len({(r["block"], r["doc"]) for r in kept}) == 300 and max(r["doc"] for r in kept) <= 300
+    with pytest.raises(ValueError):
+        Index(spark, str(tmp_path / "twice")).build(corpus(spark, 5).unionAll(corpus(spark, 5)))
