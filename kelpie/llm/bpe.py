@@ -273,7 +273,7 @@ class Encoder:
                     first, *rest = plain.split(" ")
                     bare.add(first)
                     led.update(rest)
-                    steps.append(("led", first, rest))
+                    steps.append(("led", plain, ()))  # cut again below: the pieces of all texts would take ten times their bytes
             plan.append(steps)
         new_led = [p for p in led if p not in self.led]
         new_bare = [p for p in bare if p not in self.bare]
@@ -299,6 +299,7 @@ class Encoder:
                 elif kind == "words":
                     ids += map(self.bare.__getitem__, rest)
                 else:
+                    first, *rest = first.split(" ")
                     ids.append(self.bare[first])
                     ids += map(self.led.__getitem__, rest)
             out.append(b"".join(ids))
